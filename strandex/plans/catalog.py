@@ -1,0 +1,6 @@
+"""Every registered query, with the SQL that an independent engine runs on the same tables."""
+
+from __future__ import annotations
+
+QUERIES: dict = {}
+SQL: dict = {}
