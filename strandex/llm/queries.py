@@ -5,7 +5,10 @@ from __future__ import annotations
 from .op01_quality_rules import op1_quality_rules
 from .op02_quality_mil import op2_quality_mil
 from .op03_language import op3_language
+from .op04_decontaminate import op4_decontaminate
+from .op05_pii import op5_pii
+from .op07_secrets import op7_secrets
 from .op10_toxicity import op10_toxicity
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_quality_mil, op3_language, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_quality_mil, op3_language, op4_decontaminate, op5_pii, op7_secrets, op10_toxicity)}
 SQL: dict[str, str] = {}
