@@ -7,8 +7,14 @@ from .op02_quality_mil import op2_quality_mil
 from .op03_language import op3_language
 from .op04_decontaminate import op4_decontaminate
 from .op05_pii import op5_pii
+from .op06_line_dedup import op6_line_dedup
 from .op07_secrets import op7_secrets
+from .op08_ngram_join import op8_ngram_join
+from .op09_packing import op9_packing
 from .op10_toxicity import op10_toxicity
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_quality_mil, op3_language, op4_decontaminate, op5_pii, op7_secrets, op10_toxicity)}
+QUERIES = {
+    f.__name__: f
+    for f in (op1_quality_rules, op2_quality_mil, op3_language, op4_decontaminate, op5_pii, op6_line_dedup, op7_secrets, op8_ngram_join, op9_packing, op10_toxicity)
+}
 SQL: dict[str, str] = {}
