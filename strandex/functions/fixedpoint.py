@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 SCALE = 1_000_000
 LN2_NANOS = 693_147_181
@@ -110,7 +111,7 @@ def _fnv_hex(s: pd.Series) -> pd.Series:
     return out
 
 
-fnv1a64_hex = F.pandas_udf(_fnv_hex, "string")
+fnv1a64_hex = F.pandas_udf(_fnv_hex, T.StringType())
 
 
 def fnv1a64_hex_native(s: Column) -> Column:

@@ -7,6 +7,7 @@ import re
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 _EDGE, _CRED, _KEY = r"(?<![A-Za-z0-9])", r"[A-Za-z0-9._+/=-]", r"[A-Za-z0-9_-]"
 # The kinds and shapes, in order of priority. A group named `keep` stays in front of the mark.
@@ -45,7 +46,7 @@ def _redact(s: pd.Series) -> pd.DataFrame:
 
 
 #: Column -> struct<text, kinds>; texts without any sign of a credential pass through.
-redacted = F.pandas_udf(_redact, "text string, kinds array<string>")
+redacted = F.pandas_udf(_redact, T.StructType([T.StructField("text", T.StringType()), T.StructField("kinds", T.ArrayType(T.StringType()))]))
 
 
 def redact_scalar(c: Column) -> Column:

@@ -7,6 +7,7 @@ import json
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # The record types and the cues of the heuristic distiller.
 TYPES = ("fact", "decision", "rule", "session-summary")
@@ -145,4 +146,4 @@ def prose(transcript: str) -> list[str]:
     return out
 
 
-prose_blocks = F.pandas_udf(lambda s: pd.Series([prose(t) if t is not None else [] for t in s], dtype=object), "array<string>")
+prose_blocks = F.pandas_udf(lambda s: pd.Series([prose(t) if t is not None else [] for t in s], dtype=object), T.ArrayType(T.StringType()))
