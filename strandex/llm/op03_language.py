@@ -45,7 +45,7 @@ def grams(text: str) -> np.ndarray:
         return np.zeros(0, np.int32)
     two = a[:-1] << 9 | a[1:]
     three = two[:-1] << 9 | a[2:]
-    return np.concatenate([a[a > 0], two[two > 0] | 1 << 27, three[(two[:-1] > 0) & (two[1:] > 0)] | 2 << 27])
+    return np.concatenate([a[a > 0], two[two > 0] | 1 << 27, three[a[1:-1] > 0] | 2 << 27])
 
 
 def counted(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -118,7 +118,7 @@ class Items:
         self.need = self.size - Q + 1 - Q * self.edits
         grams = [qgrams(n[1]) for _, n in keep]
         code = np.concatenate([*grams, np.zeros(0, np.uint64)])
-        item = np.repeat(np.arange(len(grams)), [len(g) for g in grams])
+        item = np.repeat(np.arange(len(grams)), np.array([len(g) for g in grams], np.int64))
         place = np.concatenate([*(np.arange(len(g)) for g in grams), np.zeros(0, np.int64)])
         order = np.argsort(code, kind="stable")
         self.code, self.head = np.unique(code[order], return_index=True)
