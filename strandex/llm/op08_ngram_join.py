@@ -9,10 +9,10 @@ Documents are sets of word shingles; two link when 100 * |x & y| >= PERCENT * |x
 2. A document links to another only if PERCENT of its shingles at least are found elsewhere. The others are done: most of them.
 3. Equal sets are one class. A class's prefix is its rarest shared shingles, as many as make sure that linked classes share
    one of them; the rarest come first, so what everybody shares is in the prefix of nobody who has something else.
-4. Classes are partitioned into groups of similar ones: each is compared with a pivot, the class that leads most of its prefix
-   shingles, and what links makes a group. Twice, then the token-group matrix, each group's union of prefix shingles, is set
-   against the classes of other groups; a class opens only groups whose union has a shingle of its prefix and whose sizes allow
-   a link, and is compared with the members that share it. All links within a group are implied, so none is computed.
+4. Each class is compared with a pivot, the class that leads most of its prefix shingles, and what links makes one component;
+   twice. Only classes that still share a prefix shingle with another component go on: classes with the same leader are
+   partitioned into groups of bounded size, the token-group matrix holds each group's union of prefix shingles, and only groups
+   whose unions meet open each other and compare their sets. Links within a component are implied, so none is computed.
 
 Defined cases: null or empty texts have an empty set, link with nothing, and their own id as component; with fewer words than
 `shingle` the whole sequence is the one shingle; repeated rows get a row each; a null doc_id counts as no id in the smallest,
@@ -33,6 +33,8 @@ from .graph import components
 PERCENT, SHINGLE = 75, 5
 #: Bytes of text for each bucket; documents of a batch that make a shingle travel once for it.
 BUCKET, OFTEN = 16_000_000, 64
+#: Characters of a batch, and documents of a block, about.
+BATCH, BLOCK = 8_000_000, 256
 SENT = "key long, batch long, tokens binary, docs binary, df binary, doc_id array<long>, n array<long>, s1 array<long>, s2 array<long>"
 _SCHEMA = pa.schema([("key", pa.int64()), ("batch", pa.int64()), ("tokens", pa.binary()), ("docs", pa.binary()), ("df", pa.binary()), *((c, pa.list_(pa.int64())) for c in ("doc_id", "n", "s1", "s2"))])
 
@@ -59,12 +61,20 @@ def _rows(rows: list[dict]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r.get(f.name) for r in rows], f.type) for f in _SCHEMA], schema=_SCHEMA)
 
 
+def _smaller(batches):
+    """Batches of at most BATCH characters or one document."""
+    for b in batches:
+        sizes = [len(t) for t in common.texts(b)]
+        for i, j in common.slices(sizes, BATCH):
+            yield b.slice(i, j - i)
+
+
 def _sender(size: int, buckets: int):
     shift = np.uint64(64 - (buckets.bit_length() - 1))
 
     def run(batches):
         part = TaskContext.get().partitionId()
-        for number, b in enumerate(batches):
+        for number, b in enumerate(_smaller(batches)):
             texts, docs, hashes = common.texts(b), [], []
             for i, j in common.slices([len(t) for t in texts], 1 << 21):
                 d, h = shingles(texts[i:j], size)
@@ -178,6 +188,44 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return common.saved(rows.mapInArrow(run, "a long, b long"), "pairs")
 
 
+def opened(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between classes that share a token of rows (token, c, n, g, lead) and are not yet in one group g.
+
+    Classes that the same class leads go to blocks of about BLOCK. The token-group matrix holds each block's union; blocks
+    that share a token open each other, and only there sets are compared. A task holds two blocks, and of a class's links to
+    a group one is returned.
+    """
+    home = rows.groupBy("c", "g").agg(F.min("lead").alias("home"))
+    home = home.join(home.groupBy("home").agg(F.count("*").alias("size")), "home").withColumn("salt", F.pmod(F.xxhash64("c"), F.ceil(F.col("size") / BLOCK)))
+    home = common.saved(home.select("c", "g", F.xxhash64("home", "salt").alias("block")), "blocks")
+    matrix = common.saved(rows.select("token", "c").join(home.select("c", "block"), "c").select("token", "block").distinct(), "matrix")
+    pairs = matrix.join(matrix.withColumnRenamed("block", "other"), "token").where("block <= other").select("block", "other").distinct()
+    members = F.collect_list(F.struct("c", "g", "n", "tokens"))
+    full = common.saved(home.join(sets.select("c", "n", "tokens"), "c").groupBy("block").agg(members.alias("members")), "members")
+    both = pairs.join(full, "block").join(full.select(F.col("block").alias("other"), F.col("members").alias("others")), "other")
+
+    def run(batches):
+        for batch in batches:
+            for own, others in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                sets = [np.frombuffer(m["tokens"], np.uint64) for m in others]
+                token, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+                order = np.argsort(token, kind="stable")
+                token, owner = token[order], owner[order]
+                n, g, c = (np.array([m[k] for m in others], np.int64) for k in ("n", "g", "c"))
+                links = []
+                for m in own:
+                    x = np.frombuffer(m["tokens"], np.uint64)
+                    low, high = np.searchsorted(token, x), np.searchsorted(token, x, side="right")
+                    times = high - low
+                    at = np.repeat(low - np.concatenate([[0], np.cumsum(times)[:-1]]), times) + np.arange(times.sum())
+                    shared = np.bincount(owner[at], minlength=len(sets))
+                    hit = np.nonzero((g != m["g"]) & (100 * shared >= percent * (m["n"] + n - shared)))[0]
+                    links += [(m["c"], int(c[k])) for k in hit[np.unique(g[hit], return_index=True)[1]]]
+                yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in (zip(*links, strict=True) if links else ([], []))], names=["a", "b"])
+
+    return common.saved(both.select("members", "others").mapInArrow(run, "a long, b long"), "opened")
+
+
 def _grouped(prefix: DataFrame, links: DataFrame | None) -> DataFrame:
     """prefix (token, c, n) with the group of each class: the smallest class it reaches so far."""
     if links is None:
@@ -198,13 +246,9 @@ def class_links(sets: DataFrame, percent: int) -> DataFrame:
         if step < 2:
             near = now.join(open_, "token").where((F.col("g") != F.col("lead.g")) & fits(F.col("n"), F.col("lead.n"))).groupBy("c", F.col("lead.c").alias("b")).agg(F.count("*").alias("shared"))
             pairs = near.groupBy("c").agg(F.max(F.struct("shared", "b")).alias("best")).select(F.col("c").alias("a"), F.col("best.b").alias("b"))
+            got = verified(pairs, sets, percent)
         else:
-            rows = common.saved(now.join(open_.select("token"), "token"), "open")
-            matrix = rows.groupBy("token", "g").agg(F.min("n").alias("small"), F.max("n").alias("large"))
-            opened = rows.join(matrix.withColumnRenamed("g", "h"), "token").where((F.col("g") < F.col("h")) & (100 * F.col("n") >= percent * F.col("small")) & (100 * F.col("large") >= percent * F.col("n"))).select("token", "c", "n", "h")
-            members = rows.select("token", F.col("g").alias("h"), F.col("c").alias("b"), F.col("n").alias("m"))
-            pairs = opened.join(members, ["token", "h"]).where(fits(F.col("n"), F.col("m"))).select(F.col("c").alias("a"), "b").distinct()
-        got = verified(pairs, sets, percent)
+            got = opened(common.saved(now.join(open_.select("token", F.col("lead.c").alias("lead")), "token"), "open"), sets, percent)
         links = got if links is None else common.saved(links.unionByName(got), "links-so-far")
     return links
 
