@@ -1,7 +1,7 @@
 """N-gram Jaccard join with a token-group matrix.
 
 Documents are sets of word shingles; two link when 100 * |x & y| >= PERCENT * |x | y|. The join is exact up to collisions of
-64-bit hashes:
+hashes of 60 bits or more:
 
 1. Every batch of documents sends its shingles' hashes, as packed arrays, to buckets by hash. A bucket counts in how many
    documents each occurs and sends back those found twice or more. What many documents of a batch share travels once for the
@@ -62,15 +62,27 @@ def _rows(rows: list[dict]) -> pa.RecordBatch:
 
 
 def _smaller(batches):
-    """Batches of at most BATCH characters or one document."""
+    """Batches of at most BATCH characters or one document, and of fewer documents than 16 bits number."""
     for b in batches:
-        sizes = [len(t) for t in common.texts(b)]
+        sizes = [len(t) + BATCH // 50_000 for t in common.texts(b)]
         for i, j in common.slices(sizes, BATCH):
             yield b.slice(i, j - i)
 
 
-def _sender(size: int, buckets: int):
-    shift = np.uint64(64 - (buckets.bit_length() - 1))
+def _packed(token: np.ndarray, bits: int) -> bytes:
+    """Sorted tokens of one bucket in 7 bytes each, without the leading bits that its number gives; plane by plane, so that the leading ones compress."""
+    return (token << np.uint64(bits) >> np.uint64(8)).view(np.uint8).reshape(-1, 8)[:, :7].T.tobytes()
+
+
+def _unpacked(data: bytes, bucket: int, bits: int) -> np.ndarray:
+    wide = np.zeros((len(data) // 7, 8), np.uint8)
+    wide[:, :7] = np.frombuffer(data, np.uint8).reshape(7, -1).T
+    return wide.view(np.uint64)[:, 0] << np.uint64(8) >> np.uint64(bits) | np.uint64(bucket << (64 - bits))
+
+
+def _sender(size: int, bits: int):
+    #: What 7 bytes beside the bucket's number cannot hold is cut off.
+    whole, shift, buckets = ~np.uint64((1 << max(0, 8 - bits)) - 1), np.uint64(64 - bits), 1 << bits
 
     def run(batches):
         part = TaskContext.get().partitionId()
@@ -78,9 +90,9 @@ def _sender(size: int, buckets: int):
             texts, docs, hashes = common.texts(b), [], []
             for i, j in common.slices([len(t) for t in texts], 1 << 21):
                 d, h = shingles(texts[i:j], size)
-                docs.append((d + i).astype(np.int32))
-                hashes.append(h)
-            doc, token = np.concatenate([*docs, np.zeros(0, np.int32)]), np.concatenate([*hashes, np.zeros(0, np.uint64)])
+                docs.append((d + i).astype(np.uint16))
+                hashes.append(h & whole)
+            doc, token = np.concatenate([*docs, np.zeros(0, np.uint16)]), np.concatenate([*hashes, np.zeros(0, np.uint64)])
             n = np.bincount(doc, minlength=len(texts))
             sums = []
             for salt in (0x1234567, 0x7654321):
@@ -93,57 +105,63 @@ def _sender(size: int, buckets: int):
             often = np.repeat(times >= OFTEN, times)
             key = part << 32 | number
             yield _rows([{"key": -1 - key, "batch": key, "tokens": token[often].tobytes(), "docs": doc[often].tobytes(), "doc_id": b.column(0).to_pylist(), "n": n.tolist(), "s1": sums[0].tolist(), "s2": sums[1].tolist()}])
-            marks = head[times >= OFTEN]
-            sent, owner = np.concatenate([token[~often], token[marks]]), np.concatenate([doc[~often], -1 - times[times >= OFTEN].astype(np.int32)])
-            order = np.argsort(sent, kind="stable")
-            sent, owner = sent[order], owner[order]
-            cut = np.searchsorted(sent >> shift if buckets > 1 else np.zeros(len(sent), np.uint64), np.arange(buckets + 1, dtype=np.uint64))
-            rows = [{"key": k, "batch": key, "tokens": sent[i:j].tobytes(), "docs": owner[i:j].tobytes()} for k, (i, j) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if j > i]
+            marks, counts = token[head[times >= OFTEN]], times[times >= OFTEN].astype(np.int32)
+            token, doc = token[~often], doc[~often]
+            edges = np.arange(buckets + 1, dtype=np.uint64)
+            cut, at = np.searchsorted(token >> shift, edges), np.searchsorted(marks >> shift, edges)
+            rows = [{"key": k, "batch": key, "tokens": _packed(token[i:j], bits), "docs": doc[i:j].tobytes()} for k, (i, j) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if j > i]
+            rows += [{"key": k, "batch": key, "tokens": _packed(marks[i:j], bits), "df": counts[i:j].tobytes()} for k, (i, j) in enumerate(zip(at[:-1], at[1:], strict=True)) if j > i]
             for i in range(0, len(rows), 64):
                 yield _rows(rows[i : i + 64])
 
     return run
 
 
-def _bucket(table: pa.Table) -> pa.Table:
+def _bucket(bits: int):
     """Of a bucket: what is found in two documents or more, by batch, with the number of documents. Batches' own rows pass."""
-    if table["key"][0].as_py() < 0:
-        return table
-    parts = [np.frombuffer(x, np.uint64) for x in table["tokens"].to_pylist()]
-    token, doc = np.concatenate(parts), np.concatenate([np.frombuffer(x, np.int32) for x in table["docs"].to_pylist()])
-    row = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
-    order = np.argsort(token, kind="stable")
-    sorted_token = token[order]
-    head = np.nonzero(np.concatenate([[True], sorted_token[1:] != sorted_token[:-1]]))[0]
-    weight = np.where(doc < 0, -1 - doc, 1).astype(np.int64)[order]
-    total = np.add.reduceat(weight, head)
-    df = np.empty(len(token), np.int64)
-    df[order] = np.repeat(total, np.diff(np.append(head, len(token))))
-    keep = df > 1
-    token, doc, row, df = token[keep], doc[keep], row[keep], np.minimum(df[keep], 2**31 - 1).astype(np.int32)
-    batch, cut = table["batch"].to_pylist(), np.searchsorted(row, np.arange(len(parts) + 1))
-    return pa.Table.from_batches([_rows([{"key": 0, "batch": batch[k], "tokens": token[i:j].tobytes(), "docs": doc[i:j].tobytes(), "df": df[i:j].tobytes()} for k, (i, j) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if j > i])], _SCHEMA)
+
+    def run(table: pa.Table) -> pa.Table:
+        bucket = table["key"][0].as_py()
+        if bucket < 0:
+            return table
+        docs, batch = table["docs"].to_pylist(), table["batch"].to_pylist()
+        parts = [_unpacked(x, bucket, bits) for x in table["tokens"].to_pylist()]
+        weight = np.concatenate([np.ones(len(p), np.int64) if d is not None else np.frombuffer(f, np.int32).astype(np.int64) for p, d, f in zip(parts, docs, table["df"].to_pylist(), strict=True)])
+        doc = np.concatenate([np.frombuffer(d, np.uint16) if d is not None else np.zeros(len(p), np.uint16) for p, d in zip(parts, docs, strict=True)])
+        row, token = np.repeat(np.arange(len(parts)), [len(p) for p in parts]), np.concatenate(parts)
+        order = np.argsort(token, kind="stable")
+        sorted_token = token[order]
+        head = np.nonzero(np.concatenate([[True], sorted_token[1:] != sorted_token[:-1]]))[0]
+        df = np.empty(len(token), np.int64)
+        df[order] = np.repeat(np.add.reduceat(weight[order], head), np.diff(np.append(head, len(token))))
+        keep = df > 1
+        token, doc, row, df = token[keep], doc[keep], row[keep], np.minimum(df[keep], 65_535).astype(np.uint16)
+        cut = np.searchsorted(row, np.arange(len(parts) + 1))
+        return pa.Table.from_batches([_rows([{"key": bucket, "batch": batch[k], "tokens": _packed(token[i:j], bits), "docs": doc[i:j].tobytes() if docs[k] is not None else None, "df": df[i:j].tobytes()} for k, (i, j) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if j > i])], _SCHEMA)
+
+    return run
 
 
 SETS = "doc_id long, n long, s1 long, s2 long, tokens binary, prefix array<long>"
 
 
-def _documents(percent: int):
+def _documents(percent: int, bits: int):
     def run(table: pa.Table) -> pa.Table:
-        own = None
-        token, doc, df, marks = [], [], [], {}
-        for key, t, d, f in zip(table["key"].to_pylist(), table["tokens"].to_pylist(), table["docs"].to_pylist(), table["df"].to_pylist(), strict=True):
-            if key < 0:
-                own = (np.frombuffer(t, np.uint64), np.frombuffer(d, np.int32))
-            else:
-                token.append(np.frombuffer(t, np.uint64)), doc.append(np.frombuffer(d, np.int32)), df.append(np.frombuffer(f, np.int32))
-        i = next(i for i, key in enumerate(table["key"].to_pylist()) if key < 0)
+        keys = table["key"].to_pylist()
+        i = next(i for i, key in enumerate(keys) if key < 0)
         doc_id, n, s1, s2 = (table[c][i].as_py() for c in ("doc_id", "n", "s1", "s2"))
-        token, doc, df = np.concatenate([*token, np.zeros(0, np.uint64)]), np.concatenate([*doc, np.zeros(0, np.int32)]), np.concatenate([*df, np.zeros(0, np.int32)])
-        mark = doc < 0
-        order = np.argsort(token[mark])
-        marks, marks_df = token[mark][order], df[mark][order]
-        token, doc, df = np.concatenate([token[~mark], own[0]]), np.concatenate([doc[~mark], own[1]]), np.concatenate([df[~mark], marks_df[np.searchsorted(marks, own[0])] if len(own[0]) else np.zeros(0, np.int32)])
+        own, own_doc = np.frombuffer(table["tokens"][i].as_py(), np.uint64), np.frombuffer(table["docs"][i].as_py(), np.uint16)
+        tokens, docs, dfs, marks, marks_df = [], [], [], [np.zeros(0, np.uint64)], [np.zeros(0, np.uint16)]
+        for key, t, d, f in zip(keys, table["tokens"].to_pylist(), table["docs"].to_pylist(), table["df"].to_pylist(), strict=True):
+            if key >= 0:
+                (tokens if d is not None else marks).append(_unpacked(t, key, bits))
+                (dfs if d is not None else marks_df).append(np.frombuffer(f, np.uint16))
+                docs += [np.frombuffer(d, np.uint16)] if d is not None else []
+        mark, mark_df = np.concatenate(marks), np.concatenate(marks_df)
+        order = np.argsort(mark)
+        mark, mark_df = mark[order], mark_df[order]
+        token, doc = np.concatenate([*tokens, own]), np.concatenate([*docs, own_doc])
+        df = np.concatenate([*dfs, mark_df[np.searchsorted(mark, own)] if len(own) else np.zeros(0, np.uint16)])
         order = np.lexsort((token, doc))
         token, doc, df = token[order], doc[order], df[order]
         cut = np.searchsorted(doc, np.arange(len(n) + 1))
@@ -166,9 +184,11 @@ def _documents(percent: int):
 def shared_sets(docs: DataFrame, percent: int, size: int) -> DataFrame:
     """(doc_id, n, s1, s2: hashes of the set; of documents that may link: tokens found elsewhere too, prefix)."""
     total = docs.agg(F.sum(F.octet_length(F.col("text").cast("string")))).first()[0] or 0
-    buckets = 1 << max(4, int(total // BUCKET).bit_length())
-    sent = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_sender(size, buckets), SENT)
-    return common.saved(sent.groupBy("key").applyInArrow(_bucket, SENT).groupBy("batch").applyInArrow(_documents(percent), SETS), "sets")
+    bits = max(4, int(total // BUCKET).bit_length())
+    sent = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_sender(size, bits), SENT)
+    out = common.saved(sent.groupBy("key").applyInArrow(_bucket(bits), SENT).groupBy("batch").applyInArrow(_documents(percent, bits), SETS), "sets")
+    docs.sparkSession._jvm.System.gc()  # the two shuffles before are over: the cleaner may delete their files
+    return out
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
