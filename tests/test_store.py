@@ -160,7 +160,7 @@ def test_store(spark, tmp_path):
     assert provenance.verify(log.withColumn("source", F.when(F.col("seq") == 4, "x").otherwise(F.col("source"))), store.memories().limit(0).select("id", F.lit("").alias("content_hash")))["broken"] == 4
     assert "changed" in provenance.verify(log, store.memories().select("id", F.lit("0").alias("content_hash")))["reason"]
     assert store.recall("builds").first().id == "fact-where-builds-go-2"  # the shorter one
-    assert store.prune(NOW + 200 * 86_400).count() == 0 and store.prune(NOW + 400 * 86_400, force=True).count() == 12
+    assert store.prune(NOW + 100 * 86_400).count() == 0 and store.prune(NOW + 400 * 86_400, force=True).count() == 12
     assert store.memories().isEmpty() and store.table("archive").count() == 12
     with pytest.raises(UsageError):
         store.delete(["nothing"])
