@@ -1,7 +1,7 @@
 """Packing by lexical retrieval: a sharded BM25 index returns unused neighbours for each seed document, which fill its window.
 
 A document of WINDOW tokens or more is cut into full windows and a rest; the rests go to shards of about SHARD documents by a
-hash. A shard holds an inverted index over all words of its documents. The longest unused document is the seed of the next
+hash. A shard holds an inverted index over all distinct tokens of its documents. The longest unused document is the seed of the next
 window; its neighbours in the order of their BM25 score fill the room, and what room is left takes the longest unused that fit.
 
 Defined cases: a null or empty text is the end-of-text token alone; repeated rows are packed once for each row; a null doc_id
@@ -26,7 +26,6 @@ WINDOW, SHARD, END = 2048, 1500, 1
 K1, B = 1.2, 0.75
 #: Texts of these characters only take the quick path, where both libraries agree on every class of characters.
 _PLAIN = re.compile("[^\t\n\r\x20-\x7e\xa1-ɏ]")
-_WORD = re.compile(r"[^\W\d_]+")
 _LOADED: dict = {}
 
 
@@ -74,8 +73,7 @@ def tokenised(docs: DataFrame, path: str) -> DataFrame:
                 ids = np.array([*encode(t), END], "<u4")
                 tokens.append(len(ids))
                 crcs.append([zlib.crc32(ids[i : i + WINDOW].tobytes()) for i in range(0, len(ids), WINDOW)])
-                words = {} if len(ids) % WINDOW == 0 else dict.fromkeys(_WORD.findall(t.lower()))
-                terms.append(np.unique(np.fromiter((zlib.crc32(w.encode("utf-8", "surrogatepass")) for w in words), np.uint32, len(words))).astype("<u4").tobytes())
+                terms.append(np.unique(ids).tobytes() if len(ids) % WINDOW else b"")
                 spread.append(zlib.crc32(f"{doc}:{part}:{seen}".encode()))
                 seen += 1
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(spread, pa.int64()), pa.array(tokens, pa.int64()), pa.array(crcs, pa.list_(pa.int64())), pa.array(terms, pa.binary())], names=["doc_id", "spread", "tokens", "crcs", "terms"])
@@ -99,7 +97,7 @@ class Index:
         idf = np.log1p((n - df + 0.5) / (df + 0.5))
         norm = K1 * (1 - B + B * size / max(size.mean(), 1e-9)) if n else size
         self.weight = idf[term[order]] * (K1 + 1) / (1 + norm[self.docs])
-        self.useful = (df > 1) & (df <= max(2, n // 2))
+        self.useful = (df > 1) & (df <= max(2, n // 4))  # what more share tells documents apart too little
         self.n = n
 
     def scores(self, seed: int) -> np.ndarray:
