@@ -8,6 +8,8 @@ import tempfile
 import uuid
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -67,6 +69,21 @@ def texts(batch) -> list[str]:
     return [t or "" for t in batch.column(batch.schema.get_field_index("text")).to_pylist()]
 
 
+def lengths(batch) -> list[int]:
+    """Characters of each text of a record batch, without making the texts; null counts as empty."""
+    return pc.fill_null(pc.utf8_length(batch.column(batch.schema.get_field_index("text"))), 0).to_pylist()
+
+
+def trim() -> None:
+    """Gives what is freed back to the system: a worker is used again and would keep the peak of each job it had."""
+    import ctypes  # here: a module that travels by value can't hold a library
+
+    pa.default_memory_pool().release_unused()
+    give_back = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if give_back:
+        give_back(0)
+
+
 def mixed(x: np.ndarray) -> np.ndarray:
     """splitmix64's finaliser, on uint64."""
     x = x.copy()

@@ -208,6 +208,7 @@ def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         def run(batches, items=items):
             for b in batches:
                 yield b.filter(pa.array([not found for found in _matches(items, [t or "" for t in b.column(at).to_pylist()])], pa.bool_()))
+                common.trim()
 
         out = out.mapInArrow(run, schema)
     return out

@@ -64,7 +64,7 @@ def _rows(rows: list[dict]) -> pa.RecordBatch:
 def _smaller(batches):
     """Batches of at most BATCH characters or one document, and of fewer documents than 16 bits number."""
     for b in batches:
-        sizes = [len(t) + BATCH // 50_000 for t in common.texts(b)]
+        sizes = [n + BATCH // 50_000 for n in common.lengths(b)]
         for i, j in common.slices(sizes, BATCH):
             yield b.slice(i, j - i)
 
@@ -84,35 +84,50 @@ def _sender(size: int, bits: int):
     #: What 7 bytes beside the bucket's number cannot hold is cut off.
     whole, shift, buckets = ~np.uint64((1 << max(0, 8 - bits)) - 1), np.uint64(64 - bits), 1 << bits
 
+    def sent(b, key):
+        texts, docs, hashes = common.texts(b), [np.zeros(0, np.uint16)], [np.zeros(0, np.uint64)]
+        for i, j in common.slices([len(t) for t in texts], 1 << 20):
+            d, h = shingles(texts[i:j], size)
+            docs.append((d + i).astype(np.uint16))
+            hashes.append(h & whole)
+        n = np.zeros(len(texts), np.int64)
+        del texts
+        doc, token = np.concatenate(docs), np.concatenate(hashes)
+        del docs, hashes
+        n += np.bincount(doc, minlength=len(n))
+        sums = []
+        for salt in (0x1234567, 0x7654321):
+            total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(common.mixed(token ^ np.uint64(salt)))])
+            sums.append((total[np.cumsum(n)] - total[np.cumsum(n) - n]).view(np.int64))
+        del total
+        order = np.argsort(token, kind="stable")
+        token, doc = token[order], doc[order]
+        del order
+        head = np.nonzero(np.concatenate([[True], token[1:] != token[:-1]]))[0] if len(token) else np.zeros(0, np.int64)
+        times = np.diff(np.append(head, len(token)))
+        marks, counts = token[head[times >= OFTEN]], times[times >= OFTEN].astype(np.int32)
+        often = np.repeat(times >= OFTEN, times)
+        del head, times
+        yield _rows([{"key": -1 - key, "batch": key, "tokens": token[often].tobytes(), "docs": doc[often].tobytes(), "doc_id": b.column(0).to_pylist(), "n": n.tolist(), "s1": sums[0].tolist(), "s2": sums[1].tolist()}])
+        token, doc = token[~often], doc[~often]
+        edges = np.arange(buckets + 1, dtype=np.uint64)
+        cut, at = np.searchsorted(token >> shift, edges), np.searchsorted(marks >> shift, edges)
+        rows = []
+        for k in range(buckets):
+            for i, j, held, of, other in ((cut[k], cut[k + 1], token, "docs", doc), (at[k], at[k + 1], marks, "df", counts)):
+                if j > i:
+                    rows.append({"key": k, "batch": key, "tokens": _packed(held[i:j], bits), of: other[i:j].tobytes()})
+            if len(rows) >= 64:
+                yield _rows(rows)
+                rows = []
+        if rows:
+            yield _rows(rows)
+
     def run(batches):
         part = TaskContext.get().partitionId()
         for number, b in enumerate(_smaller(batches)):
-            texts, docs, hashes = common.texts(b), [], []
-            for i, j in common.slices([len(t) for t in texts], 1 << 21):
-                d, h = shingles(texts[i:j], size)
-                docs.append((d + i).astype(np.uint16))
-                hashes.append(h & whole)
-            doc, token = np.concatenate([*docs, np.zeros(0, np.uint16)]), np.concatenate([*hashes, np.zeros(0, np.uint64)])
-            n = np.bincount(doc, minlength=len(texts))
-            sums = []
-            for salt in (0x1234567, 0x7654321):
-                total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(common.mixed(token ^ np.uint64(salt)))])
-                sums.append((total[np.cumsum(n)] - total[np.cumsum(n) - n]).view(np.int64))
-            order = np.argsort(token, kind="stable")
-            token, doc = token[order], doc[order]
-            head = np.nonzero(np.concatenate([[True], token[1:] != token[:-1]]))[0] if len(token) else np.zeros(0, np.int64)
-            times = np.diff(np.append(head, len(token)))
-            often = np.repeat(times >= OFTEN, times)
-            key = part << 32 | number
-            yield _rows([{"key": -1 - key, "batch": key, "tokens": token[often].tobytes(), "docs": doc[often].tobytes(), "doc_id": b.column(0).to_pylist(), "n": n.tolist(), "s1": sums[0].tolist(), "s2": sums[1].tolist()}])
-            marks, counts = token[head[times >= OFTEN]], times[times >= OFTEN].astype(np.int32)
-            token, doc = token[~often], doc[~often]
-            edges = np.arange(buckets + 1, dtype=np.uint64)
-            cut, at = np.searchsorted(token >> shift, edges), np.searchsorted(marks >> shift, edges)
-            rows = [{"key": k, "batch": key, "tokens": _packed(token[i:j], bits), "docs": doc[i:j].tobytes()} for k, (i, j) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if j > i]
-            rows += [{"key": k, "batch": key, "tokens": _packed(marks[i:j], bits), "df": counts[i:j].tobytes()} for k, (i, j) in enumerate(zip(at[:-1], at[1:], strict=True)) if j > i]
-            for i in range(0, len(rows), 64):
-                yield _rows(rows[i : i + 64])
+            yield from sent(b, part << 32 | number)
+            common.trim()
 
     return run
 
@@ -124,19 +139,23 @@ def _bucket(bits: int):
         bucket = table["key"][0].as_py()
         if bucket < 0:
             return table
+        common.trim()
         docs, batch = table["docs"].to_pylist(), table["batch"].to_pylist()
         parts = [_unpacked(x, bucket, bits) for x in table["tokens"].to_pylist()]
-        weight = np.concatenate([np.ones(len(p), np.int64) if d is not None else np.frombuffer(f, np.int32).astype(np.int64) for p, d, f in zip(parts, docs, table["df"].to_pylist(), strict=True)])
+        weight = np.concatenate([np.ones(len(p), np.int64) if d is not None else np.frombuffer(f, np.int32) for p, d, f in zip(parts, docs, table["df"].to_pylist(), strict=True)])
         doc = np.concatenate([np.frombuffer(d, np.uint16) if d is not None else np.zeros(len(p), np.uint16) for p, d in zip(parts, docs, strict=True)])
-        row, token = np.repeat(np.arange(len(parts)), [len(p) for p in parts]), np.concatenate(parts)
+        row, token, count = np.repeat(np.arange(len(parts), dtype=np.int32), [len(p) for p in parts]), np.concatenate(parts), len(parts)
+        del parts
         order = np.argsort(token, kind="stable")
         sorted_token = token[order]
         head = np.nonzero(np.concatenate([[True], sorted_token[1:] != sorted_token[:-1]]))[0]
+        del sorted_token
         df = np.empty(len(token), np.int64)
         df[order] = np.repeat(np.add.reduceat(weight[order], head), np.diff(np.append(head, len(token))))
+        del order, weight, head
         keep = df > 1
         token, doc, row, df = token[keep], doc[keep], row[keep], np.minimum(df[keep], 65_535).astype(np.uint16)
-        cut = np.searchsorted(row, np.arange(len(parts) + 1))
+        cut = np.searchsorted(row, np.arange(count + 1))
         return pa.Table.from_batches([_rows([{"key": bucket, "batch": batch[k], "tokens": _packed(token[i:j], bits), "docs": doc[i:j].tobytes() if docs[k] is not None else None, "df": df[i:j].tobytes()} for k, (i, j) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if j > i])], _SCHEMA)
 
     return run
@@ -147,6 +166,7 @@ SETS = "doc_id long, n long, s1 long, s2 long, tokens binary, prefix array<long>
 
 def _documents(percent: int, bits: int):
     def run(table: pa.Table) -> pa.Table:
+        common.trim()
         keys = table["key"].to_pylist()
         i = next(i for i, key in enumerate(keys) if key < 0)
         doc_id, n, s1, s2 = (table[c][i].as_py() for c in ("doc_id", "n", "s1", "s2"))

@@ -77,6 +77,7 @@ def tokenised(docs: DataFrame, path: str) -> DataFrame:
                 spread.append(zlib.crc32(f"{doc}:{part}:{seen}".encode()))
                 seen += 1
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(spread, pa.int64()), pa.array(tokens, pa.int64()), pa.array(crcs, pa.list_(pa.int64())), pa.array(terms, pa.binary())], names=["doc_id", "spread", "tokens", "crcs", "terms"])
+            common.trim()
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, spread long, tokens long, crcs array<long>, terms binary")
 
