@@ -67,11 +67,9 @@ def fit(texts: list[str], toxic: np.ndarray, rounds: int = 400, rate: float = 0.
         return Model([], np.zeros(0), np.zeros(GRADES))
     words = telling([set(_WORD.findall(t.lower())) for t in texts], toxic)
     at = {w: i for i, w in enumerate(words)}
-    x = np.zeros((len(texts), len(words)), np.float32)
-    for i, t in enumerate(texts):
-        for w, n in counts(t, at.keys()).items():
-            x[i, at[w]] = np.log1p(n)
-    mass = x.sum(1)
+    held = [(i, at[w], np.log1p(n)) for i, t in enumerate(texts) for w, n in counts(t, at.keys()).items()]
+    row, column, x = (np.array([h[k] for h in held], kind) for k, kind in enumerate((np.int64, np.int64, np.float64)))
+    mass = np.bincount(row, x, len(texts))
     thirds = np.quantile(mass[toxic], [k / GRADES for k in range(1, GRADES)])
     grade = np.where(toxic, 1 + (mass[:, None] > thirds).sum(1), 0)
     reached = (grade[:, None] >= np.arange(1, GRADES + 1)).astype(np.float32)
@@ -80,11 +78,11 @@ def fit(texts: list[str], toxic: np.ndarray, rounds: int = 400, rate: float = 0.
     sq = [np.zeros(len(words)), np.zeros(GRADES)]
     for step in range(1, rounds + 1):
         cuts = gap[0] + np.concatenate([[0], np.cumsum(np.exp(gap[1:]))])
-        p = 1 / (1 + np.exp(np.clip(cuts - (x @ w)[:, None], -30, 30)))
+        p = 1 / (1 + np.exp(np.clip(cuts - np.bincount(row, x * w[column], len(texts))[:, None], -30, 30)))
         d = (p - reached) / len(texts)
         dc = -d.sum(0)
         dg = np.array([dc.sum(), *(dc[k:].sum() * np.exp(gap[k]) for k in range(1, GRADES))])
-        for k, (v, g) in enumerate(((w, x.T @ d.sum(1) + decay * w), (gap, dg))):
+        for k, (v, g) in enumerate(((w, np.bincount(column, x * d.sum(1)[row], len(words)) + decay * w), (gap, dg))):
             mom[k] = 0.9 * mom[k] + 0.1 * g
             sq[k] = 0.999 * sq[k] + 0.001 * g * g
             v -= rate * (mom[k] / (1 - 0.9**step)) / (np.sqrt(sq[k] / (1 - 0.999**step)) + 1e-8)
@@ -119,6 +117,7 @@ def harmless(docs: DataFrame, labels: DataFrame, sample: int = 6_000) -> DataFra
         for b in batches:
             keep = [model.tail(t or "")[0] < 0.5 for t in b.column(at).to_pylist()]
             yield b.filter(pa.array(keep, pa.bool_()))
+            common.trim()
 
     return docs.mapInArrow(run, schema)
 
