@@ -228,12 +228,20 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return common.saved(rows.mapInArrow(run, "a long, b long"), "pairs")
 
 
+def _root(root: dict[int, int], g: int) -> int:
+    while root[g] != g:
+        root[g] = root[root[g]]
+        g = root[g]
+    return g
+
+
 def opened(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) between classes that share a token of rows (token, c, n, g, lead) and are not yet in one group g.
 
     Classes that the same class leads go to blocks of about BLOCK. The token-group matrix holds each block's union; blocks
-    that share a token open each other, and only there sets are compared. A task holds two blocks, and of a class's links to
-    a group one is returned.
+    that share a token open each other, and only there sets are compared. A task holds two blocks, and returns a link only
+    where it joins groups that its links before don't join yet: as many as there are groups at most, and none is lost. Each
+    block opens itself first; between blocks, groups are those that result.
     """
     home = rows.groupBy("c", "g").agg(F.min("lead").alias("home"))
     home = home.join(home.groupBy("home").agg(F.count("*").alias("size")), "home").withColumn("salt", F.pmod(F.xxhash64("c"), F.ceil(F.col("size") / BLOCK)))
@@ -241,8 +249,9 @@ def opened(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     matrix = common.saved(rows.select("token", "c").join(home.select("c", "block"), "c").select("token", "block").distinct(), "matrix")
     pairs = matrix.join(matrix.withColumnRenamed("block", "other"), "token").where("block <= other").select("block", "other").distinct()
     members = F.collect_list(F.struct("c", "g", "n", "tokens"))
-    full = common.saved(home.join(sets.select("c", "n", "tokens"), "c").groupBy("block").agg(members.alias("members")), "members")
-    both = pairs.join(full, "block").join(full.select(F.col("block").alias("other"), F.col("members").alias("others")), "other")
+
+    def held(home):
+        return common.saved(home.join(sets.select("c", "n", "tokens"), "c").groupBy("block").agg(members.alias("members")), "members")
 
     def run(batches):
         for batch in batches:
@@ -252,7 +261,7 @@ def opened(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 order = np.argsort(token, kind="stable")
                 token, owner = token[order], owner[order]
                 n, g, c = (np.array([m[k] for m in others], np.int64) for k in ("n", "g", "c"))
-                links = []
+                links, root = [], {int(k): int(k) for k in g} | {m["g"]: m["g"] for m in own}
                 for m in own:
                     x = np.frombuffer(m["tokens"], np.uint64)
                     low, high = np.searchsorted(token, x), np.searchsorted(token, x, side="right")
@@ -260,10 +269,22 @@ def opened(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                     at = np.repeat(low - np.concatenate([[0], np.cumsum(times)[:-1]]), times) + np.arange(times.sum())
                     shared = np.bincount(owner[at], minlength=len(sets))
                     hit = np.nonzero((g != m["g"]) & (100 * shared >= percent * (m["n"] + n - shared)))[0]
-                    links += [(m["c"], int(c[k])) for k in hit[np.unique(g[hit], return_index=True)[1]]]
+                    for k in hit[np.unique(g[hit], return_index=True)[1]]:
+                        x, y = _root(root, m["g"]), _root(root, int(g[k]))
+                        if x != y:
+                            root[max(x, y)] = min(x, y)
+                            links.append((m["c"], int(c[k])))
                 yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in (zip(*links, strict=True) if links else ([], []))], names=["a", "b"])
 
-    return common.saved(both.select("members", "others").mapInArrow(run, "a long, b long"), "opened")
+    within = common.saved(held(home).select("members", F.col("members").alias("others")).mapInArrow(run, "a long, b long"), "opened")
+    # groups that blocks' own links join, by the groups' names
+    name = lambda side: home.select(F.col("c").alias(side), F.col("g").alias("g" + side))
+    joined = components(within.join(name("a"), "a").join(name("b"), "b").select(F.col("ga").alias("a"), F.col("gb").alias("b")))
+    named = home.join(joined.withColumnRenamed("node", "g"), "g", "left").select("c", F.coalesce("label", "g").alias("g"), "block")
+    full = held(named)
+    both = pairs.where("block < other").join(full, "block").join(full.select(F.col("block").alias("other"), F.col("members").alias("others")), "other")
+    across = common.saved(both.select("members", "others").mapInArrow(run, "a long, b long"), "opened")
+    return within.unionByName(across)
 
 
 def _grouped(prefix: DataFrame, links: DataFrame | None) -> DataFrame:
