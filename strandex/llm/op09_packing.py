@@ -1,8 +1,14 @@
 """Packing by lexical retrieval: a sharded BM25 index returns unused neighbours for each seed document, which fill its window.
 
-A document of WINDOW tokens or more is cut into full windows and a rest; the rests go to shards of about SHARD documents by a
-hash. A shard holds an inverted index over all distinct tokens of its documents. The longest unused document is the seed of the next
-window; its neighbours in the order of their BM25 score fill the room, and what room is left takes the longest unused that fit.
+A document of WINDOW tokens or more is cut into full windows and a rest. The rests are put in an order of content and cut into
+shards of about SHARD documents: a tree of centres, learnt from a bounded sample, gives each document a leaf, and within a leaf
+documents are in the order of their nearness to its centre. So copies are side by side, however many they are, and documents of
+one leaf share a shard or lie in adjacent ones. A shard holds an inverted index over all distinct tokens of its documents, with the
+document frequencies and the mean length of the whole corpus. The longest unused document is the seed of the next window; its
+neighbours in the order of their BM25 score fill the room, and what room is left takes the longest unused that fit.
+
+A seed asks its own shard only: a neighbour that the tree puts elsewhere isn't found. README has the measured share of nearest
+documents that are.
 
 Defined cases: a null or empty text is the end-of-text token alone; repeated rows are packed once for each row; a null doc_id
 is returned as it is; extra columns are ignored.
@@ -24,6 +30,8 @@ from . import common
 
 WINDOW, SHARD, END = 2048, 1500, 1
 K1, B = 1.2, 0.75
+#: Directions that documents are projected on; documents that the tree learns from, and of them for a leaf at least; leaves for a shard.
+DIRECTIONS, SAMPLE, LEAST, LEAVES = 256, 30_000, 10, 3
 #: Texts of these characters only take the quick path, where both libraries agree on every class of characters.
 _PLAIN = re.compile("[^\t\n\r\x20-\x7e\xa1-ɏ]")
 _LOADED: dict = {}
@@ -82,10 +90,89 @@ def tokenised(docs: DataFrame, path: str) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, spread long, tokens long, crcs array<long>, terms binary")
 
 
+def _idf(n: int, df: np.ndarray) -> np.ndarray:
+    return np.log1p((n - df + 0.5) / (df + 0.5))
+
+
+class Stats:
+    """Of a corpus: idf by token ID, mean number of distinct tokens of the documents."""
+
+    def __init__(self, tokens: DataFrame):
+        def counts(batches):
+            total = np.zeros(0, np.int64)
+            for b in batches:
+                c = np.bincount(np.frombuffer(b"".join(b.column(0).to_pylist()), "<u4"))
+                total, c = (total, c) if len(total) >= len(c) else (c, total)
+                total[: len(c)] += c
+            at = np.nonzero(total)[0]
+            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at], pa.int64())], names=["term", "n"])
+
+        rests = tokens.where(F.octet_length("terms") > 0).select("terms")
+        self.n = rests.count()
+        table = rests.mapInArrow(counts, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+        term, n = table["term"].to_numpy(), table["n"].to_numpy()
+        df = np.zeros(int(term.max()) + 1 if len(term) else 0, np.int64)
+        df[term] = n
+        self.idf, self.mean = _idf(self.n, df), float(df.sum()) / max(self.n, 1)
+
+
+def directions(idf: np.ndarray) -> np.ndarray:
+    """A row for each token ID: random signs times its idf."""
+    signs = np.random.Generator(np.random.PCG64(9)).integers(0, 2, (len(idf), DIRECTIONS), np.int8)
+    return (signs * np.float32(2) - 1) * idf.astype(np.float32)[:, None]
+
+
+def vectors(terms: list[bytes], along: np.ndarray) -> np.ndarray:
+    """Unit vectors whose products are about the cosines of the documents' idf vectors."""
+    out = np.zeros((len(terms), DIRECTIONS), np.float32)
+    for i, t in enumerate(terms):
+        np.add.reduce(along[np.frombuffer(t, "<u4")], axis=0, out=out[i])
+    return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-9)
+
+
+def centres(x: np.ndarray, k: int, rounds: int = 8) -> np.ndarray:
+    """Spherical k-means; the centres are in the order of their first principal component."""
+    c = x[np.linspace(0, len(x) - 1, k).astype(np.int64)]
+    for _ in range(rounds):
+        at = (x @ c.T).argmax(1)
+        order = np.argsort(at, kind="stable")
+        found, start = np.unique(at[order], return_index=True)
+        sums = np.add.reduceat(x[order], start, axis=0)
+        c[found] = sums / np.maximum(np.linalg.norm(sums, axis=1, keepdims=True), 1e-9)
+    _, _, axes = np.linalg.svd(c - c.mean(0), full_matrices=False)
+    return c[np.argsort(c @ axes[0], kind="stable")]
+
+
+class Tree:
+    """Two levels of centres over a sample, with about so many leaves."""
+
+    def __init__(self, x: np.ndarray, leaves: int):
+        leaves = max(1, min(len(x) // LEAST, leaves))
+        k = max(1, round(leaves**0.5))
+        self.top = centres(x, min(k, len(x)))
+        at = (x @ self.top.T).argmax(1)
+        groups = [x[at == i] for i in range(len(self.top))]
+        self.below = [centres(g, max(1, min(len(g), round(leaves * len(g) / len(x))))) if len(g) else self.top[i : i + 1] for i, g in enumerate(groups)]
+
+    def places(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Leaf of each document, and its nearness to the leaf's centre in 1/4096."""
+        at = (x @ self.top.T).argmax(1)
+        leaf, near = np.zeros(len(x), np.int64), np.zeros(len(x), np.int64)
+        for i in np.unique(at):
+            here = np.nonzero(at == i)[0]
+            s = x[here] @ self.below[i].T
+            b = s.argmax(1)
+            leaf[here], near[here] = (int(i) << 20) + b, np.rint(s[np.arange(len(here)), b] * 4096)
+        return leaf, near
+
+
 class Index:
-    """BM25 over the documents of a shard; a document's terms count once each, and its length is the number of its terms."""
+    """BM25 over the documents of a shard; a document's terms count once each, and its length is the number of its terms.
+
+    stats: those of the corpus that the shard is part of; without them the shard is the corpus.
+    """
 
-    def __init__(self, terms: list[np.ndarray]):
+    def __init__(self, terms: list[np.ndarray], stats: Stats | None = None):
         n = len(terms)
         size = np.array([len(t) for t in terms], np.float64)
         doc = np.repeat(np.arange(n), size.astype(np.int64))
@@ -95,8 +182,8 @@ class Index:
         self.docs = doc[order]
         df = np.bincount(term, minlength=len(self.vocabulary))
         self.head = np.concatenate([[0], np.cumsum(df)])
-        idf = np.log1p((n - df + 0.5) / (df + 0.5))
-        norm = K1 * (1 - B + B * size / max(size.mean(), 1e-9)) if n else size
+        idf = stats.idf[self.vocabulary] if stats else _idf(n, df)
+        norm = K1 * (1 - B + B * size / max(stats.mean if stats else size.mean(), 1e-9)) if n else size
         self.weight = idf[term[order]] * (K1 + 1) / (1 + norm[self.docs])
         self.useful = (df > 1) & (df <= max(2, n // 4))  # what more share tells documents apart too little
         self.n = n
@@ -144,34 +231,67 @@ def pack(sizes: np.ndarray, index: Index, window: int = WINDOW) -> list[list[int
 OUT = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
+def placed(tokens: DataFrame, stats: Stats, shard: int = SHARD) -> DataFrame:
+    """tokens with the columns leaf and near, which put documents in an order of content; documents without a rest are anywhere."""
+    sc = tokens.sparkSession.sparkContext
+    some = tokens.where(F.octet_length("terms") > 0).where(F.col("spread") < int(min(1.0, SAMPLE / max(stats.n, 1)) * (1 << 32))).orderBy("spread").select("terms").toArrow()
+    sample = vectors(some["terms"].to_pylist(), directions(stats.idf)) if len(some) else np.zeros((1, DIRECTIONS), np.float32)
+    held = sc.broadcast((Tree(sample, LEAVES * stats.n // shard), stats.idf))
+
+    def run(batches):
+        tree, idf = held.value
+        along = directions(idf)
+        for b in batches:
+            leaf, near = tree.places(vectors(b.column("terms").to_pylist(), along))
+            whole = np.array(b.column("terms").to_pylist(), object) == b""
+            spread = b.column("spread").to_numpy()
+            leaf[whole] = spread[whole] % len(tree.top) << 20
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(leaf), pa.array(near)], names=[*b.schema.names, "leaf", "near"])
+            common.trim()
+
+    return tokens.mapInArrow(run, "doc_id long, spread long, tokens long, crcs array<long>, terms binary, leaf long, near long")
+
+
 def packed(docs: DataFrame, path: str | None = None, shard: int = SHARD) -> DataFrame:
     """docs (doc_id, text) -> a row for each piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
     tokens = common.saved(tokenised(docs, path or vocabulary()), "tokens")
-    shards = max(1, -(-tokens.count() // shard))
+    stats, parts = Stats(tokens), max(1, -(-tokens.count() // (4 * shard)))
+    ordered = common.saved(placed(tokens, stats, shard), "placed").repartitionByRange(parts, "leaf", "near", "spread").sortWithinPartitions("leaf", "near", "spread", "doc_id", "tokens")
+    held = docs.sparkSession.sparkContext.broadcast(stats)
     names = [x.split()[0] for x in OUT.split(", ")]
 
-    def run(table: pa.Table) -> pa.Table:
-        table = table.sort_by([("spread", "ascending"), ("doc_id", "ascending"), ("tokens", "ascending")])
-        doc, n = table["doc_id"].to_pylist(), table["tokens"].to_numpy()
-        crcs, base = table["crcs"].to_pylist(), table["shard"][0].as_py() << 32
-        rows, sequence = [], 0
+    def run(batches):
+        got = [b for b in batches if b.num_rows]
+        if not got:
+            return
+        table = pa.Table.from_batches(got)
+        ends, at, sequence = np.linspace(0, len(table), max(1, round(len(table) / shard)) + 1).astype(np.int64), 0, TaskContext.get().partitionId() << 32
+        for end in ends[1:]:
+            rows, sequence = one(table.slice(at, int(end) - at), sequence)
+            at = int(end)
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names=names)
+            common.trim()
+
+    def one(table: pa.Table, sequence: int):
+        doc, n, crcs = table["doc_id"].to_pylist(), table["tokens"].to_numpy(), table["crcs"].to_pylist()
+        rows = []
         for i in range(len(n)):
             for k in range(int(n[i]) // WINDOW):
-                rows.append((doc[i], k * WINDOW, WINDOW, crcs[i][k], int(n[i]), base + sequence, 0))
+                rows.append((doc[i], k * WINDOW, WINDOW, crcs[i][k], int(n[i]), sequence, 0))
                 sequence += 1
         rest = np.nonzero(n % WINDOW)[0]
         sizes = (n % WINDOW)[rest]
-        held = table["terms"].to_pylist()
-        for window in pack(sizes, Index([np.frombuffer(held[i], "<u4") for i in rest])):
+        terms = table["terms"].to_pylist()
+        for window in pack(sizes, Index([np.frombuffer(terms[i], "<u4") for i in rest], held.value)):
             at = 0
             for d in window:
                 i, size = int(rest[d]), int(sizes[d])
-                rows.append((doc[i], int(n[i]) - size, size, crcs[i][-1], int(n[i]), base + sequence, at))
+                rows.append((doc[i], int(n[i]) - size, size, crcs[i][-1], int(n[i]), sequence, at))
                 at += size
             sequence += 1
-        return pa.table([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names=names)
+        return rows, sequence
 
-    return tokens.withColumn("shard", F.pmod(F.col("spread"), F.lit(shards))).groupBy("shard").applyInArrow(run, OUT)
+    return ordered.mapInArrow(run, OUT)
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -304,6 +304,29 @@ def test_neighbours_share_words():
     assert np.mean([len({d % 5 for d in w}) == 1 for w in windows]) > 0.8
 
 
+def test_neighbours_meet_in_shards(spark):
+    rng = random.Random(12)
+    docs = []
+    for g in range(40):
+        words = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6)) for _ in range(60)]
+        docs += [(4 * g + i, " ".join(rng.choice(words) for _ in range(150 + rng.randrange(10)))) for i in range(4)]
+    rng.shuffle(docs)
+    got = op09_packing.packed(spark.createDataFrame([(i, t, None, None, None) for i, t in docs], DOCS), shard=20).collect()
+    assert sorted({r.doc_id for r in got}) == list(range(160))
+    windows = defaultdict(set)
+    for r in got:
+        windows[r.doc_id // 4].add(r.sequence_id)
+    assert np.mean([len(w) <= 2 for w in windows.values()]) > 0.8  # a group of four lies in one window or two
+
+
+def test_shards_share_statistics(spark):
+    terms = [np.array([10 + i, 100 + i // 2, 200 + i], "<u4") for i in range(8)]
+    stats = op09_packing.Stats(spark.createDataFrame([(bytearray(t.tobytes()),) for t in terms] + [(bytearray(),)], "terms binary"))
+    assert stats.n == 8 and stats.mean == 3
+    whole, part = op09_packing.Index(terms), op09_packing.Index(terms[:4], stats)
+    assert np.allclose(part.scores(0), whole.scores(0)[:4]) and part.scores(0)[1] > 0
+
+
 def test_ordinal_regression():
     rng = random.Random(11)
     vile = ["vile", "nasty", "awful"]
