@@ -3,8 +3,8 @@
 A document of WINDOW tokens or more is cut into full windows and a rest. The rests are put in an order of content and cut into
 shards of about SHARD documents: a tree of centres, learnt from a bounded sample, gives each document a leaf, and within a leaf
 documents are in the order of their nearness to its centre. So copies are side by side, however many they are, and documents of
-one leaf share a shard or lie in adjacent ones. A shard holds an inverted index over all distinct tokens of its documents, with the
-document frequencies and the mean length of the whole corpus. The longest unused document is the seed of the next window; its
+one leaf share a shard or lie in adjacent ones. A shard holds an inverted index over all distinct tokens of its documents, every one of
+which counts with its idf, however frequent it is, with the document frequencies and the mean length of the whole corpus. The longest unused document is the seed of the next window; its
 neighbours in the order of their BM25 score fill the room, and what room is left takes the longest unused that fit.
 
 A seed asks its own shard only: a neighbour that the tree puts elsewhere isn't found. README has the measured share of nearest
@@ -32,6 +32,8 @@ WINDOW, SHARD, END = 2048, 1500, 1
 K1, B = 1.2, 0.75
 #: Directions that documents are projected on; documents that the tree learns from, and of them for a leaf at least; leaves for a shard.
 DIRECTIONS, SAMPLE, LEAST, LEAVES = 256, 30_000, 10, 3
+#: A term that more than one in so many documents of a shard hold is scored by a matrix; the scores are the same.
+HOT = 16
 #: Texts of these characters only take the quick path, where both libraries agree on every class of characters.
 _PLAIN = re.compile("[^\t\n\r\x20-\x7e\xa1-ɏ]")
 _LOADED: dict = {}
@@ -185,15 +187,22 @@ class Index:
         idf = stats.idf[self.vocabulary] if stats else _idf(n, df)
         norm = K1 * (1 - B + B * size / max(stats.mean if stats else size.mean(), 1e-9)) if n else size
         self.weight = idf[term[order]] * (K1 + 1) / (1 + norm[self.docs])
-        self.useful = (df > 1) & (df <= max(2, n // 4))  # what more share tells documents apart too little
+        # a term of one document tells of no other; those that many share are held as rows of a matrix, the others as postings
+        hot = df > max(2, n // HOT)
+        self.listed, at = (df > 1) & ~hot, np.nonzero(hot[term])[0]
+        row = (np.cumsum(hot) - 1)[term[at]]
+        self.has, self.shared = np.zeros((n, hot.sum())), np.zeros((hot.sum(), n))
+        self.has[doc[at], row] = 1
+        at = np.nonzero(hot[term[order]])[0]
+        self.shared[(np.cumsum(hot) - 1)[term[order][at]], self.docs[at]] = self.weight[at]
         self.n = n
 
     def scores(self, seed: int) -> np.ndarray:
         t = self.of[seed]
-        t = t[self.useful[t]]
+        t = t[self.listed[t]]
         size = self.head[t + 1] - self.head[t]
         at = np.repeat(self.head[t] - np.concatenate([[0], np.cumsum(size)[:-1]]).astype(np.int64), size) + np.arange(size.sum())
-        return np.bincount(self.docs[at], weights=self.weight[at], minlength=self.n)
+        return np.round(np.bincount(self.docs[at], weights=self.weight[at], minlength=self.n) + self.has[seed] @ self.shared, 9)
 
 
 def pack(sizes: np.ndarray, index: Index, window: int = WINDOW) -> list[list[int]]:

@@ -327,6 +327,24 @@ def test_shards_share_statistics(spark):
     assert np.allclose(part.scores(0), whole.scores(0)[:4]) and part.scores(0)[1] > 0
 
 
+def test_frequent_terms_count():
+    terms = [np.array([*range(100 * (i % 3), 100 * (i % 3) + 30), 1000 + i], "<u4") for i in range(90)]  # three sources with words of their own
+    index = op09_packing.Index(terms)
+    for i in range(90):
+        assert np.array_equal(index.scores(i) > 0, np.arange(90) % 3 == i % 3)
+    assert all(len({d % 3 for d in w}) == 1 for w in op09_packing.pack(np.array([400 + i for i in range(90)]), index)[:15])
+    rng = np.random.default_rng(3)
+    terms = [np.unique(np.minimum(rng.zipf(1.3, 50), 500)).astype("<u4") for _ in range(120)]
+    df, mean = np.bincount(np.concatenate(terms)), np.mean([len(t) for t in terms])
+    index = op09_packing.Index(terms)
+    for a in range(0, 120, 7):
+        for b in range(120):
+            shared = np.intersect1d(terms[a], terms[b])
+            shared = shared[df[shared] > 1]
+            want = (np.log1p((120 - df[shared] + 0.5) / (df[shared] + 0.5)) * 2.2 / (1 + 1.2 * (0.25 + 0.75 * len(terms[b]) / mean))).sum()
+            assert abs(index.scores(a)[b] - want) < 1e-6
+
+
 def test_ordinal_regression():
     rng = random.Random(11)
     vile = ["vile", "nasty", "awful"]
