@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -10,6 +11,8 @@ from pyspark.sql import functions as F
 from ..functions import fixedpoint as fx
 from ..functions.fixedpoint import SCALE
 
+_LEAST = np.iinfo(np.int64).min
+
 
 def ranked(hits: DataFrame, score: str = "score_micros") -> DataFrame:
     """rank from 1 for each query: score, largest first, then id."""
@@ -29,14 +32,25 @@ def mmr_order(scores: list[int], sets: list[frozenset]) -> list[int]:
         return list(range(n))
     toward_zero = lambda a, b: a // b if a >= 0 else -(-a // b)
     top = max(1, *scores)
-    rel, near, left, out = [toward_zero(s * SCALE, top) for s in scores], [0] * n, list(range(n)), []
-    while left:
-        best = max(left, key=lambda i: (toward_zero(rel[i] - near[i], 2), -i))
-        left.remove(best)
+    key = lambda v: np.where(v >= 0, v // 2, -(-v // 2))
+    rel, near, left, out = np.array([toward_zero(s * SCALE, top) for s in scores], np.int64), np.zeros(n, np.int64), np.ones(n, bool), []
+    names: dict = {}
+    flat = np.array([names.setdefault(t, len(names)) for x in sets for t in x], np.int64)
+    size = np.array([len(x) for x in sets], np.int64)
+    ends, order = np.cumsum(size), np.argsort(flat, kind="stable")
+    holders = np.repeat(np.arange(n), size)[order]
+    df = np.bincount(flat, minlength=len(names))
+    heads = np.cumsum(df) - df
+    for _ in range(n):
+        best = int(np.where(left, key(rel - near), _LEAST).argmax())
+        left[best] = False
         out.append(best)
-        for i in left:
-            union = len(sets[i] | sets[best])
-            near[i] = max(near[i], len(sets[i] & sets[best]) * SCALE // union if union else 0)
+        mine = flat[ends[best] - size[best] : ends[best]]
+        span = df[mine]
+        at = np.repeat(heads[mine] - (np.cumsum(span) - span), span) + np.arange(span.sum())
+        common = np.bincount(holders[at], minlength=n)
+        union = size + size[best] - common
+        near = np.maximum(near, common * SCALE // np.maximum(union, 1))
     return out
 
 

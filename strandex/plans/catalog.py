@@ -209,8 +209,11 @@ def jaccard_pairs(spark, sf_dir):
 
 @query()
 def mmr_order(spark, sf_dir):
-    """Sequential and greedy: no SQL; held against brute force by the tests."""
-    return rank.diversified(_top(spark, sf_dir, 50), t.index(spark, sf_dir).postings.groupBy("id").agg(F.collect_list("term").alias("terms"))).select("qid", "id", "rank")
+    """All hits of a question. Sequential and greedy: no SQL; held against brute force by the tests."""
+    ix = t.index(spark, sf_dir)
+    hits = materialised(rank.ranked(bm25.scores(ix, t.questions(spark))), "hits")
+    terms = ix.postings.join(hits.select("id").distinct(), "id", "left_semi").groupBy("id").agg(F.collect_list("term").alias("terms"))
+    return rank.diversified(hits, terms).select("qid", "id", "rank")
 
 
 @query(q.query("select qid, id, rank, cost from f where kept", *q.BM25, "f0 as (select qid, id, row_number() over (partition by qid order by score_micros desc, id) as rank, (len(title) + octet_length(encode(coalesce(rationale, ''))) + octet_length(encode(id))) // 4 + 8 as cost from scored join mem using (id))",

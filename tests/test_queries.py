@@ -1,9 +1,11 @@
 """Every registered query of the catalogue against its SQL, value for value, on the smallest tables."""
 
 import os
+import random
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from strandex.plans import catalog
 
@@ -33,6 +35,44 @@ def test_against_sql(spark, duck, name):
     assert rows(df.columns, df.collect()) == rows(names, r.fetchall())
 
 
+def plain_mmr(scores, sets):
+    if len(scores) <= 2:
+        return list(range(len(scores)))
+    half = lambda v: v // 2 if v >= 0 else -(-v // 2)
+    top, left, out = max(1, *scores), list(range(len(scores))), []
+    rel = [s * 1_000_000 // top if s >= 0 else -(-s * 1_000_000 // top) for s in scores]
+    near = [0] * len(scores)
+    while left:
+        best = max(left, key=lambda i: (half(rel[i] - near[i]), -i))
+        left.remove(best)
+        out.append(best)
+        for i in left:
+            near[i] = max(near[i], len(sets[i] & sets[best]) * 1_000_000 // max(1, len(sets[i] | sets[best])))
+    return out
+
+
+def test_mmr_orders_all_hits(spark):
+    ix = catalog.t.index(spark, FOLDER)
+    terms = {r.id: frozenset(r.x) for r in ix.postings.groupBy("id").agg(F.collect_list("term").alias("x")).collect()}
+    hits, want = {}, set()
+    for r in catalog.bm25.scores(ix, catalog.t.questions(spark)).collect():
+        hits.setdefault(r.qid, []).append((-r.score_micros, r.id))
+    assert max(map(len, hits.values())) > 50
+    for qid, found in hits.items():
+        found.sort()
+        order = plain_mmr([-s for s, _ in found], [terms[i] for _, i in found])
+        want |= {(qid, found[i][1], k) for k, i in enumerate(order, 1)}
+    assert {(r.qid, r.id, r["rank"]) for r in catalog.QUERIES["mmr_order"](spark, FOLDER).collect()} == want
+
+
+def test_mmr_of_odd_scores():
+    rng = random.Random(4)
+    for _ in range(50):
+        scores = sorted((rng.randrange(-50, 50) for _ in range(12)), reverse=True)
+        sets = [frozenset(rng.sample("abcdefgh", rng.randrange(0, 5))) for _ in scores]
+        assert catalog.rank.mmr_order(scores, sets) == plain_mmr(scores, sets)
+
+
 def test_partitions_change_nothing(spark):
     got = []
     for n in ("1", "7"):
