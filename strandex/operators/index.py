@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import fixedpoint as fx
@@ -35,6 +35,11 @@ def field_lengths(memories: DataFrame, post: DataFrame) -> DataFrame:
     return memories.select("id").join(sums, "id", "left").select("id", *(F.coalesce(f"len_{n}", F.lit(0)).cast("long").alias(f"len_{n}") for n in FIELDS))
 
 
+def hashed_text() -> Column:
+    """What the content hash of a record covers: title, tags and the whole body."""
+    return F.concat_ws("\n", "title", F.array_join("tags", " "), F.coalesce(F.col("body"), F.lit("")))
+
+
 def corpus_stats(lengths: DataFrame) -> DataFrame:
     return lengths.agg(F.count("*").alias("n_docs"), *(F.coalesce(F.sum(f"len_{n}"), F.lit(0)).cast("long").alias(f"total_{n}") for n in FIELDS))
 
@@ -55,7 +60,7 @@ class Index:
         post = keep(postings(memories).repartitionByRange("term").sortWithinPartitions("term", "id"), "postings")
         lengths = field_lengths(memories, post)
         named = memories.columns
-        text = F.concat_ws("\n", "title", F.array_join("tags", " "), F.coalesce(F.col("body"), F.lit("")))
+        text = hashed_text()
         meta = memories.select(*(c if c in named else F.lit(None).cast(_KINDS.get(c, "string")).alias(c) for c in META), fx.fnv1a64_hex(text).alias("content_hash"))
         docs = keep(meta.join(lengths, "id"), "docs")
         return cls(docs, post, keep(document_frequencies(post), "df"), keep(corpus_stats(docs), "stats"))
@@ -85,7 +90,7 @@ def freshness(live: DataFrame, known: DataFrame) -> DataFrame:
 
 def refresh(index: Index, memories: DataFrame) -> Index:
     """Entries with an unchanged hash stay, new and changed documents are tokenised, deleted ones go. Equal to a fresh build."""
-    text = F.concat_ws("\n", "title", F.array_join("tags", " "), F.coalesce(F.col("body"), F.lit("")))
+    text = hashed_text()
     state = materialised(freshness(memories.select("id", fx.fnv1a64_hex(text).alias("content_hash")), index.docs), "freshness")
     stale, again = state.where("state in ('deleted', 'changed')").select("id"), state.where("state in ('new', 'changed')").select("id")
     part = Index.build(memories.join(again, "id", "left_semi"))

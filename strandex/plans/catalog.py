@@ -14,7 +14,7 @@ from ..operators import bm25, embed, graph, lifecycle, rank
 from ..operators import capture as cp
 from ..operators import provenance as pv
 from ..operators import recall as rc
-from ..operators.index import freshness
+from ..operators.index import freshness, hashed_text
 from ..sources import transcripts as tr
 from ..storage import materialised
 from . import sql as q
@@ -329,9 +329,16 @@ _FNV = "lower(lpad(to_hex(list_reduce([('0x' || substr(hex(encode({0})), 1 + 2 *
 
 @query(f"select doc_id, {_FNV.format('title')} as hash from (select doc_id, left(split_part(text, chr(10), 1), 100) as title from documents) where title <> ''")
 def content_hash(spark, sf_dir):
+    """Of titles only, where there is one, as its SQL says; record_hash covers whole records."""
     return t.memories(spark, sf_dir).where("title != ''").select("doc_id", fx.fnv1a64_hex("title").alias("hash"))
 
 
+@query()
+def record_hash(spark, sf_dir):
+    """Of title, tags and the whole body of every document, as the index has it. Too slow in SQL; the tests hold it against plain FNV-1a."""
+    return t.memories(spark, sf_dir).select("doc_id", fx.fnv1a64_hex(hashed_text()).alias("hash"))
+
+
 _TITLE = "coalesce(task, 'agent session')"
 _CAPTURED = rf"""select id, title from (select path, title, 'session-summary-' || {_SLUG} || '-' || left({_FNV.format("('codex:' || session_id)")}, 8) as id from (select *, regexp_replace(left(regexp_replace(regexp_replace(translate(title, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^a-z0-9]+', '-', 'g'), '^-', ''), 40), '-+$', '') as s
  from (select *, {_REDACTED.replace("text", _TITLE)} as title from rolled))) where path::bigint % 3 <> 0"""

@@ -73,6 +73,21 @@ def test_mmr_of_odd_scores():
         assert catalog.rank.mmr_order(scores, sets) == plain_mmr(scores, sets)
 
 
+def test_record_hash_covers_everything(spark, tmp_path):
+    same = "x" * 120
+    texts = [same + "a", same + "b", "line\nbody", "line\nother", "\nstarts empty", "", "ünï 日本\n😀", None]
+    docs = [(i, x, "de", "s") for i, x in enumerate(texts)] + [(8, "line\nbody", "en", "s")]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    want = {}
+    for i, x, lang, source in docs:
+        h = 14695981039346656037
+        for b in "\n".join([*([] if x is None else [x.split("\n")[0][:100]]), f"{lang} {source}", x or ""]).encode():
+            h = (h ^ b) * 1099511628211 % 2**64
+        want[i] = f"{h:016x}"
+    assert len(set(want.values())) == 9
+    assert {r.doc_id: r.hash for r in catalog.QUERIES["record_hash"](spark, str(tmp_path)).collect()} == want
+
+
 def test_partitions_change_nothing(spark):
     got = []
     for n in ("1", "7"):
