@@ -5,6 +5,9 @@ within `edits` = floor(rate * m) edits of a region shares at least m - Q + 1 - Q
 (position in the text less position in the item) that differ by no more than `edits`. So shared q-grams are counted in bands of
 2 * (edits + 1) diagonals that overlap by half; bands that reach the bound are verified by banded alignment.
 
+So that the bound stays positive, `edits` is (m - Q) div Q at most: items of 10 to 15, 20 to 23 and 30 to 31 characters are found
+with one edit less than floor(rate * m), those of 10 to 15 as exact copies only.
+
 The items are taken in blocks of bounded size (BLOCK characters), each against all documents, so that what goes to the
 executors is bounded however many items there are.
 
