@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import re
 import tempfile
 import uuid
 
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 
 #: Rows of a bounded sample are chosen by a hash modulo this.
 HASH_SPACE = 1 << 20
+_FREED = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,21 +24,55 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where that is unset (tests on one machine), one of our own."""
+    """The folder in spark.checkpoint.dir; where that is unset, one of our own, which only a local master may use."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not at:
+        if not re.fullmatch(r"local(\[[^-]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         at = tempfile.mkdtemp(prefix="strandex-")
         spark.sparkContext.setCheckpointDir(at)
     return at
 
 
-def saved(df: DataFrame, name: str) -> DataFrame:
-    """Written as a table in the shared folder and read again: lineage ends there, and nothing is computed twice."""
+@contextlib.contextmanager
+def _shuffles_freed(spark: SparkSession):
+    """Shuffle files of what is written meanwhile go when the write ends, not when the driver happens to collect garbage."""
+    before = spark.conf.get(_FREED, None)
+    spark.conf.set(_FREED, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(_FREED, before) if before is not None else spark.conf.unset(_FREED)
+
+
+def saved(df: DataFrame, name: str, files: bool = False) -> DataFrame:
+    """Written as a table in the shared folder and read again: lineage ends there, and nothing is computed twice.
+
+    What comes from shuffles is written in fewer files than there are partitions: several for each core, and for no more than
+    eight partitions one. files: a file for each partition, for what comes straight from a scan.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/strandex-{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    if not files:
+        df = df.coalesce(max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")) // 8))
+    with _shuffles_freed(spark):
+        df.write.option("compression", "zstd").parquet(path)
     atexit.register(_remove, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._strandex_path = path
+    return out
+
+
+def used_up(*tables: DataFrame) -> None:
+    """Deletes tables of `saved` that nothing reads any more."""
+    for t in tables:
+        _remove(t.sparkSession, t._strandex_path)
+
+
+def row_key() -> list:
+    """A row's identity by id and text, in two hashes of 64 bits: rows that are the same in both share it."""
+    text = F.col("text").cast("string")
+    return [F.xxhash64("doc_id", text).alias("r1"), F.xxhash64(F.lit("strandex"), text, F.col("doc_id")).alias("r2")]
 
 
 def _remove(spark: SparkSession, path: str) -> None:
@@ -74,6 +110,14 @@ def lengths(batch) -> list[int]:
     return pc.fill_null(pc.utf8_length(batch.column(batch.schema.get_field_index("text"))), 0).to_pylist()
 
 
+def sliced(batches, most: int, column: str = "text"):
+    """Record batches with about `most` bytes in the column at most, or one row; freed memory goes back to the system after each."""
+    for b in batches:
+        for i, j in slices(pc.fill_null(pc.binary_length(b.column(b.schema.get_field_index(column))), 0).to_pylist(), most):
+            yield b.slice(i, j - i)
+        trim()
+
+
 def trim() -> None:
     """Gives what is freed back to the system: a worker is used again and would keep the peak of each job it had."""
     import ctypes  # here: a module that travels by value can't hold a library
