@@ -9,10 +9,16 @@ hashes of 60 bits or more:
 2. A document links to another only if PERCENT of its shingles at least are found elsewhere. The others are done: most of them.
 3. Equal sets are one class. A class's prefix is its rarest shared shingles, as many as make sure that linked classes share
    one of them; the rarest come first, so what everybody shares is in the prefix of nobody who has something else.
-4. Each class is compared with a pivot, the class that leads most of its prefix shingles, and what links makes one component;
-   twice. Only classes that still share a prefix shingle with another component go on: classes with the same leader are
-   partitioned into groups of bounded size, the token-group matrix holds each group's union of prefix shingles, and only groups
-   whose unions meet open each other and compare their sets. Links within a component are implied, so none is computed.
+4. Similar classes gather: each is compared with the class that leads most of its prefix shingles, and what links is one
+   component; twice. Links within a component are implied, so none is computed there.
+5. Classes that still share a prefix shingle with another component are partitioned into groups of bounded bytes by the class
+   that leads their rarest shingle. The token-group matrix holds, for each group, the union of its prefix shingles, by which a
+   class finds groups to ask, and the union of all its shingles with the least and largest set in it. A class can link into a
+   group only if it shares as many shingles with the union as a link with the group's best fitting member takes; groups that
+   do not reach that bound stay shut. Only those that do are opened, and the class is compared with their members.
+
+A class's queries of a group are dealt to tasks in chunks of bounded bytes, and a task returns only links that join components
+which its links before don't join yet: so a component is connected, but not all pairs within it are listed.
 
 Defined cases: null or empty texts have an empty set, link with nothing, and their own id as component; with fewer words than
 `shingle` the whole sequence is the one shingle; repeated rows get a row each; a null doc_id counts as no id in the smallest,
@@ -33,10 +39,11 @@ from .graph import components
 PERCENT, SHINGLE = 75, 5
 #: Bytes of text for each bucket; documents of a batch that make a shingle travel once for it.
 BUCKET, OFTEN = 16_000_000, 64
-#: Characters of a batch, and documents of a block, about.
-BATCH, BLOCK = 8_000_000, 256
-SENT = "key long, batch long, tokens binary, docs binary, df binary, doc_id array<long>, n array<long>, s1 array<long>, s2 array<long>"
-_SCHEMA = pa.schema([("key", pa.int64()), ("batch", pa.int64()), ("tokens", pa.binary()), ("docs", pa.binary()), ("df", pa.binary()), *((c, pa.list_(pa.int64())) for c in ("doc_id", "n", "s1", "s2"))])
+#: Characters of a batch; bytes of the sets of a group, and of the queries that one task asks it.
+BATCH, GROUP, CHUNK = 8_000_000, 2_000_000, 4_000_000
+SENT = "part int, key long, batch long, tokens binary, docs binary, df binary, doc_id array<long>, r1 array<long>, r2 array<long>, n array<long>, s1 array<long>, s2 array<long>"
+_DOC = ("doc_id", "r1", "r2", "n", "s1", "s2")
+_SCHEMA = pa.schema([("part", pa.int32()), ("key", pa.int64()), ("batch", pa.int64()), ("tokens", pa.binary()), ("docs", pa.binary()), ("df", pa.binary()), *((c, pa.list_(pa.int64())) for c in _DOC)])
 
 
 def shingles(texts: list[str], size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -108,7 +115,7 @@ def _sender(size: int, bits: int):
         marks, counts = token[head[times >= OFTEN]], times[times >= OFTEN].astype(np.int32)
         often = np.repeat(times >= OFTEN, times)
         del head, times
-        yield _rows([{"key": -1 - key, "batch": key, "tokens": token[often].tobytes(), "docs": doc[often].tobytes(), "doc_id": b.column(0).to_pylist(), "n": n.tolist(), "s1": sums[0].tolist(), "s2": sums[1].tolist()}])
+        yield _rows([{"part": key % buckets, "key": -1 - key, "batch": key, "tokens": token[often].tobytes(), "docs": doc[often].tobytes(), **{c: b.column(i).to_pylist() for i, c in enumerate(_DOC[:3])}, "n": n.tolist(), "s1": sums[0].tolist(), "s2": sums[1].tolist()}])
         token, doc = token[~often], doc[~often]
         edges = np.arange(buckets + 1, dtype=np.uint64)
         cut, at = np.searchsorted(token >> shift, edges), np.searchsorted(marks >> shift, edges)
@@ -116,7 +123,7 @@ def _sender(size: int, bits: int):
         for k in range(buckets):
             for i, j, held, of, other in ((cut[k], cut[k + 1], token, "docs", doc), (at[k], at[k + 1], marks, "df", counts)):
                 if j > i:
-                    rows.append({"key": k, "batch": key, "tokens": _packed(held[i:j], bits), of: other[i:j].tobytes()})
+                    rows.append({"part": k, "key": k, "batch": key, "tokens": _packed(held[i:j], bits), of: other[i:j].tobytes()})
             if len(rows) >= 64:
                 yield _rows(rows)
                 rows = []
@@ -156,12 +163,12 @@ def _bucket(bits: int):
         keep = df > 1
         token, doc, row, df = token[keep], doc[keep], row[keep], np.minimum(df[keep], 65_535).astype(np.uint16)
         cut = np.searchsorted(row, np.arange(count + 1))
-        return pa.Table.from_batches([_rows([{"key": bucket, "batch": batch[k], "tokens": _packed(token[i:j], bits), "docs": doc[i:j].tobytes() if docs[k] is not None else None, "df": df[i:j].tobytes()} for k, (i, j) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if j > i])], _SCHEMA)
+        return pa.Table.from_batches([_rows([{"part": bucket, "key": bucket, "batch": batch[k], "tokens": _packed(token[i:j], bits), "docs": doc[i:j].tobytes() if docs[k] is not None else None, "df": df[i:j].tobytes()} for k, (i, j) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if j > i])], _SCHEMA)
 
     return run
 
 
-SETS = "doc_id long, n long, s1 long, s2 long, tokens binary, prefix array<long>"
+SETS = "doc_id long, r1 long, r2 long, n long, s1 long, s2 long, tokens binary, prefix array<long>"
 
 
 def _documents(percent: int, bits: int):
@@ -169,7 +176,8 @@ def _documents(percent: int, bits: int):
         common.trim()
         keys = table["key"].to_pylist()
         i = next(i for i, key in enumerate(keys) if key < 0)
-        doc_id, n, s1, s2 = (table[c][i].as_py() for c in ("doc_id", "n", "s1", "s2"))
+        held = [table[c][i].as_py() for c in _DOC]
+        n = held[3]
         own, own_doc = np.frombuffer(table["tokens"][i].as_py(), np.uint64), np.frombuffer(table["docs"][i].as_py(), np.uint16)
         tokens, docs, dfs, marks, marks_df = [], [], [], [np.zeros(0, np.uint64)], [np.zeros(0, np.uint16)]
         for key, t, d, f in zip(keys, table["tokens"].to_pylist(), table["docs"].to_pylist(), table["df"].to_pylist(), strict=True):
@@ -195,20 +203,19 @@ def _documents(percent: int, bits: int):
                 prefixes.append(t[np.lexsort((t, df[a:b]))[: b - a - least + 1]].view(np.int64).tolist())
             else:
                 sets.append(None), prefixes.append(None)
-        kinds = (pa.int64(),) * 4 + (pa.binary(), pa.list_(pa.int64()))
-        return pa.table([pa.array(c, k) for c, k in zip((doc_id, n, s1, s2, sets, prefixes), kinds, strict=True)], names=[x.split()[0] for x in SETS.split(", ")])
+        kinds = (pa.int64(),) * 6 + (pa.binary(), pa.list_(pa.int64()))
+        return pa.table([pa.array(c, k) for c, k in zip((*held, sets, prefixes), kinds, strict=True)], names=[x.split()[0] for x in SETS.split(", ")])
 
     return run
 
 
 def shared_sets(docs: DataFrame, percent: int, size: int) -> DataFrame:
-    """(doc_id, n, s1, s2: hashes of the set; of documents that may link: tokens found elsewhere too, prefix)."""
+    """(doc_id, r1, r2: identity of the row, n, s1, s2: hashes of the set; of documents that may link: tokens found elsewhere too, prefix)."""
     total = docs.agg(F.sum(F.octet_length(F.col("text").cast("string")))).first()[0] or 0
     bits = max(4, int(total // BUCKET).bit_length())
-    sent = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_sender(size, bits), SENT)
-    out = common.saved(sent.groupBy("key").applyInArrow(_bucket(bits), SENT).groupBy("batch").applyInArrow(_documents(percent, bits), SETS), "sets")
-    docs.sparkSession._jvm.System.gc()  # the two shuffles before are over: the cleaner may delete their files
-    return out
+    sent = docs.select(F.col("doc_id").cast("long"), *common.row_key(), F.col("text").cast("string")).mapInArrow(_sender(size, bits), SENT)
+    found = sent.repartitionById(1 << bits, "part").groupBy("part", "key").applyInArrow(_bucket(bits), SENT)
+    return common.saved(found.groupBy("batch").applyInArrow(_documents(percent, bits), SETS), "sets")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -216,12 +223,12 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            a_, b_, na, nb, x, y = (c.to_pylist() for c in b.columns)
-            keep = []
-            for n, m, s, t in zip(na, nb, x, y, strict=True):
-                both = len(np.intersect1d(np.frombuffer(s, np.uint64), np.frombuffer(t, np.uint64), assume_unique=True))
-                keep.append(100 * both >= percent * (n + m - both))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            keep = np.zeros(b.num_rows, bool)
+            for i in range(b.num_rows):
+                n, m, x, y = (b.column(k)[i].as_py() for k in range(2, 6))
+                both = len(np.intersect1d(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), assume_unique=True))
+                keep[i] = 100 * both >= percent * (n + m - both)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(keep))
 
     side = lambda c, n, s: sets.select(F.col("c").alias(c), F.col("n").alias(n), F.col("tokens").alias(s))
     rows = pairs.join(side("a", "na", "sa"), "a").join(side("b", "nb", "sb"), "b").select("a", "b", "na", "nb", "sa", "sb")
@@ -235,56 +242,95 @@ def _root(root: dict[int, int], g: int) -> int:
     return g
 
 
-def opened(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) between classes that share a token of rows (token, c, n, g, lead) and are not yet in one group g.
+def _column(table: pa.Table, name: str) -> np.ndarray:
+    return table[name].to_numpy()
 
-    Classes that the same class leads go to blocks of about BLOCK. The token-group matrix holds each block's union; blocks
-    that share a token open each other, and only there sets are compared. A task holds two blocks, and returns a link only
-    where it joins groups that its links before don't join yet: as many as there are groups at most, and none is lost. Each
-    block opens itself first; between blocks, groups are those that result.
-    """
-    home = rows.groupBy("c", "g").agg(F.min("lead").alias("home"))
-    home = home.join(home.groupBy("home").agg(F.count("*").alias("size")), "home").withColumn("salt", F.pmod(F.xxhash64("c"), F.ceil(F.col("size") / BLOCK)))
-    home = common.saved(home.select("c", "g", F.xxhash64("home", "salt").alias("block")), "blocks")
-    matrix = common.saved(rows.select("token", "c").join(home.select("c", "block"), "c").select("token", "block").distinct(), "matrix")
-    pairs = matrix.join(matrix.withColumnRenamed("block", "other"), "token").where("block <= other").select("block", "other").distinct()
-    members = F.collect_list(F.struct("c", "g", "n", "tokens"))
 
-    def held(home):
-        return common.saved(home.join(sets.select("c", "n", "tokens"), "c").groupBy("block").agg(members.alias("members")), "members")
+def _sets(table: pa.Table) -> list[np.ndarray]:
+    return [np.frombuffer(x, np.uint64) for x in table["tokens"].to_pylist()]
 
-    def run(batches):
-        for batch in batches:
-            for own, others in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                sets = [np.frombuffer(m["tokens"], np.uint64) for m in others]
-                token, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(x) for x in sets])
-                order = np.argsort(token, kind="stable")
-                token, owner = token[order], owner[order]
-                n, g, c = (np.array([m[k] for m in others], np.int64) for k in ("n", "g", "c"))
-                links, root = [], {int(k): int(k) for k in g} | {m["g"]: m["g"] for m in own}
-                for m in own:
-                    x = np.frombuffer(m["tokens"], np.uint64)
-                    low, high = np.searchsorted(token, x), np.searchsorted(token, x, side="right")
-                    times = high - low
-                    at = np.repeat(low - np.concatenate([[0], np.cumsum(times)[:-1]]), times) + np.arange(times.sum())
-                    shared = np.bincount(owner[at], minlength=len(sets))
-                    hit = np.nonzero((g != m["g"]) & (100 * shared >= percent * (m["n"] + n - shared)))[0]
-                    for k in hit[np.unique(g[hit], return_index=True)[1]]:
-                        x, y = _root(root, m["g"]), _root(root, int(g[k]))
-                        if x != y:
-                            root[max(x, y)] = min(x, y)
-                            links.append((m["c"], int(c[k])))
-                yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in (zip(*links, strict=True) if links else ([], []))], names=["a", "b"])
-
-    within = common.saved(held(home).select("members", F.col("members").alias("others")).mapInArrow(run, "a long, b long"), "opened")
-    # groups that blocks' own links join, by the groups' names
+
+def links(asking: pa.Table, members: pa.Table, percent: int) -> pa.Table:
+    """Links between classes (c, g, n, tokens) that ask and members of a group, as far as they join components g anew."""
+    queries, sets = _sets(asking), _sets(members)
+    token, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    order = np.argsort(token, kind="stable")
+    token, owner = token[order], owner[order]
+    n, g, c = (_column(members, k) for k in ("n", "g", "c"))
+    found, root = [], {int(k): int(k) for k in (*g, *_column(asking, "g"))}
+    for x, size, own, name in zip(queries, *(_column(asking, k).tolist() for k in ("n", "g", "c")), strict=True):
+        low, high = np.searchsorted(token, x), np.searchsorted(token, x, side="right")
+        times = high - low
+        at = np.repeat(low - np.concatenate([[0], np.cumsum(times)[:-1]]), times) + np.arange(times.sum())
+        shared = np.bincount(owner[at], minlength=len(sets))
+        hit = np.nonzero((g != own) & (100 * shared >= percent * (size + n - shared)))[0]
+        for k in hit[np.unique(g[hit], return_index=True)[1]]:
+            a, b = _root(root, own), _root(root, int(g[k]))
+            if a != b:
+                root[max(a, b)] = min(a, b)
+                found.append((name, int(c[k])))
+    return pa.table([pa.array([x[i] for x in found], pa.int64()) for i in range(2)], names=["a", "b"])
+
+
+def least_overlap(size, least, percent: int):
+    """Shingles that a set must share with one of `least` or more to link, if any may: the bound of a query and a group."""
+    other = np.maximum(least, -(-percent * size // 100))
+    return -(-percent * (size + other) // (100 + percent))
+
+
+def union(table: pa.Table) -> pa.Table:
+    """A group's row of the matrix: the union of its members' tokens, the least and largest size, the least and largest component."""
+    n, g = _column(table, "n"), _column(table, "g")
+    tokens = np.unique(np.concatenate(_sets(table)))
+    return pa.table({"block": table["block"][:1], "tokens": pa.array([tokens.tobytes()], pa.binary()), **{k: pa.array([int(v)], pa.int64()) for k, v in (("least", n.min()), ("most", n.max()), ("first", g.min()), ("last", g.max()))}})
+
+
+def _asked(asking: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """asking (c, g, block) -> the same with tokens and a chunk of the block's queries of bounded bytes; (block, chunk) of every block."""
+    sized = asking.join(sets.select("c", "n", F.octet_length("tokens").alias("size")), "c")
+    chunks = sized.groupBy("block").agg(F.ceil(F.sum("size") / CHUNK).alias("chunks"))
+    dealt = sized.join(chunks, "block").withColumn("chunk", F.pmod(F.xxhash64("c", "block"), "chunks")).select("c", "g", "block", "chunk")
+    return dealt.join(sets.select("c", "n", "tokens"), "c"), chunks.select("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("chunk"))
+
+
+def opened(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between classes that share a token of rows (token, c, n, g, lead) and are not yet in one component g."""
+    home = rows.groupBy("c", "g").agg(F.min("lead").alias("home")).join(sets.select("c", F.octet_length("tokens").alias("size")), "c")
+    dealt = home.groupBy("home").agg(F.ceil(F.sum("size") / GROUP).alias("blocks"))
+    home = common.saved(home.join(dealt, "home").select("c", "g", F.xxhash64("home", F.pmod(F.xxhash64("c"), "blocks")).alias("block")), "groups")
+    members = home.join(sets.select("c", "n", "tokens"), "c")
+    within = common.saved(members.groupBy("block").applyInArrow(lambda t: links(t, t, percent), "a long, b long"), "opened")
+    # components that groups' own links join, by the components' names
     name = lambda side: home.select(F.col("c").alias(side), F.col("g").alias("g" + side))
     joined = components(within.join(name("a"), "a").join(name("b"), "b").select(F.col("ga").alias("a"), F.col("gb").alias("b")))
-    named = home.join(joined.withColumnRenamed("node", "g"), "g", "left").select("c", F.coalesce("label", "g").alias("g"), "block")
-    full = held(named)
-    both = pairs.where("block < other").join(full, "block").join(full.select(F.col("block").alias("other"), F.col("members").alias("others")), "other")
-    across = common.saved(both.select("members", "others").mapInArrow(run, "a long, b long"), "opened")
-    return within.unionByName(across)
+    home_now = common.saved(home.join(joined.withColumnRenamed("node", "g"), "g", "left").select("c", F.coalesce("label", "g").alias("g"), "block"), "groups")
+    members = home_now.join(sets.select("c", "n", "tokens"), "c")
+    unions = common.saved(members.groupBy("block").applyInArrow(union, "block long, tokens binary, least long, most long, first long, last long"), "unions")
+    # the matrix by prefix token; of two groups the one with the smaller number asks
+    held = common.saved(rows.select("token", "c", "n").join(home_now, "c"), "held")
+    other = held.select("token", F.col("block").alias("other")).distinct()
+    asks = held.join(other, "token").where("block < other").select("c", "n", "g", F.col("other").alias("block")).distinct()
+    fits = (F.col("most") * 100 >= F.col("n") * percent) & (F.col("n") * 100 >= F.col("least") * percent) & ~((F.col("first") == F.col("last")) & (F.col("first") == F.col("g")))
+    asks = common.saved(asks.join(unions.drop("tokens"), "block").where(fits).select("c", "g", "block"), "asks")
+
+    def bounded(asking: pa.Table, group: pa.Table) -> pa.Table:
+        if not len(asking) or not len(group):
+            return asking.select(["c", "g", "block"]).slice(0, 0)
+        whole, least = _sets(group)[0], group["least"][0].as_py()
+        shared = np.array([len(np.intersect1d(x, whole, assume_unique=True)) for x in _sets(asking)])
+        return asking.select(["c", "g", "block"]).filter(pa.array(shared >= least_overlap(_column(asking, "n"), least, percent)))
+
+    def across(asking: pa.Table, group: pa.Table) -> pa.Table:
+        return links(asking, group, percent) if len(asking) and len(group) else pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
+
+    at = ["block", "chunk"]
+    asking, chunks = _asked(asks, sets)
+    qualifying = asking.groupBy(*at).cogroup(unions.select("block", "tokens", "least").join(chunks, "block").groupBy(*at)).applyInArrow(bounded, "c long, g long, block long")
+    qualifying = common.saved(qualifying, "qualifying")
+    asking, chunks = _asked(qualifying, sets)
+    between = common.saved(asking.groupBy(*at).cogroup(members.join(chunks, "block").groupBy(*at)).applyInArrow(across, "a long, b long"), "opened")
+    common.used_up(home, home_now, unions, held, asks, qualifying)
+    return within.unionByName(between)
 
 
 def _grouped(prefix: DataFrame, links: DataFrame | None) -> DataFrame:
@@ -302,40 +348,58 @@ def class_links(sets: DataFrame, percent: int) -> DataFrame:
     fits = lambda n, m: F.lit(100) * F.least(n, m) >= F.lit(percent) * F.greatest(n, m)
     for step in range(3):
         now = common.saved(_grouped(prefix, links), f"grouped{step}")
-        # shingles that classes of two groups hold in their prefixes; the first group's first class leads
+        # shingles that classes of two components hold in their prefixes; the first component's first class leads
         open_ = now.groupBy("token").agg(F.min(F.struct("g", "c", "n")).alias("lead"), F.max("g").alias("last")).where(F.col("lead.g") < F.col("last"))
         if step < 2:
             near = now.join(open_, "token").where((F.col("g") != F.col("lead.g")) & fits(F.col("n"), F.col("lead.n"))).groupBy("c", F.col("lead.c").alias("b")).agg(F.count("*").alias("shared"))
             pairs = near.groupBy("c").agg(F.max(F.struct("shared", "b")).alias("best")).select(F.col("c").alias("a"), F.col("best.b").alias("b"))
             got = verified(pairs, sets, percent)
         else:
-            got = opened(common.saved(now.join(open_.select("token", F.col("lead.c").alias("lead")), "token"), "open"), sets, percent)
+            still = common.saved(now.join(open_.select("token", F.col("lead.c").alias("lead")), "token"), "open")
+            got = opened(still, sets, percent)
+            common.used_up(still)
+        common.used_up(now)
         links = got if links is None else common.saved(links.unionByName(got), "links-so-far")
+    common.used_up(prefix)
     return links
 
 
+def membership(docs: DataFrame, percent: int, size: int) -> DataFrame:
+    """A row for each row of docs: doc_id, r1, r2, n, class_id and component (null where nothing links), component_id."""
+    every = shared_sets(docs, percent, size)
+    key = ["n", "s1", "s2"]
+    sets = common.saved(every.where("tokens is not null").dropDuplicates(key).select(*key, "tokens", "prefix").withColumn("c", F.monotonically_increasing_id()), "classes")
+    of = components(class_links(sets.select("c", "n", "tokens", "prefix"), percent)).select(F.col("node").alias("c"), "label")
+    rows = every.select("doc_id", "r1", "r2", *key, F.col("tokens").isNotNull().alias("maybe"))
+    least = rows.where("maybe").groupBy(*key).agg(F.min("doc_id").alias("id")).join(sets.select(*key, "c"), key).join(of, "c", "left").withColumn("label", F.coalesce("label", "c"))
+    named = least.join(least.groupBy("label").agg(F.min("id").alias("component_id")), "label").select(*key, F.col("c").alias("class_id"), F.col("label").alias("component"), "component_id")
+    linked = rows.where("maybe").join(named, key).select("doc_id", "r1", "r2", "n", "class_id", "component", "component_id")
+    none = F.lit(None).cast("long")
+    return linked.unionByName(rows.where("not maybe").select("doc_id", "r1", "r2", "n", none.alias("class_id"), none.alias("component"), F.col("doc_id").alias("component_id")))
+
+
 def near_duplicates(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE) -> DataFrame:
-    """docs (doc_id, text) -> doc_id, n_shingles, component_id, class_id (of equal sets)."""
-    every = shared_sets(docs, percent, size).withColumn("c", F.xxhash64("n", "s1", "s2"))
-    sets = common.saved(every.where("tokens is not null").dropDuplicates(["c"]).select("c", "n", "tokens", "prefix"), "classes")
-    of = components(class_links(sets, percent)).select(F.col("node").alias("c"), "label")
-    rows = every.select("doc_id", "n", "c", F.col("tokens").isNotNull().alias("maybe"))
-    least = rows.where("maybe").groupBy("c").agg(F.min("doc_id").alias("id")).join(of, "c", "left").withColumn("label", F.coalesce("label", "c"))
-    named = least.join(least.groupBy("label").agg(F.min("id").alias("component_id")), "label").select("c", "component_id")
-    linked = rows.where("maybe").join(named, "c")
-    out = linked.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("c").alias("class_id"))
-    return out.unionByName(rows.where("not maybe").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.col("c").alias("class_id")))
-
-
-def one_of_each(docs: DataFrame) -> DataFrame:
-    """docs, with all their columns, of every group of linked documents the one with the smallest id only (rows with that id twice: one of them)."""
-    known = common.saved(near_duplicates(docs.select("doc_id", "text")), "near")
-    gone = known.where("doc_id != component_id").select("doc_id").distinct()
-    twice = known.where("n_shingles > 0").groupBy("doc_id").count().where("count > 1").select("doc_id")
-    left = docs.join(gone, "doc_id", "left_anti")
-    if twice.isEmpty():
-        return left
-    return left.join(twice, "doc_id", "left_anti").unionByName(left.join(twice, "doc_id", "left_semi").dropDuplicates(["doc_id"])).select(*docs.columns)
+    """docs (doc_id, text) -> doc_id, n_shingles, component_id, class_id (of equal sets; null where nothing can link)."""
+    return membership(docs, percent, size).select("doc_id", F.col("n").alias("n_shingles"), "component_id", "class_id")
+
+
+def one_of_each(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE) -> DataFrame:
+    """docs, with all their columns, of every group of linked rows one only: that with the smallest id, null ids last.
+
+    Decided by row, not by id: of rows with the same id and different texts, each goes only where its own group keeps another;
+    of rows that are the same in id and text, one stays.
+    """
+    known = common.saved(membership(docs.select("doc_id", "text"), percent, size).where("component is not null"), "near")
+    row = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "r1", "r2")
+    first = known.groupBy("component").agg(F.min(row).alias("first"))
+    names = ("_strandex_r1", "_strandex_r2")
+    rows = lambda df: df.select(*(F.col(c).alias(n) for c, n in zip(("r1", "r2"), names, strict=True)))
+    gone = rows(known.join(first, "component").where((F.col("r1") != F.col("first.r1")) | (F.col("r2") != F.col("first.r2")))).distinct()
+    twice = common.saved(rows(known.groupBy("r1", "r2").count().where("count > 1")), "twice")
+    left = docs.withColumns(dict(zip(names, common.row_key(), strict=True))).join(gone.hint("shuffle_hash"), [*names], "left_anti")
+    if not twice.isEmpty():
+        left = left.join(twice, [*names], "left_anti").unionByName(left.join(twice, [*names], "left_semi").dropDuplicates([*names]))
+    return left.select(*docs.columns)
 
 
 def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -47,3 +47,13 @@ def test_one_of_each(spark):
     rows = [(5, a, None, None, None, "y"), (3, a + " x", None, None, None, "y"), (3, a + " x", None, None, None, "y"), (7, "other words stand in this text", None, None, None, "y"), (8, None, None, None, None, None), (9, "", None, None, None, None)]
     got = op08_ngram_join.one_of_each(spark.createDataFrame(rows, DOCS))
     assert sorted(r.doc_id for r in got.collect()) == [3, 7, 8, 9]
+
+
+def test_one_of_each_goes_by_row(spark):
+    """An id with two different texts: a row goes only where another row of its own group stays; null ids come last."""
+    rng = random.Random(3)
+    say = lambda: " ".join(f"w{rng.randrange(999)}" for _ in range(100))
+    a, b, c = say(), say(), say()
+    rows = [(3, a), (3, b), (4, b + " x"), (2, c + " y"), (3, c), (None, a), (6, say()), (6, say())]
+    got = op08_ngram_join.one_of_each(spark.createDataFrame([(i, t, None, None, None, "y") for i, t in rows], DOCS))
+    assert sorted((r.doc_id, r.text) for r in got.collect()) == sorted([(3, a), (3, b), (2, c + " y"), *rows[6:]])
