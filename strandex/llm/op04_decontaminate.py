@@ -3,10 +3,17 @@
 Texts and benchmark items are compared in a normal form: lower case, each run of white space one space. An item of m characters
 within `edits` = floor(rate * m) edits of a region shares at least m - Q + 1 - Q * edits of its q-grams with it, all on diagonals
 (position in the text less position in the item) that differ by no more than `edits`. So shared q-grams are counted in bands of
-2 * (edits + 1) diagonals that overlap by half; bands that reach the bound are verified by banded alignment.
+2 * (edits + 1) diagonals that overlap by half, each of the item's q-grams once; bands that reach the bound, neighbours together,
+are verified by banded alignment.
 
 So that the bound stays positive, `edits` is (m - Q) div Q at most: items of 10 to 15, 20 to 23 and 30 to 31 characters are found
-with one edit less than floor(rate * m), those of 10 to 15 as exact copies only.
+with one edit less than floor(rate * m), those of 10 to 15 as exact copies only. Q-grams that an item holds more than REPEATS
+times are left out of its index, with the bound lowered by them, as long as it stays positive; items that consist of such
+q-grams keep them. What a text has in common with the items is counted in steps of bounded size, however repetitive both are.
+
+The regions of an item in a text do not overlap: the one with the fewest edits counts first, then the one that begins first. Of
+an item that repeats itself, so that a text could hold it in overlapping places, the places named are those that are verified
+with the fewest edits; at least one is named wherever there is any.
 
 The items are taken in blocks of bounded size (BLOCK characters), each against all documents, so that what goes to the
 executors is bounded however many items there are.
@@ -27,6 +34,10 @@ from pyspark.sql import functions as F
 from . import common
 
 Q, RATE, BLOCK = 8, 0.1, 4_000_000
+#: Repeats of a q-gram in an item that are indexed; pairs of places counted at a time; bands verified at once; bytes of text at a time.
+REPEATS, STEP, TOGETHER, SLICE = 4, 1 << 21, 4, 4 << 20
+#: Bits of the hash that most texts' q-grams fail, and what it multiplies by.
+BITS, LEFT, RIGHT = 22, np.uint32(0x9E3779B1), np.uint32(0x85EBCA77)
 _TABLES: list[np.ndarray] = []
 
 
@@ -54,24 +65,36 @@ def _tables() -> tuple[np.ndarray, np.ndarray]:
 def normal(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Characters in normal form, their codes, and each one's place in the text."""
     lower, code = _tables()
-    a = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-    a = a[: len(a)]
+    try:
+        a = np.frombuffer(text.encode("latin-1"), np.uint8)
+    except UnicodeEncodeError:
+        a = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
     c = code[a]
-    blank = c == 0
-    at = np.nonzero(~(blank & np.concatenate([[True], blank[:-1]])))[0]
-    return np.where(blank[at], 32, lower[a[at]]), c[at], at
+    full = c != 0
+    kept = full.copy()
+    kept[1:] |= full[:-1]
+    at = np.flatnonzero(kept)
+    if len(at) < len(a):
+        a, c = a[at], c[at]
+    return np.where(c == 0, 32, lower[a]).astype(np.uint32), c, at
+
+
+def fours(codes: np.ndarray) -> np.ndarray:
+    """Four codes of 5 bits each in one number, for every start; two of these that lie four apart are a q-gram."""
+    two = codes[:-1].astype(np.uint16) << 5 | codes[1:]
+    return two[:-2].astype(np.uint32) << 10 | two[2:]
+
+
+def hashed(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    return (first * LEFT ^ second * RIGHT) >> np.uint32(32 - BITS)
 
 
 def qgrams(codes: np.ndarray) -> np.ndarray:
-    """Q codes of 5 bits each in one number, for every start."""
+    """Q codes in one number, for every start."""
     if len(codes) < Q:
         return np.zeros(0, np.uint64)
-    a = codes.astype(np.uint64)
-    n = 1
-    while n < Q:  # Q is a power of two
-        a = a[:-n] << np.uint64(5 * n) | a[n:]
-        n *= 2
-    return a
+    f = fours(codes)
+    return f[:-4].astype(np.uint64) << 20 | f[4:]
 
 
 def banded(text: np.ndarray, item: np.ndarray, low: int, high: int, edits: int) -> tuple[int, int, int] | None:
@@ -119,50 +142,122 @@ class Items:
         self.size = np.array([len(x) for x in self.chars], np.int64)
         self.edits = np.minimum((RATE * self.size).astype(np.int64), np.maximum(0, (self.size - Q) // Q))
         self.need = self.size - Q + 1 - Q * self.edits
-        grams = [qgrams(n[1]) for _, n in keep]
-        code = np.concatenate([*grams, np.zeros(0, np.uint64)])
-        item = np.repeat(np.arange(len(grams)), np.array([len(g) for g in grams], np.int64))
-        place = np.concatenate([*(np.arange(len(g)) for g in grams), np.zeros(0, np.int64)])
+        self.repetitive = np.zeros(len(keep), bool)
+        code, item, place = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for i, (_, n) in enumerate(keep):
+            g = qgrams(n[1])
+            _, which, times = np.unique(g, return_inverse=True, return_counts=True)
+            rare = times[which] <= REPEATS
+            if self.need[i] > (~rare).sum():
+                self.need[i] -= (~rare).sum()
+                at = np.flatnonzero(rare)
+            else:
+                self.repetitive[i], at = True, np.arange(len(g))
+            code.append(g[at]), item.append(np.full(len(at), i)), place.append(at)
+        code, item, place = map(np.concatenate, (code, item, place))
         order = np.argsort(code, kind="stable")
         self.code, self.head = np.unique(code[order], return_index=True)
         self.head = np.append(self.head, len(code))
         self.item, self.place = item[order], place[order]
-        self.seen = np.zeros(1 << 22, bool)
-        self.seen[common.mixed(self.code) >> np.uint64(42)] = True
+        self.seen = np.zeros(1 << BITS, bool)
+        self.seen[hashed((self.code >> np.uint64(20)).astype(np.uint32), (self.code & np.uint64((1 << 20) - 1)).astype(np.uint32))] = True
+
+    def shared(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Place in the text and number of the code, for every q-gram of the text that an item has."""
+        if len(codes) < Q or not len(self.code):
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        f = fours(codes)
+        at = np.flatnonzero(self.seen[hashed(f[:-4], f[4:])])
+        g = f[at].astype(np.uint64) << 20 | f[at + 4]
+        k = np.minimum(np.searchsorted(self.code, g), len(self.code) - 1)
+        ok = self.code[k] == g
+        return at[ok], k[ok]
+
+    def _entries(self, at: np.ndarray, k: np.ndarray):
+        """(item, half band, place in the item, place in the text) of every shared q-gram, a step at a time."""
+        n = self.head[k + 1] - self.head[k]
+        for i, j in _steps(n, STEP):
+            m, first = n[i:j], self.head[k[i:j]]
+            entry = np.repeat(first - np.concatenate([[0], np.cumsum(m)[:-1]]), m) + np.arange(m.sum())
+            item, place, text = self.item[entry], self.place[entry], np.repeat(at[i:j], m)
+            yield item, (text - place + self.size[item]) // (self.edits[item] + 1), place, text
+
+    def bands(self, at: np.ndarray, k: np.ndarray) -> list[tuple[int, int, int, int]]:
+        """(item, first and last half band, shared q-grams) of the neighbouring bands that reach the bound."""
+        keys, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        for item, half, _, _ in self._entries(at, k):
+            key, n = _counted(item << 40 | half)
+            if len(keys):
+                keys, back = np.unique(np.concatenate([keys, key]), return_inverse=True)
+                counts = np.bincount(back, np.concatenate([counts, n]), len(keys)).astype(np.int64)
+            else:
+                keys, counts = key, n
+        beside = np.concatenate([np.where(keys[1:] == keys[:-1] + 1, counts[1:], 0), [0]]) if len(keys) else counts
+        hit = np.flatnonzero(counts + beside >= self.need[keys >> 40])
+        if not len(hit):
+            return []
+        # each of the item's places counts once in a band, and each of the text's; items made of repeats are verified as they are
+        wanted, total, at_band = keys[hit], (counts + beside)[hit], [[] for _ in hit]
+        sure = self.repetitive[wanted >> 40]
+        for item, half, place, text in self._entries(at, k) if not sure.all() else ():
+            item, half, place, text = (x[~self.repetitive[item]] for x in (item, half, place, text))
+            key = item << 40 | half
+            for less in (0, 1):
+                to = np.minimum(np.searchsorted(wanted, key - less), len(wanted) - 1)
+                ok = np.flatnonzero(wanted[to] == key - less)
+                pair = to[ok] << 32
+                both = (np.unique(pair | place[ok]), np.unique(pair | text[ok]))
+                for h in np.unique(to[ok]):
+                    at_band[h].append([x[np.searchsorted(x, h << 32) : np.searchsorted(x, h + 1 << 32)] for x in both])
+        out: list[tuple[int, int, int, int]] = []
+        for h, parts in enumerate(at_band):
+            n = int(total[h]) if sure[h] else min(len(np.unique(np.concatenate([p[side] for p in parts]))) for side in (0, 1))
+            i, half = int(wanted[h] >> 40), int(wanted[h] & (1 << 40) - 1)
+            if n >= self.need[i]:
+                if out and out[-1][0] == i and half == out[-1][2] and half - out[-1][1] < TOGETHER:
+                    out[-1] = (i, out[-1][1], half + 1, max(n, out[-1][3]))
+                else:
+                    out.append((i, half, half + 1, n))
+        return out
 
     def search(self, chars: np.ndarray, codes: np.ndarray):
         """(item, edits, start, end, shared q-grams) of the regions of a text, in normal form, that match."""
-        g = qgrams(codes)
-        if not len(g) or not len(self.code):
-            return
-        at = np.nonzero(self.seen[common.mixed(g) >> np.uint64(42)])[0]
-        k = np.minimum(np.searchsorted(self.code, g[at]), len(self.code) - 1)
-        ok = self.code[k] == g[at]
-        at, k = at[ok], k[ok]
+        at, k = self.shared(codes)
         if not len(at):
             return
-        n = self.head[k + 1] - self.head[k]
-        entry = np.repeat(self.head[k] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-        item = self.item[entry]
-        diagonal = np.repeat(at, n) - self.place[entry] + self.size[item]  # never negative
-        half = self.edits[item] + 1
-        band = diagonal // half
-        key = np.concatenate([item << 40 | band, item << 40 | np.maximum(band - 1, 0)])
-        key, shared = np.unique(key, return_counts=True)
-        item, band = key >> 40, key & (1 << 40) - 1
-        best: dict[tuple, tuple] = {}
-        text = None
-        for i, b, c in zip(*(x[hit := shared >= self.need[item]] for x in (item, band, shared)), strict=True):
-            e = int(self.edits[i])
-            low = int(b * (e + 1) - self.size[i])
-            high = low + 2 * (e + 1) - 1
+        found, text = [], None
+        for i, first, last, shared in self.bands(at, k):
+            e, size = int(self.edits[i]), int(self.size[i])
+            low, high = first * (e + 1) - size, (last + 1) * (e + 1) - 1 - size
             text = "".join(map(chr, chars)) if text is None else text
-            exact = text.find(self.words[i], max(0, low), max(0, high + int(self.size[i])))
-            found = (0, exact, exact + int(self.size[i])) if exact >= 0 else banded(chars, self.chars[i], low, high, e)
-            if found and ((i, found[1] // int(self.size[i])) not in best or found < best[i, found[1] // int(self.size[i])][:3]):
-                best[i, found[1] // int(self.size[i])] = (*found, int(c))
-        for (i, _), (edits, start, end, c) in sorted(best.items()):
-            yield int(i), edits, start, end, c
+            exact = text.find(self.words[i], max(0, low), max(0, high + size))
+            match = (0, exact, exact + size) if exact >= 0 else banded(chars, self.chars[i], low, high, e)
+            if match:
+                found.append((i, *match, shared))
+        kept: list[tuple] = []
+        for m in sorted(found):
+            if not any(m[0] == o[0] and m[2] < o[3] and o[2] < m[3] for o in kept):
+                kept.append(m)
+        yield from kept
+
+
+def _counted(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in order with their counts."""
+    low, high = int(key.min()), int(key.max())
+    if high - low > 4 * len(key):
+        return np.unique(key, return_counts=True)
+    n = np.bincount(key - low)
+    at = np.flatnonzero(n)
+    return at + low, n[at]
+
+
+def _steps(n: np.ndarray, most: int):
+    """Ranges of n that add up to about `most`."""
+    total, at = np.cumsum(n), 0
+    while at < len(n):
+        end = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + most, side="right")))
+        yield at, end
+        at = end
 
 
 def _blocks(benchmark: DataFrame):
@@ -193,7 +288,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         items = Items(rows)
 
         def run(batches, items=items):
-            for b in batches:
+            for b in common.sliced(batches, SLICE):
                 got = [(d, items.ids[i], s, x, e, c) for d, found in zip(b.column(0).to_pylist(), _matches(items, common.texts(b)), strict=True) for i, e, s, x, c in found]
                 yield pa.RecordBatch.from_arrays([pa.array(col, pa.int64()) for col in (zip(*got, strict=True) if got else [[]] * 6)], names=names)
 
@@ -209,9 +304,8 @@ def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         items = Items(rows)
 
         def run(batches, items=items):
-            for b in batches:
+            for b in common.sliced(batches, SLICE):
                 yield b.filter(pa.array([not found for found in _matches(items, [t or "" for t in b.column(at).to_pylist()])], pa.bool_()))
-                common.trim()
 
         out = out.mapInArrow(run, schema)
     return out
