@@ -273,6 +273,50 @@ def test_secrets(spark):
     assert got[10].spans == "" and got[2].n_token == 1
 
 
+def plain_secrets(rows, shared_by=3, copied=10):
+    """rows (doc_id, text, source) -> by doc_id and text: (n by kind, spans, n_token, n_live, n_example), with re and plain counts."""
+    least = (6, 20, 24, 20)
+    patterns = [re.compile(p) for p in (r"(?i:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", r"(AKIA[A-Z0-9]+)", r"([0-9a-f]+)", r"([A-Za-z0-9+/_=-]+)")]
+
+    def good(kind, v):
+        mixed = sum(c.isdigit() for c in v) >= 3 and re.search("[a-z]", v) and re.search("[A-Z]", v) and len(set(v)) >= 12
+        return len(v) >= least[kind] and (kind < 3 or mixed)
+
+    found = {(d, t): [(m.start(), k, m.end(), m.group(1)) for k, p in enumerate(patterns) for m in p.finditer(t or "") if good(k, m.group(1))] for d, t, _ in rows}
+    owners, repos = defaultdict(set), defaultdict(set)
+    for d, t, s in rows:
+        for *_, v in found[d, t]:
+            owners[v].add(s)
+            repos[v].add((s, d))
+    live = lambda v: len(owners[v]) < shared_by and len(repos[v]) < copied
+    out = {}
+    for key, spans in found.items():
+        base = sorted(s for s in spans if s[1] < 3)
+        every = sorted(base + [s for s in spans if s[1] == 3 and live(s[3]) and not any(a < s[2] and s[0] < b for a, _, b, _ in base)])
+        text = lambda x: ",".join(f"{op07_secrets.KINDS[k]}:{a}:{b}" for a, k, b, _ in x)
+        out[key] = (*(sum(s[1] == k for s in base) for k in range(3)), hashlib.sha256(text(base).encode()).hexdigest(), text(every), sum(s[1] == 3 for s in every), sum(live(s[3]) for s in every), sum(not live(s[3]) for s in every))
+    return out
+
+
+def test_secrets_by_brute_force(spark):
+    rng = random.Random(15)
+    token = lambda: "".join(rng.choice("abcXYZ0123456789+/_=-") for _ in range(rng.randrange(15, 40)))
+    pool = [token() for _ in range(30)] + ["AKIA" + "".join(rng.choice("ABC123") for _ in range(n)) for n in (10, 16, 20)] + ["".join(rng.choice("0123456789abcdef") for _ in range(n)) for n in (20, 24, 40)]
+    say = lambda: rng.choice(["w", "ü", "日本", "password=", "Secret : '", "API_key\"= ", "token:", "\n", rng.choice(pool), rng.choice(pool)])
+    rows = [(i, "".join(say() + rng.choice(["", " ", " ", ", "]) for _ in range(rng.randrange(0, 12))), f"s{rng.randrange(5)}") for i in range(150)]
+    rows += [(200 + i, f"copied {pool[0]}", "s9") for i in range(12)] + [(300, f"both {pool[1]}", "s1"), (300, f"both {pool[1]}", "s2"), (300, f"both {pool[1]}", "s3")]
+    rows += [(400, "two owners qQ7" + "abcdefghijklmno1234", s) for s in ("s1", "s2")] + [(401, None, "s1"), (401, None, None)]
+    want = plain_secrets(rows)
+    got = op07_secrets.secret_scan(spark.createDataFrame([(i, t, None, s, None) for i, t, s in rows], DOCS)).collect()
+    by = defaultdict(set)
+    for (i, _), w in want.items():
+        by[i].add(w)
+    assert len(got) == len(rows)
+    for r in got:
+        assert (r.n_assign, r.n_access, r.n_hex, r.base_sha256, r.spans, r.n_token, r.n_live, r.n_example) in by[r.doc_id]
+    assert {r.n_token for r in got if 200 <= r.doc_id < 212 or r.doc_id == 300} == {0} and {r.n_token for r in got if r.doc_id == 400} == {1}
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 101), (102, 101), (7, 60)]
     random.Random(7).shuffle(edges)
