@@ -23,14 +23,18 @@ from pyspark.sql import functions as F
 from . import common
 
 KINDS = ("email", "ip", "card", "phone")
+ROW = ["r1", "r2"]
+#: Bytes of text that are Python objects at a time.
+SLICE = 4 << 20
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
-_IP = re.compile(r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")
+#: A match can't begin within a run of digits, so no run is tried from its middle: time is linear in the text.
+_IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]+")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
-#: What an unseen identifier may look like: six characters or more, four digits at least or an @.
-_TOKEN = re.compile(r"(?<![^\x20\x09-\x0D(\[{\"'<])(?=[^\x20\x09-\x0D]*[0-9@])[A-Za-z0-9+][A-Za-z0-9@._+/-]{4,}[A-Za-z0-9]")
+#: What an unseen identifier may look like: six characters or more, four digits at least or an @. Only a run's start is tried.
+_TOKEN = re.compile(r"(?<![^\x20\x09-\x0D(\[{\"'<])(?=[A-Za-z+._/-]*+[0-9@])[A-Za-z0-9+][A-Za-z0-9@._+/-]{4,}[A-Za-z0-9]")
 _SIGNS = re.compile(r"[^\w]+")
 _WHITE = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -64,7 +68,7 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     out = [(0, *s) for s in emails(text)]
     if not _DIGIT.search(text):
         return out
-    out += [(1, m.start(), m.end()) for m in _IP.finditer(text) if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m.group().split("."))]
+    out += [(1, m.start(), m.end()) for m in _IP.finditer(text) if all(len(p) <= 3 and int(p or 0) <= 255 for p in (x.lstrip("0") for x in m.group().split(".")))]
     for m in _CARD.finditer(text):
         digits = m.group().replace(" ", "").replace("-", "")
         if 13 <= len(digits) <= 19 and luhn(digits):
@@ -109,15 +113,15 @@ def identifiers(text: str, taken: list[tuple]) -> list[tuple[int, int]]:
     return out
 
 
-FOUND = "rid long, doc_id long, n array<long>, base string, base_sha256 string, mentions array<struct<kind:int,start:int,stop:int,inst:string,patterns:array<string>>>"
+FOUND = "r1 long, r2 long, doc_id long, n array<long>, base string, base_sha256 string, mentions array<struct<kind:int,start:int,stop:int,inst:string,patterns:array<string>>>"
 
 
 def scan(docs: DataFrame) -> DataFrame:
-    """One pass over the texts: base spans, and every mention (base or identifier-like) with its patterns. rid: of id and text."""
+    """One pass over the texts: base spans, and every mention (base or identifier-like) with its patterns."""
     struct = pa.list_(pa.struct([("kind", pa.int32()), ("start", pa.int32()), ("stop", pa.int32()), ("inst", pa.string()), ("patterns", pa.list_(pa.string()))]))
 
     def run(batches):
-        for b in batches:
+        for b in common.sliced(batches, SLICE):
             counts, base, sha, mentions = [], [], [], []
             for t in common.texts(b):
                 spans = base_spans(t)
@@ -127,10 +131,10 @@ def scan(docs: DataFrame) -> DataFrame:
                 sha.append(hashlib.sha256(text.encode()).hexdigest())
                 rows = [(k, s, e) for k, s, e in spans] + [(-1, s, e) for s, e in identifiers(t, spans)]
                 mentions.append([{"kind": k, "start": s, "stop": e, "inst": hashlib.blake2b(t[s:e].encode("utf-8", "surrogatepass"), digest_size=12).hexdigest(), "patterns": contexts(t, s, e)} for k, s, e in rows])
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(counts, pa.list_(pa.int64())), pa.array(base, pa.string()), pa.array(sha, pa.string()), pa.array(mentions, struct)], names=["rid", "doc_id", "n", "base", "base_sha256", "mentions"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(counts, pa.list_(pa.int64())), pa.array(base, pa.string()), pa.array(sha, pa.string()), pa.array(mentions, struct)], names=[*ROW, "doc_id", "n", "base", "base_sha256", "mentions"])
 
     text = F.col("text").cast("string")
-    return docs.select(F.xxhash64("doc_id", text).alias("rid"), F.col("doc_id").cast("long"), text.alias("text")).mapInArrow(run, FOUND)
+    return docs.select(*common.row_key(), F.col("doc_id").cast("long"), text.alias("text")).mapInArrow(run, FOUND)
 
 
 def bootstrap(mentions: DataFrame, rounds: int, least: float, support: int) -> DataFrame:
@@ -157,16 +161,16 @@ def personal_data(docs: DataFrame, rounds: int = 3, least: float = 0.5, support:
 
     least: the confidence from which a pattern is used; support: how many known instances it must have.
     """
-    scanned = common.saved(scan(docs), "pii")
-    mentions = scanned.select("rid", F.explode("mentions").alias("m")).select("rid", "m.*")
+    scanned = common.saved(scan(docs), "pii", files=True)
+    mentions = scanned.select(*ROW, F.explode("mentions").alias("m")).select(*ROW, "m.*")
     found = bootstrap(mentions, rounds, least, support)
     names = reduce(lambda a, i: F.when(F.col("found") == i, KINDS[i]).otherwise(a), range(len(KINDS)), F.lit(None))
-    added = mentions.where("kind < 0").select("rid", "inst", "start", "stop").distinct().join(found.withColumnRenamed("kind", "found"), "inst")
-    added = added.groupBy("rid").agg(F.collect_list(F.struct(F.col("found").cast("int").alias("k"), F.col("start"), F.col("stop"), names.alias("name"))).alias("more"))
+    added = mentions.where("kind < 0").select(*ROW, "inst", "start", "stop").distinct().join(found.withColumnRenamed("kind", "found"), "inst")
+    added = added.groupBy(*ROW).agg(F.collect_list(F.struct(F.col("found").cast("int").alias("k"), F.col("start"), F.col("stop"), names.alias("name"))).alias("more"))
     base = F.transform(F.filter("mentions", lambda m: m.kind >= 0), lambda m: F.struct(m.kind.alias("k"), m.start.alias("start"), m.stop.alias("stop"), F.element_at(F.array(*map(F.lit, KINDS)), m.kind + 1).alias("name")))
     every = F.array_sort(F.concat(base, F.coalesce("more", F.array().cast("array<struct<k:int,start:int,stop:int,name:string>>"))))
     spans = F.array_join(F.transform(every, lambda m: F.concat_ws(":", m["name"], m.start, m.stop)), ",")
-    return scanned.join(added, "rid", "left").select("doc_id", *(F.col("n")[i].alias(f"n_{k}") for i, k in enumerate(KINDS)), "base_sha256", spans.alias("spans"), F.coalesce(F.size("more"), F.lit(0)).cast("long").alias("n_added"))
+    return scanned.join(added, ROW, "left").select("doc_id", *(F.col("n")[i].alias(f"n_{k}") for i, k in enumerate(KINDS)), "base_sha256", spans.alias("spans"), F.coalesce(F.size("more"), F.lit(0)).cast("long").alias("n_added"))
 
 
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -234,6 +234,62 @@ def test_personal_data(spark):
     assert got[5].n_phone == 1 and got[5].base_sha256 == hashlib.sha256(got[5].spans.encode()).hexdigest()
 
 
+def plain_personal(text):
+    """Base spans by the patterns themselves."""
+    out = [[m.span() for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text)]]
+    out.append([m.span() for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text) if all(int(p) <= 255 for p in m.group().split("."))])
+    digits = lambda s: re.sub("[^0-9]", "", s)
+    luhn = lambda d: sum(sum(divmod(2 * int(c), 10)) if i % 2 else int(c) for i, c in enumerate(reversed(d))) % 10 == 0
+    out.append([m.span() for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", text) if 13 <= len(digits(m.group())) <= 19 and luhn(digits(m.group()))])
+    out.append([m.span() for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", text) if 9 <= len(digits(m.group())) <= 15])
+    return [(k, *s) for k, spans in enumerate(out) for s in spans]
+
+
+def test_base_spans_of_random_texts():
+    rng = random.Random(16)
+    card = lambda: "4111111111111111" if rng.random() < 0.3 else " ".join(str(rng.randrange(10**4)).zfill(4) for _ in range(4))
+    piece = lambda: rng.choice(["a.b@c.de", "x@y", "1.2.3.4", "300.1.2.3", "1.2.3.4.5.6.7.8", "000.0001.2.3", "+1 (555) 123-4567", "+", "é", "w", ".", "-", " ", "@", str(rng.randrange(1000)), card()])
+    for _ in range(2000):
+        text = "".join(piece() + rng.choice(["", " "]) for _ in range(rng.randrange(1, 14)))
+        assert op05_pii.base_spans(text) == plain_personal(text), text
+
+
+@pytest.mark.parametrize("unit", ["<", "(<[", "<a<1", "1", "1.", "1 ", "+1", "a@", "@", "a.", "+", "a1-", "9.9.9.9.", "a" * 50 + "."])
+def test_personal_data_is_linear(unit):
+    text = unit * (1_000_000 // len(unit))
+    began = time.monotonic()
+    spans = op05_pii.base_spans(text)
+    op05_pii.identifiers(text, spans)
+    assert time.monotonic() - began < 20
+
+
+def test_unseen_identifiers(spark):
+    """Numbers that no base pattern takes, planted in contexts that seeds have too, among numbers in other contexts."""
+    rng = random.Random(17)
+    number = lambda: f"{rng.randrange(200, 999)}-{rng.randrange(200, 999)}-{rng.randrange(1000, 9999)}"
+    lead = {"phone": ["please call phone", "my mobile is", "reach us at"], "email": ["write mail to", "contact address is"]}
+    other = ["order number", "invoice total of", "part code", "see section"]
+    rows, planted, noise = [], {}, set()
+    for i in range(400):
+        kind = rng.choice(["phone", "email"])
+        before, after = rng.choice(lead[kind]), rng.choice(["today", "soon", "thanks"])
+        seed = f"+1 {number()}" if kind == "phone" else f"u{rng.randrange(10**6)}@mail{rng.randrange(9)}.com"
+        rows.append((i, f"{sentence(rng, 8)} {before} {seed} {after} {sentence(rng, 5)}", None, None, None))
+    for i in range(400, 600):
+        kind = rng.choice(["phone", "email"])
+        unseen = number() if kind == "phone" else f"user{rng.randrange(10**6)}@localhost"
+        text = f"{sentence(rng, 8)} {rng.choice(lead[kind])} "
+        planted[i] = f"{kind}:{len(text)}:{len(text) + len(unseen)}"
+        rows.append((i, f"{text}{unseen} {rng.choice(['today', 'soon', 'thanks'])}", None, None, None))
+    for i in range(600, 900):
+        noise.add(i)
+        rows.append((i, f"{sentence(rng, 8)} {rng.choice(other)} {number()} {sentence(rng, 3)}", None, None, None))
+    got = {r.doc_id: r for r in op05_pii.personal_data(spark.createDataFrame(rows, DOCS)).collect()}
+    right = sum(got[i].spans == s for i, s in planted.items())
+    added = sum(r.n_added for r in got.values())
+    assert right / len(planted) >= 0.95 and right / added >= 0.95 and not any(got[i].n_added for i in noise)
+
+
 def brute_lines(docs, least):
     """Lines that a later copy of a repeated run covers: every run of every length, by its first place."""
     seqs = [(d, [x.strip() for x in (t or "").split("\n") if x.strip()]) for d, t in docs]
