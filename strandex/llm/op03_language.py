@@ -1,7 +1,7 @@
 """Language identification by rank-order profiles.
 
-A profile is the TOP most frequent letter n-grams (one to three letters, words padded with a space), in order of frequency. A
-document's profile is compared with each language's by the out-of-place distance: the sum of the differences of ranks, TOP for
+A profile is the TOP most frequent letter n-grams (one to three letters of any script, words padded with a space), in order of
+frequency. A document's profile is compared with each language's by the out-of-place distance: the sum of the differences of ranks, TOP for
 an n-gram that the language does not have.
 
 Defined cases: null text, or text without a letter: `und` with score 0; a null doc_id counts as not held out; ties go to the
@@ -21,18 +21,20 @@ from pyspark.sql import functions as F
 from . import common
 
 TOP = 300
+#: Bytes of text that are Python objects at a time.
+SLICE = 2 << 20
 _IDS: list[np.ndarray] = []
 
 
+#: Bits of a letter's own number: letters are fewer than 1 << 18, so three fit a code.
+LETTER = 18
+
+
 def _ids() -> np.ndarray:
-    """A number below 512 for every code point: 0 for what is not a letter, else an own one for Latin letters, a shared one for others."""
+    """A number for every code point: 0 for what is not a letter, else one of its own."""
     if not _IDS:
-        t = np.zeros(0x110000, np.int32)
-        for c in range(0x110000):
-            if unicodedata.category(chr(c))[0] == "L":
-                t[c] = c - 64 if c < 0x200 else 448 + c * 7919 % 64
-        t[t < 0] = 0
-        _IDS.append(t)
+        letters = np.fromiter((unicodedata.category(chr(c))[0] == "L" for c in range(0x110000)), bool, 0x110000)
+        _IDS.append(np.where(letters, np.cumsum(letters), 0).astype(np.int32))
     return _IDS[0]
 
 
@@ -40,12 +42,12 @@ def grams(text: str) -> np.ndarray:
     """Codes of all n-grams of a text, with repeats."""
     ids = _ids()[np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)]
     keep = (ids > 0) | (np.concatenate([[1], ids[:-1]]) > 0)
-    a = np.concatenate([[0], ids[keep], [0]]).astype(np.int32)
+    a = np.concatenate([[0], ids[keep], [0]]).astype(np.int64)
     if not a.any():
-        return np.zeros(0, np.int32)
-    two = a[:-1] << 9 | a[1:]
-    three = two[:-1] << 9 | a[2:]
-    return np.concatenate([a[a > 0], two[two > 0] | 1 << 27, three[a[1:-1] > 0] | 2 << 27])
+        return np.zeros(0, np.int64)
+    two = a[:-1] << LETTER | a[1:]
+    three = two[:-1] << LETTER | a[2:]
+    return np.concatenate([a[a > 0], two[two > 0] | 1 << 3 * LETTER, three[a[1:-1] > 0] | 2 << 3 * LETTER])
 
 
 def counted(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -57,10 +59,11 @@ def counted(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def profile(codes: np.ndarray) -> np.ndarray:
     """The TOP most frequent codes, most frequent first."""
     code, count = counted(codes)
-    key = count.astype(np.int64) << 30 | (1 << 30) - 1 - code
-    if len(key) > TOP:
-        key = np.partition(key, len(key) - TOP)[-TOP:]
-    return (1 << 30) - 1 - (np.sort(key)[::-1] & (1 << 30) - 1)
+    if len(code) > TOP:  # those above the count of the last place, and the smallest codes of those at it
+        last = np.partition(count, len(count) - TOP)[len(count) - TOP]
+        held = np.concatenate([np.flatnonzero(count > last), np.flatnonzero(count == last)])[:TOP]
+        code, count = code[held], count[held]
+    return code[np.lexsort((code, -count))]
 
 
 class Profiles:
@@ -96,7 +99,7 @@ def learn(docs: DataFrame, per_language: int) -> Profiles:
         chosen = chosen | ((F.col("lang") == lang) & common.hash_share("doc_id", share))
 
     def run(batches):
-        for b in batches:
+        for b in common.sliced(batches, SLICE):
             by: dict[str, list] = {}
             for lang, t in zip(b.column(0).to_pylist(), common.texts(b), strict=True):
                 by.setdefault(lang, []).append(grams(t))
@@ -117,7 +120,7 @@ def identify(docs: DataFrame, per_language: int = 1_000) -> DataFrame:
     model = learn(docs, per_language)
 
     def run(batches):
-        for b in batches:
+        for b in common.sliced(batches, SLICE):
             got = [model.predict(t) for t in common.texts(b)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([x[0] for x in got], pa.string()), pa.array([x[1] for x in got], pa.float64())], names=["doc_id", "held_out", "lang_pred", "score"])
 
