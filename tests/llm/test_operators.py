@@ -536,16 +536,104 @@ def test_frequent_terms_count():
             assert abs(index.scores(a)[b] - want) < 1e-6
 
 
-def test_ordinal_regression():
+def test_toxicity_of_unseen_documents(spark):
+    """Learnt from half of the documents; the others are told, and graded by how much of it they hold. Some words are seen in that half only by their beginning."""
     rng = random.Random(11)
-    vile = ["vile", "nasty", "awful"]
-    clean = [sentence(rng, 80) for _ in range(200)]
-    toxic = [sentence(rng, 80) + " " + " ".join(rng.choice(vile) for _ in range(1 + i % 6)) for i in range(100)]
-    m = op10_toxicity.fit(clean + toxic, np.array([False] * 200 + [True] * 100))
-    assert (np.diff(m.cuts) > 0).all()
-    severity = np.array([m.tail(t).sum() for t in clean + toxic])
-    assert (severity[:200] < 0.5).mean() > 0.99 and (np.array([m.tail(t)[0] for t in toxic]) >= 0.5).mean() > 0.95
-    assert severity[200::6].mean() < severity[205::6].mean()
+    vile = ["vile", "nasty", "awful", "grimb"]
+    insult = lambda: (w := rng.choice(vile)) + ("".join(rng.choice("aeiou") for _ in range(3)) if w == "grimb" else "")
+    docs = [(i, sentence(rng, 80) + (" " + " ".join(insult() for _ in range(1 + i % 6)) if i % 3 == 0 else "")) for i in range(900)]
+    known = [(i, 1, int(i % 3 == 0)) for i in range(0, 450)]
+    table = spark.createDataFrame([(i, t, None, None, None) for i, t in docs], DOCS)
+    got = {r.doc_id: r for r in op10_toxicity.toxicity(table, labels(spark, known)).collect()}
+    unseen = range(450, 900)
+    assert np.mean([got[i].toxic_pred for i in unseen if i % 3 == 0]) > 0.95 and not any(got[i].toxic_pred for i in unseen if i % 3)
+    assert all(got[i].severity < 0.5 for i in unseen if i % 3) and np.mean([got[i].severity for i in unseen if i % 6 == 0]) < np.mean([got[i].severity for i in unseen if i % 6 == 3])
+    kept = op10_toxicity.harmless(table, labels(spark, known))
+    assert {r.doc_id for r in kept.collect()} == {i for i, r in got.items() if not r.toxic_pred}
+
+
+def test_shared_weights_and_ordered_thresholds():
+    """Against a plain gradient of the likelihood: at the end no weight and no threshold can better it."""
+    rng = np.random.default_rng(12)
+    x = rng.integers(0, 3, (400, 5)).astype(float)
+    grade = np.clip((x @ [1, 2, 0, -1, 0.5] + rng.normal(size=400)).astype(int), 0, 3)
+    row, column = np.nonzero(x)
+    w, cuts = op10_toxicity.regression(row, column, x[row, column], 5, grade, 3, 3000, 0.02, 0.0)
+    assert (np.diff(cuts) > 0).all()
+
+    def loss(w, cuts):
+        p = 1 / (1 + np.exp(cuts - (x @ w)[:, None]))
+        r = grade[:, None] >= np.arange(1, 4)
+        return -np.where(r, np.log(p), np.log(1 - p)).sum()
+
+    least = loss(w, cuts)
+    for k in range(5):
+        for e in (-0.05, 0.05):
+            assert loss(w + e * (np.arange(5) == k), cuts) > least
+    for k in range(3):
+        for e in (-0.05, 0.05):
+            assert loss(w, cuts + e * (np.arange(3) == k)) > least
+
+
+def test_low_quality_stands_alone(spark):
+    """Rejected: most of the low-quality documents of an unlabelled half, and hardly any other."""
+    rng = random.Random(18)
+    word = lambda: "".join(rng.choice("etaoinshrdlu") for _ in range(rng.randrange(2, 9)))
+    say = lambda: ". ".join(" ".join([word().title(), *(word() for _ in range(rng.randrange(4, 12)))]) for _ in range(rng.randrange(10, 40)))
+    docs = [(i, " | ".join(say().split()) if i % 12 == 0 else " ".join(w + rng.choice(["&&&", "%%%"]) for w in say().split()) if i % 12 == 5 else say()) for i in range(1200)]
+    low = {i for i, _ in docs if i % 12 in (0, 5)}
+    known = [(i, int(i not in low), 0) for i in range(600)]
+    got = {r.doc_id: r for r in op01_quality_rules.quality_rules(spark.createDataFrame([(i, t, None, None, None) for i, t in docs], DOCS), labels(spark, known)).collect()}
+    unseen = [r for i, r in got.items() if i >= 600 and not r.base_failed]
+    assert np.mean([not r.kept for r in unseen if r.doc_id in low]) > 0.9 and np.mean([r.kept for r in unseen if r.doc_id not in low]) > 0.97
+
+
+def test_quality_of_held_out_documents(spark):
+    rng = random.Random(19)
+    docs = [(i, sentence(rng, 150) if i % 3 else sentence(rng, 90) + " " + " ".join("BUY!! ### $$$" for _ in range(20))) for i in range(900)]
+    rows = [(i, int(i % 3 > 0), 0) for i in range(900)]
+    got = op02_quality_mil.quality_mil(spark.createDataFrame([(i, t, None, None, None) for i, t in docs], DOCS), labels(spark, rows)).collect()
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1) and 0 <= r.score <= 1 and r.predicted == (r.score >= 0.5) for r in got)
+    held = [r for r in got if r.held_out]
+    assert len(held) > 200 and np.mean([r.predicted == (r.doc_id % 3 > 0) for r in held]) > 0.95
+    # labels of held-out documents change nothing
+    turned = [(i, 1 - q if zlib.crc32(str(i).encode()) % 3 == 1 else q, t) for i, q, t in rows]
+    again = op02_quality_mil.quality_mil(spark.createDataFrame([(i, t, None, None, None) for i, t in docs], DOCS), labels(spark, turned)).collect()
+    assert {r.doc_id: r.score for r in again} == {r.doc_id: r.score for r in got}
+
+
+def plain_rank_order(text, profiles):
+    """Out-of-place distance of each language, by dicts and lists."""
+    count = Counter()
+    for w in re.findall(r"[^\W\d_]+", text.lower()):
+        count.update(w)
+        count.update(f" {w} "[i : i + 2] for i in range(len(w) + 1))
+        count.update(f" {w} "[i : i + 3] for i in range(len(w)))
+    mine = sorted(count, key=lambda g: (-count[g], len(g), [0 if c == " " else ord(c) for c in g]))[:300]
+    return {lang: sum(abs(p.index(g) - i) if g in p else 300 for i, g in enumerate(mine)) for lang, p in profiles.items()}, mine
+
+
+def test_languages_of_held_out_documents(spark):
+    rng = random.Random(20)
+    alphabet = {"la": "abcdefgh", "lb": "hgijklmn", "cy": "абвгдежз", "gr": "αβγδεζηθ", "cj": "日本語漢字文章言"}
+    words = {k: ["".join(rng.choice(a) for _ in range(rng.randrange(2, 7))) for _ in range(60)] for k, a in alphabet.items()}
+    docs = [(i, " ".join(rng.choice(words[k]) for _ in range(rng.randrange(5, 60))), k) for i, k in ((i, rng.choice([*alphabet])) for i in range(400))]
+    frame_ = lambda rows: spark.createDataFrame([(i, t, k, "s", None) for i, t, k in rows], DOCS)
+    got = {r.doc_id: r for r in op03_language.identify(frame_(docs)).collect()}
+    assert all(r.held_out == (zlib.crc32(str(i).encode()) % 4 == 2) and 0 <= r.score <= 1 for i, r in got.items())
+    held = [i for i, r in got.items() if r.held_out]
+    assert len(held) > 60 and np.mean([got[i].lang_pred == docs[i][2] for i in held]) > 0.98
+    # the language that a held-out document is said to have changes nothing
+    wrong = [(i, t, "la" if i in set(held) else k) for i, t, k in docs]
+    assert {r.doc_id: (r.lang_pred, r.score) for r in op03_language.identify(frame_(wrong)).collect()} == {i: (r.lang_pred, r.score) for i, r in got.items()}
+    # distance, by hand: profiles from one text of each language
+    one = {k: plain_rank_order(" ".join(words[k]), {})[1] for k in alphabet}
+    model = op03_language.Profiles({k: op03_language.profile(op03_language.grams(" ".join(words[k]))).tolist() for k in alphabet})
+    for _, t, _ in docs[:60]:
+        away, mine = plain_rank_order(t, one)
+        best = min(sorted(away), key=away.get)
+        lang, score = model.predict(t)
+        assert lang == best and abs(score - (1 - away[best] / (300 * len(mine)))) < 1e-12
 
 
 def test_slices_and_hashes():
