@@ -3,9 +3,10 @@
 A document of WINDOW tokens or more is cut into full windows and a rest. The rests are put in an order of content and cut into
 shards of about SHARD documents: a tree of centres, learnt from a bounded sample, gives each document a leaf, and within a leaf
 documents are in the order of their nearness to its centre. So copies are side by side, however many they are, and documents of
-one leaf share a shard or lie in adjacent ones. A shard holds an inverted index over all distinct tokens of its documents, every one of
-which counts with its idf, however frequent it is, with the document frequencies and the mean length of the whole corpus. The longest unused document is the seed of the next window; its
-neighbours in the order of their BM25 score fill the room, and what room is left takes the longest unused that fit.
+one leaf share a shard or lie in adjacent ones. A shard holds an inverted index over all tokens of its documents with their frequencies; every
+token counts with its idf, however frequent it is, with the document frequencies and the mean length of the whole corpus. The
+longest unused document is the seed of the next window, its distinct tokens are the query; its neighbours in the order of their
+BM25 score fill the room, and what room is left takes the longest unused that fit.
 
 A seed asks its own shard only: a neighbour that the tree puts elsewhere isn't found. README has the measured share of nearest
 documents that are.
@@ -72,24 +73,26 @@ def vocabulary() -> str:
 
 
 def tokenised(docs: DataFrame, path: str) -> DataFrame:
-    """(doc_id, spread, tokens, crcs of the full windows and of the rest, terms): spread is a hash that differs for repeated rows too."""
+    """(doc_id, spread, tokens, crcs of the full windows and of the rest, terms, times: how often each occurs): spread is a hash that differs for repeated rows too."""
 
     def run(batches):
         encode, seen = tokenizer(path), 0
         part = TaskContext.get().partitionId()
         for b in batches:
-            spread, tokens, crcs, terms = [], [], [], []
+            spread, tokens, crcs, terms, times = [], [], [], [], []
             for doc, t in zip(b.column(0).to_pylist(), common.texts(b), strict=True):
                 ids = np.array([*encode(t), END], "<u4")
                 tokens.append(len(ids))
                 crcs.append([zlib.crc32(ids[i : i + WINDOW].tobytes()) for i in range(0, len(ids), WINDOW)])
-                terms.append(np.unique(ids).tobytes() if len(ids) % WINDOW else b"")
+                distinct, n = np.unique(ids, return_counts=True) if len(ids) % WINDOW else (ids[:0], ids[:0])
+                terms.append(distinct.tobytes())
+                times.append(n.astype("<u4").tobytes())
                 spread.append(zlib.crc32(f"{doc}:{part}:{seen}".encode()))
                 seen += 1
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(spread, pa.int64()), pa.array(tokens, pa.int64()), pa.array(crcs, pa.list_(pa.int64())), pa.array(terms, pa.binary())], names=["doc_id", "spread", "tokens", "crcs", "terms"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(spread, pa.int64()), pa.array(tokens, pa.int64()), pa.array(crcs, pa.list_(pa.int64())), pa.array(terms, pa.binary()), pa.array(times, pa.binary())], names=["doc_id", "spread", "tokens", "crcs", "terms", "times"])
             common.trim()
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, spread long, tokens long, crcs array<long>, terms binary")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, spread long, tokens long, crcs array<long>, terms binary, times binary")
 
 
 def _idf(n: int, df: np.ndarray) -> np.ndarray:
@@ -97,7 +100,7 @@ def _idf(n: int, df: np.ndarray) -> np.ndarray:
 
 
 class Stats:
-    """Of a corpus: idf by token ID, mean number of distinct tokens of the documents."""
+    """Of a corpus (terms, tokens): idf by token ID, mean number of tokens of the documents."""
 
     def __init__(self, tokens: DataFrame):
         def counts(batches):
@@ -109,13 +112,13 @@ class Stats:
             at = np.nonzero(total)[0]
             yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at], pa.int64())], names=["term", "n"])
 
-        rests = tokens.where(F.octet_length("terms") > 0).select("terms")
-        self.n = rests.count()
-        table = rests.mapInArrow(counts, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+        rests = tokens.where(F.octet_length("terms") > 0)
+        self.n, self.mean = rests.agg(F.count("*"), F.coalesce(F.avg("tokens"), F.lit(0.0))).first()
+        table = rests.select("terms").mapInArrow(counts, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
         term, n = table["term"].to_numpy(), table["n"].to_numpy()
         df = np.zeros(int(term.max()) + 1 if len(term) else 0, np.int64)
         df[term] = n
-        self.idf, self.mean = _idf(self.n, df), float(df.sum()) / max(self.n, 1)
+        self.idf = _idf(self.n, df)
 
 
 def directions(idf: np.ndarray) -> np.ndarray:
@@ -169,14 +172,16 @@ class Tree:
 
 
 class Index:
-    """BM25 over the documents of a shard; a document's terms count once each, and its length is the number of its terms.
+    """BM25 over the documents of a shard.
 
-    stats: those of the corpus that the shard is part of; without them the shard is the corpus.
+    times: how often each of a document's terms occurs (once, if not given); stats: those of the corpus that the shard is part
+    of; without them the shard is the corpus.
     """
 
-    def __init__(self, terms: list[np.ndarray], stats: Stats | None = None):
+    def __init__(self, terms: list[np.ndarray], stats: Stats | None = None, times: list[np.ndarray] | None = None):
         n = len(terms)
         size = np.array([len(t) for t in terms], np.float64)
+        tf = np.concatenate([*(times or [np.ones(len(t)) for t in terms]), np.zeros(0)]).astype(np.float64)
         doc = np.repeat(np.arange(n), size.astype(np.int64))
         self.vocabulary, term = np.unique(np.concatenate([*terms, np.zeros(0, "<u4")]), return_inverse=True)
         self.of = np.split(term, np.cumsum(size.astype(np.int64))[:-1])
@@ -185,8 +190,9 @@ class Index:
         df = np.bincount(term, minlength=len(self.vocabulary))
         self.head = np.concatenate([[0], np.cumsum(df)])
         idf = stats.idf[self.vocabulary] if stats else _idf(n, df)
-        norm = K1 * (1 - B + B * size / max(stats.mean if stats else size.mean(), 1e-9)) if n else size
-        self.weight = idf[term[order]] * (K1 + 1) / (1 + norm[self.docs])
+        length = np.bincount(doc, tf, n) if n else size
+        norm = K1 * (1 - B + B * length / max(stats.mean if stats else length.mean(), 1e-9)) if n else size
+        self.weight = idf[term[order]] * tf[order] * (K1 + 1) / (tf[order] + norm[self.docs])
         # a term of one document tells of no other; those that many share are held as rows of a matrix, the others as postings
         hot = df > max(2, n // HOT)
         self.listed, at = (df > 1) & ~hot, np.nonzero(hot[term])[0]
@@ -258,14 +264,14 @@ def placed(tokens: DataFrame, stats: Stats, shard: int = SHARD) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(leaf), pa.array(near)], names=[*b.schema.names, "leaf", "near"])
             common.trim()
 
-    return tokens.mapInArrow(run, "doc_id long, spread long, tokens long, crcs array<long>, terms binary, leaf long, near long")
+    return tokens.mapInArrow(run, "doc_id long, spread long, tokens long, crcs array<long>, terms binary, times binary, leaf long, near long")
 
 
 def packed(docs: DataFrame, path: str | None = None, shard: int = SHARD) -> DataFrame:
     """docs (doc_id, text) -> a row for each piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
-    tokens = common.saved(tokenised(docs, path or vocabulary()), "tokens")
+    tokens = common.saved(tokenised(docs, path or vocabulary()), "tokens", files=True)
     stats, parts = Stats(tokens), max(1, -(-tokens.count() // (4 * shard)))
-    ordered = common.saved(placed(tokens, stats, shard), "placed").repartitionByRange(parts, "leaf", "near", "spread").sortWithinPartitions("leaf", "near", "spread", "doc_id", "tokens")
+    ordered = common.saved(placed(tokens, stats, shard), "placed", files=True).repartitionByRange(parts, "leaf", "near", "spread").sortWithinPartitions("leaf", "near", "spread", "doc_id", "tokens")
     held = docs.sparkSession.sparkContext.broadcast(stats)
     names = [x.split()[0] for x in OUT.split(", ")]
 
@@ -290,8 +296,8 @@ def packed(docs: DataFrame, path: str | None = None, shard: int = SHARD) -> Data
                 sequence += 1
         rest = np.nonzero(n % WINDOW)[0]
         sizes = (n % WINDOW)[rest]
-        terms = table["terms"].to_pylist()
-        for window in pack(sizes, Index([np.frombuffer(terms[i], "<u4") for i in rest], held.value)):
+        terms, times = ([np.frombuffer(x, "<u4") for x in table[c].take(rest).to_pylist()] for c in ("terms", "times"))
+        for window in pack(sizes, Index(terms, held.value, times)):
             at = 0
             for d in window:
                 i, size = int(rest[d]), int(sizes[d])

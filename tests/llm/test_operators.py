@@ -512,7 +512,7 @@ def test_neighbours_meet_in_shards(spark):
 
 def test_shards_share_statistics(spark):
     terms = [np.array([10 + i, 100 + i // 2, 200 + i], "<u4") for i in range(8)]
-    stats = op09_packing.Stats(spark.createDataFrame([(bytearray(t.tobytes()),) for t in terms] + [(bytearray(),)], "terms binary"))
+    stats = op09_packing.Stats(spark.createDataFrame([(bytearray(t.tobytes()), 3) for t in terms] + [(bytearray(), 2048)], "terms binary, tokens long"))
     assert stats.n == 8 and stats.mean == 3
     whole, part = op09_packing.Index(terms), op09_packing.Index(terms[:4], stats)
     assert np.allclose(part.scores(0), whole.scores(0)[:4]) and part.scores(0)[1] > 0
@@ -536,6 +536,25 @@ def test_frequent_terms_count():
             assert abs(index.scores(a)[b] - want) < 1e-6
 
 
+def test_bm25_scores(spark):
+    """Against the formula, with frequencies: of all pairs, in a shard with the statistics of a corpus."""
+    rng = np.random.default_rng(13)
+    docs = [np.minimum(rng.zipf(1.4, rng.integers(5, 200)), 300) for _ in range(60)]
+    terms, times = zip(*(np.unique(d, return_counts=True) for d in docs), strict=True)
+    terms = [t.astype("<u4") for t in terms]
+    df, mean = np.bincount(np.concatenate(terms)), np.mean([len(d) for d in docs])
+    stats = op09_packing.Stats(spark.createDataFrame([(bytearray(t.tobytes()), len(d)) for t, d in zip(terms, docs, strict=True)], "terms binary, tokens long"))
+    index = op09_packing.Index(terms[:40], stats, list(times[:40]))
+    for a in range(40):
+        for b in range(40):
+            shared = [t for t in terms[a] if t in set(terms[b].tolist()) and sum(t in x for x in terms[:40]) > 1]
+            want = 0.0
+            for t in shared:
+                tf = times[b][terms[b].tolist().index(t)]
+                want += np.log1p((60 - df[t] + 0.5) / (df[t] + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(docs[b]) / mean))
+            assert abs(index.scores(a)[b] - want) < 1e-6
+
+
 def test_toxicity_of_unseen_documents(spark):
     """Learnt from half of the documents; the others are told, and graded by how much of it they hold. Some words are seen in that half only by their beginning."""
     rng = random.Random(11)
