@@ -215,7 +215,7 @@ def shared_sets(docs: DataFrame, percent: int, size: int) -> DataFrame:
     bits = max(4, int(total // BUCKET).bit_length())
     sent = docs.select(F.col("doc_id").cast("long"), *common.row_key(), F.col("text").cast("string")).mapInArrow(_sender(size, bits), SENT)
     found = sent.repartitionById(1 << bits, "part").groupBy("part", "key").applyInArrow(_bucket(bits), SENT)
-    return common.saved(found.groupBy("batch").applyInArrow(_documents(percent, bits), SETS), "sets")
+    return common.saved(found.groupBy("batch").applyInArrow(_documents(percent, bits), SETS), "sets", files=True)
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
