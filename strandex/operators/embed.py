@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from ..functions import fixedpoint as fx
 from ..functions import tokenize as tk
 from ..functions.fixedpoint import SCALE
+from ..storage import materialised
 from .bm25 import small
 
 # Buckets, n-gram lengths, and the low ten bits of FNV-1a's basis and prime.
@@ -92,13 +93,23 @@ def term_cosines(vocabulary: DataFrame, tokens: list[str]) -> DataFrame:
     return out
 
 
-def similarities(postings: DataFrame, vocabulary: DataFrame, queries: DataFrame) -> DataFrame:
-    """(qid, id, sim): the average, over a query's tokens with repeats, of the best cosine to any term of the document; above 0."""
+def similarities(postings: DataFrame, vocabulary: DataFrame, queries: DataFrame, hits: DataFrame | None = None, floor: int = 0) -> DataFrame:
+    """(qid, id, sim): the average, over a query's tokens with repeats, of the best cosine to any term of the document; above 0.
+
+    With hits (qid, id): only of documents that are hits, or may reach `floor`. An average reaches it only where some cosine does,
+    so the others' postings leave before they meet any cosine but the large ones.
+    """
     tokens = queries.select("qid", F.explode(tk.tokenize(F.col("text"))).alias("token")).groupBy("qid", "token").agg(F.count("*").alias("times"))
     distinct = sorted(r.token for r in tokens.select("token").distinct().collect())  # a query's own words
     if not distinct:
         return postings.select(F.lit(0).cast("long").alias("qid"), "id", F.lit(0).cast("long").alias("sim")).limit(0)
-    best = postings.select("id", "term").join(term_cosines(vocabulary, distinct), "term").groupBy("id", "token").agg(F.max("cosine").alias("best"))
+    cosines = term_cosines(vocabulary, distinct)
+    postings = postings.select("id", "term")
+    if hits is not None:
+        cosines = materialised(cosines, "cosines")
+        near = postings.join(small(cosines.where(F.col("cosine") >= floor).select("term").distinct()), "term", "left_semi").select("id")
+        postings = postings.join(hits.select("id").unionByName(near).distinct(), "id", "left_semi")
+    best = postings.join(cosines, "term").groupBy("id", "token").agg(F.max("cosine").alias("best"))
     size = tokens.groupBy("qid").agg(F.sum("times").alias("n"))
     rows = best.join(small(tokens.join(size, "qid")), "token").groupBy("qid", "id", "n").agg(F.sum(F.col("best") * F.col("times")).alias("total"))
     return rows.select("qid", "id", fx.div("total", "n").alias("sim")).where("sim > 0")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixedpoint as fx
 from ..functions.fixedpoint import fnv1a64_many
+from ..storage import materialised
 
 GENESIS = "0" * 16
 ENTRY = "seq long, prev_hash string, memory_id string, event string, content_hash string, source string, harness string, core string, created long, entry_hash string"
@@ -46,12 +47,39 @@ def append(log: DataFrame | None, events: DataFrame) -> DataFrame:
     return rows.select("seq", "memory_id", "event", "content_hash", "source", "harness", "core", "created", "json").coalesce(1).sortWithinPartitions("seq").mapInPandas(chain, ENTRY)
 
 
+def append_logs(events: DataFrame, by: str) -> DataFrame:
+    """Records of many new logs, one for each value of `by` (a long): events as for `append`. Each log is folded in a task of its own."""
+    names = [c.split()[0] for c in ENTRY.split(", ")]
+
+    def chain(g):
+        g, before, prevs, own = g.sort_values("seq"), GENESIS, [], []
+        for text in g["json"]:
+            prevs.append(before)
+            before = f"{int(fnv1a64_many([(before + text).encode()])[0]):016x}"
+            own.append(before)
+        return g.assign(prev_hash=prevs, entry_hash=own)[[by, *names]]
+
+    rows = events.withColumn("seq", F.row_number().over(W.partitionBy(by).orderBy("ord")).cast("long")).withColumn("json", payload())
+    return rows.select(by, "seq", "memory_id", "event", "content_hash", "source", "harness", "core", "created", "json").groupBy(by).applyInPandas(chain, f"{by} long, {ENTRY}")
+
+
 def chain_breaks(log: DataFrame, by: str | None = None) -> DataFrame:
-    """(seq, reason) of each record that doesn't follow: a gap in seq, then a wrong prev_hash, then a wrong entry_hash. by: column of the log's name, for many logs."""
-    keys = [by] if by else []
-    w = (W.partitionBy(by) if by else W.partitionBy()).orderBy("pos")
-    rows = log.withColumn("was", F.lag("seq").over(w)).withColumn("before", F.lag("entry_hash").over(w))
-    return rows.select(*keys, "pos", "seq", break_reason().alias("reason")).where("reason is not null")
+    """(pos, seq, reason) of each record that doesn't follow: a gap in seq, then a wrong prev_hash, then a wrong entry_hash.
+
+    by: column of the log's name, for many logs. A single log is cut in ranges of pos; of each range only its last record is
+    told to the next.
+    """
+    if by:
+        w = W.partitionBy(by).orderBy("pos")
+        rows = log.withColumn("was", F.lag("seq").over(w)).withColumn("before", F.lag("entry_hash").over(w))
+        return rows.select(by, "pos", "seq", break_reason().alias("reason")).where("reason is not null")
+    parts = materialised(log.repartitionByRange("pos").withColumn("part", F.spark_partition_id()), "log")
+    last = parts.groupBy("part").agg(F.max_by(F.struct("seq", "entry_hash"), "pos").alias("last"))
+    ends = last.select("part", F.lag("last").over(W.orderBy("part")).alias("end"))  # a row for each range
+    w = W.partitionBy("part").orderBy("pos")
+    rows = parts.withColumn("was", F.lag("seq").over(w)).withColumn("before", F.lag("entry_hash").over(w)).join(F.broadcast(ends), "part")
+    rows = rows.withColumn("was", F.coalesce("was", "end.seq")).withColumn("before", F.coalesce("before", "end.entry_hash"))
+    return rows.select("pos", "seq", break_reason().alias("reason")).where("reason is not null")
 
 
 def break_reason() -> Column:

@@ -57,10 +57,15 @@ def passes(o: Options) -> Column:
     return out
 
 
+def terms_of(hits: DataFrame, postings: DataFrame) -> DataFrame:
+    """(id, terms) of the documents among hits: postings of others leave before any are gathered."""
+    return postings.join(bm25.small(hits.select("id").distinct()), "id", "left_semi").groupBy("id").agg(F.collect_list("term").alias("terms"))
+
+
 def shared_subtokens(hits: DataFrame, queries: DataFrame, postings: DataFrame) -> DataFrame:
     """(qid, id, shared): the first three query terms of three bytes or more that hold, or are held by, a term of the document."""
     terms = F.filter(F.array_distinct(tk.tokenize(F.col("text"))), lambda t: F.octet_length(t) >= 3)
-    rows = hits.select("qid", "id").join(postings.where(F.octet_length("term") >= 3).groupBy("id").agg(F.collect_list("term").alias("terms")), "id").join(bm25.small(queries.select("qid", terms.alias("asked"))), "qid")
+    rows = hits.select("qid", "id").join(terms_of(hits, postings.where(F.octet_length("term") >= 3)), "id").join(bm25.small(queries.select("qid", terms.alias("asked"))), "qid")
     held = F.filter("asked", lambda q: F.exists("terms", lambda d: F.contains(d, q) | F.contains(q, d)))
     return rows.select("qid", "id", F.slice(held, 1, 3).alias("shared"))
 
@@ -81,7 +86,7 @@ def candidates(index: Index, queries: DataFrame, o: Options) -> DataFrame:
     if not o.rerank:
         return hits.withColumn("sim", zero)
     hits = materialised(hits, "hits")
-    sim = materialised(embed.similarities(index.postings, index.vocabulary(), queries), "sims")
+    sim = materialised(embed.similarities(index.postings, index.vocabulary(), queries, hits, SEMANTIC_FLOOR), "sims")
     boosted = hits.join(sim, ["qid", "id"], "left").withColumn("sim", F.coalesce("sim", zero)).withColumn("score_micros", F.col("score_micros") + fx.div("sim", 2))
     alone = above(sim.where(F.col("sim") >= SEMANTIC_FLOOR), "sim").join(hits, ["qid", "id"], "left_anti").join(docs, "id", "left_semi")
     return boosted.unionByName(alone.select("qid", "id", F.lit("semantic").alias("kind"), F.col("sim").alias("score_micros"), zero.alias("graph_micros"), none.alias("graph_via"), zero.alias("bm25_micros"), empty.alias("matched_terms"), "sim"))
@@ -95,8 +100,9 @@ def recall(index: Index, queries: DataFrame, options: Options | None = None) ->
         hits = rank.with_decay(hits, o.now, o.half_life, o.decay_weight)
     hits = rank.ranked(hits)
     if o.diverse:
-        hits = rank.diversified(materialised(hits, "ranked"), index.postings.groupBy("id").agg(F.collect_list("term").alias("terms")))
-    hits = rank.packed(hits, o.k, o.budget, tx.card_cost(F.col("title"), F.col("rationale"), F.col("id")))
+        hits = materialised(hits, "ranked")
+        hits = rank.diversified(hits, terms_of(hits, index.postings))
+    hits = materialised(rank.packed(hits, o.k, o.budget, tx.card_cost(F.col("title"), F.col("rationale"), F.col("id"))), "packed")
     ignored = bm25.ignored_terms(index, queries).groupBy("qid").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "term", "reason"))), lambda x: F.struct(x.term.alias("term"), x.reason.alias("reason"))).alias("ignored"))
     hits = hits.join(bm25.small(ignored), "qid", "left")
     rerank = F.lit(None)
