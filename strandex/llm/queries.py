@@ -12,9 +12,10 @@ from .op07_secrets import op7_secrets
 from .op08_ngram_join import op8_ngram_join
 from .op09_packing import op9_packing
 from .op10_toxicity import op10_toxicity
+from .sql import SQL
 
 QUERIES = {
     f.__name__: f
     for f in (op1_quality_rules, op2_quality_mil, op3_language, op4_decontaminate, op5_pii, op6_line_dedup, op7_secrets, op8_ngram_join, op9_packing, op10_toxicity)
 }
-SQL: dict[str, str] = {}
+__all__ = ["QUERIES", "SQL"]
