@@ -161,7 +161,7 @@ def personal_data(docs: DataFrame, rounds: int = 3, least: float = 0.5, support:
 
     least: the confidence from which a pattern is used; support: how many known instances it must have.
     """
-    scanned = common.saved(scan(docs), "pii", files=True)
+    scanned = common.saved(scan(docs), "pii", common.SCAN)
     mentions = scanned.select(*ROW, F.explode("mentions").alias("m")).select(*ROW, "m.*")
     found = bootstrap(mentions, rounds, least, support)
     names = reduce(lambda a, i: F.when(F.col("found") == i, KINDS[i]).otherwise(a), range(len(KINDS)), F.lit(None))

@@ -85,11 +85,10 @@ def _with_next(level: DataFrame, k: int) -> DataFrame:
 
 def suffix_ranks(docs: DataFrame, min_words: int) -> list[DataFrame]:
     """Tables (r1, r2, idx, r, s) by k; the first one also has doc_id, ahead, back. Positions of prefixes found once aren't in them."""
-    every = common.saved(lines(docs, min_words), "lines", files=True)
+    every = lines(docs, min_words)  # read twice: cheaper than a table of all lines
     ids = ranked(_repeated(every, ["h1", "h2"]), ["h1", "h2"], "r")
     seen = every.join(ids, ["h1", "h2"]).drop("h1", "h2").repartition(*ROW).dropDuplicates([*ROW, "idx"])
     levels = [common.saved(_with_next(seen, 0), "level0")]
-    common.used_up(every)
     longest = levels[0].agg(F.max(F.greatest("ahead", "back"))).first()[0] or 0
     while 2 ** len(levels) <= longest:
         k = len(levels)

@@ -73,7 +73,7 @@ def ownership(found: DataFrame) -> DataFrame:
 
 def secret_scan(docs: DataFrame, owner: str = "source", repository: str = "doc_id", shared_by: int = 3, copied: int = 10) -> DataFrame:
     """docs (doc_id, text, owner, repository) -> doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_token, n_live, n_example."""
-    found, row = common.saved(candidates(docs, owner, repository), "secrets", files=True), ["r1", "r2"]
+    found, row = common.saved(candidates(docs, owner, repository), "secrets", common.SCAN), ["r1", "r2"]
     upto = F.sum("p.upto").over(W.partitionBy(*row, "p.kind").orderBy("p.i"))
     spans = found.where(F.size("parts") > 0).select(*row, "parts").dropDuplicates(row).select(*row, F.explode("parts").alias("p"))
     spans = spans.withColumn("stop", upto).select(*row, "p.kind", "p.value", "p.good", (F.col("stop") - F.col("p.len")).alias("start"), "stop").where("good")

@@ -215,11 +215,11 @@ def shared_sets(docs: DataFrame, percent: int, size: int) -> DataFrame:
     bits = max(4, int(total // BUCKET).bit_length())
     sent = docs.select(F.col("doc_id").cast("long"), *common.row_key(), F.col("text").cast("string")).mapInArrow(_sender(size, bits), SENT)
     found = sent.repartitionById(1 << bits, "part").groupBy("part", "key").applyInArrow(_bucket(bits), SENT)
-    return common.saved(found.groupBy("batch").applyInArrow(_documents(percent, bits), SETS), "sets", files=True)
+    return common.saved(found.groupBy("batch").applyInArrow(_documents(percent, bits), SETS), "sets", 8)
 
 
-def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Of the pairs (a, b), those that link."""
+def verified(pairs: DataFrame, sets: DataFrame, percent: int, most: int | None = None) -> DataFrame:
+    """Of the pairs (a, b), those that link. most: how many pairs there are at most."""
 
     def run(batches):
         for b in batches:
@@ -232,7 +232,7 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     side = lambda c, n, s: sets.select(F.col("c").alias(c), F.col("n").alias(n), F.col("tokens").alias(s))
     rows = pairs.join(side("a", "na", "sa"), "a").join(side("b", "nb", "sb"), "b").select("a", "b", "na", "nb", "sa", "sb")
-    return common.saved(rows.mapInArrow(run, "a long, b long"), "pairs")
+    return common.saved(rows.mapInArrow(run, "a long, b long"), "pairs", rows=most)
 
 
 def _root(root: dict[int, int], g: int) -> int:
@@ -344,22 +344,22 @@ def _grouped(prefix: DataFrame, links: DataFrame | None) -> DataFrame:
 def class_links(sets: DataFrame, percent: int) -> DataFrame:
     """sets: a row for each class (c, n, tokens, prefix) -> links (a, b) that connect all classes that links reach."""
     prefix = common.saved(sets.select("c", "n", F.explode("prefix").alias("token")), "prefix")
-    links = None
+    links, rows = None, prefix.count()
     fits = lambda n, m: F.lit(100) * F.least(n, m) >= F.lit(percent) * F.greatest(n, m)
     for step in range(3):
-        now = common.saved(_grouped(prefix, links), f"grouped{step}")
+        now = common.saved(_grouped(prefix, links), f"grouped{step}", rows=rows)
         # shingles that classes of two components hold in their prefixes; the first component's first class leads
         open_ = now.groupBy("token").agg(F.min(F.struct("g", "c", "n")).alias("lead"), F.max("g").alias("last")).where(F.col("lead.g") < F.col("last"))
         if step < 2:
             near = now.join(open_, "token").where((F.col("g") != F.col("lead.g")) & fits(F.col("n"), F.col("lead.n"))).groupBy("c", F.col("lead.c").alias("b")).agg(F.count("*").alias("shared"))
             pairs = near.groupBy("c").agg(F.max(F.struct("shared", "b")).alias("best")).select(F.col("c").alias("a"), F.col("best.b").alias("b"))
-            got = verified(pairs, sets, percent)
+            got = verified(pairs, sets, percent, rows)
         else:
-            still = common.saved(now.join(open_.select("token", F.col("lead.c").alias("lead")), "token"), "open")
+            still = common.saved(now.join(open_.select("token", F.col("lead.c").alias("lead")), "token"), "open", rows=rows)
             got = opened(still, sets, percent)
             common.used_up(still)
         common.used_up(now)
-        links = got if links is None else common.saved(links.unionByName(got), "links-so-far")
+        links = got if links is None else common.saved(links.unionByName(got), "links-so-far", rows=rows)
     common.used_up(prefix)
     return links
 

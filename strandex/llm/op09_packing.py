@@ -269,9 +269,9 @@ def placed(tokens: DataFrame, stats: Stats, shard: int = SHARD) -> DataFrame:
 
 def packed(docs: DataFrame, path: str | None = None, shard: int = SHARD) -> DataFrame:
     """docs (doc_id, text) -> a row for each piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
-    tokens = common.saved(tokenised(docs, path or vocabulary()), "tokens", files=True)
+    tokens = common.saved(tokenised(docs, path or vocabulary()), "tokens", common.SCAN)
     stats, parts = Stats(tokens), max(1, -(-tokens.count() // (4 * shard)))
-    ordered = common.saved(placed(tokens, stats, shard), "placed", files=True).repartitionByRange(parts, "leaf", "near", "spread").sortWithinPartitions("leaf", "near", "spread", "doc_id", "tokens")
+    ordered = common.saved(placed(tokens, stats, shard), "placed", common.SCAN).repartitionByRange(parts, "leaf", "near", "spread").sortWithinPartitions("leaf", "near", "spread", "doc_id", "tokens")
     held = docs.sparkSession.sparkContext.broadcast(stats)
     names = [x.split()[0] for x in OUT.split(", ")]
 

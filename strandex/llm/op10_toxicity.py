@@ -113,7 +113,7 @@ def fit(names: list[str], row: np.ndarray, column: np.ndarray, times: np.ndarray
 
 def train(docs: DataFrame, labels: DataFrame, sample: int, least: float, most: int) -> Model:
     rows = common.labelled_sample(docs, labels, "toxic", sample).select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), (F.col("toxic") == 1).alias("toxic"))
-    known = common.saved(rows.groupBy("text").agg(F.min("doc_id").alias("doc_id"), F.max("toxic").alias("toxic")).select("doc_id", "text", "toxic"), "toxic")
+    known = common.saved(rows.groupBy("text").agg(F.min("doc_id").alias("doc_id"), F.max("toxic").alias("toxic")).select("doc_id", "text", "toxic"), "toxic", rows=sample)
     kinds = {r.toxic: r["count"] for r in known.groupBy("toxic").count().collect()}
 
     def seen(batches):
