@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import fixedpoint as fx
 from ..functions import redact as rd
 from ..functions import text as tx
+from ..storage import materialised
 
 # Candidates of a session at most, and their note.
 MOST, NOTE = 12, "auto-distilled from the session transcript (heuristic)"
@@ -73,6 +74,34 @@ def parse_model_output(outputs: DataFrame) -> DataFrame:
     return once.select("path", F.row_number().over(W.partitionBy("path").orderBy("n")).cast("long").alias("pos"), "mtype", "line")
 
 
+def process_distiller(command: str, timeout: float = 60.0):
+    """A distiller that hands each transcript to a shell command and reads its lines; `distilled` where that fails, is late or finds nothing.
+
+    Transcripts are spread over the executors, which need the command; a command that is late is stopped.
+    """
+
+    def run(frames):
+        import subprocess
+
+        for g in frames:
+            out = []
+            for text in g["text"]:
+                try:
+                    done = subprocess.run(["sh", "-c", command], input=(text or "").encode(), capture_output=True, timeout=timeout, check=False)
+                    out.append(done.stdout.decode("utf-8", "replace") if done.returncode == 0 else None)
+                except subprocess.TimeoutExpired:
+                    out.append(None)
+            yield g.assign(said=out)
+
+    def distiller(texts: DataFrame) -> DataFrame:
+        said = materialised(texts.select("path", "text").mapInPandas(run, "path string, text string, said string"), "said")
+        found = parse_model_output(said.where("said is not null").select("path", F.col("said").alias("text"))).where(F.col("pos") <= MOST)
+        rest = distilled(said.select("path", "text").join(found.select("path").distinct(), "path", "left_anti"))
+        return found.unionByName(rest)
+
+    return distiller
+
+
 def stored(new: DataFrame, now: int, redact: bool = True) -> DataFrame:
     """New rows as they are written: free text redacted, scalars without control characters, empty ones null, stamped."""
     free = (lambda c: rd.redact_scalar(c)) if redact else rd.sanitize_scalar

@@ -44,6 +44,33 @@ def corpus_stats(lengths: DataFrame) -> DataFrame:
     return lengths.agg(F.count("*").alias("n_docs"), *(F.coalesce(F.sum(f"len_{n}"), F.lit(0)).cast("long").alias(f"total_{n}") for n in FIELDS))
 
 
+#: What a kept index says of itself: the format of its tables, and the first version whose postings count.
+FORMAT, SIGN = 2, "format int, since int"
+#: Versions after which the postings are written anew in order.
+MOST_VERSIONS = 8
+
+
+class UnusableIndex(ValueError):
+    """A kept index that can't be read, or is of another format."""
+
+
+def _signed(spark: SparkSession, at: str, since: int) -> None:
+    spark.createDataFrame([(FORMAT, since)], SIGN).coalesce(1).write.parquet(f"{at}/sign")
+
+
+def _last(spark: SparkSession, path: str) -> int | None:
+    """The last version that was signed, which is when it is complete."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(at):
+        return None
+    found = [int(v[1:]) for v in (s.getPath().getName() for s in fs.listStatus(at)) if v[:1] == "v" and v[1:].isdigit()]
+    done = [k for k in found if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/v{k}/sign/_SUCCESS"))]
+    if found and not done:
+        raise UnusableIndex("no version of the index is complete")
+    return max(done, default=None)
+
+
 @dataclass
 class Index:
     """docs hold the metadata, the field lengths and the content hash; stats is one row."""
@@ -52,22 +79,52 @@ class Index:
     postings: DataFrame
     df: DataFrame
     stats: DataFrame
+    #: Where it is kept, as which version, and since which version its postings count.
+    path: str | None = None
+    version: int = 1
+    since: int = 1
 
     @classmethod
     def build(cls, memories: DataFrame, path: str | None = None) -> Index:
-        """Computed once and kept as Parquet: at `path`, or in the shared folder. Postings are ordered by term, so that a query's terms prune row groups."""
-        keep = (lambda df, name: _written(df, f"{path}/{name}")) if path else materialised
+        """Computed once and kept as Parquet: as the first version below `path`, or in the shared folder. Postings are ordered by term, so that a query's terms prune row groups."""
+        at = f"{path}/v1"
+        keep = (lambda df, name: _written(df, f"{at}/{name}")) if path else materialised
         post = keep(postings(memories).repartitionByRange("term").sortWithinPartitions("term", "id"), "postings")
         lengths = field_lengths(memories, post)
         named = memories.columns
         text = hashed_text()
         meta = memories.select(*(c if c in named else F.lit(None).cast(_KINDS.get(c, "string")).alias(c) for c in META), fx.fnv1a64_hex(text).alias("content_hash"))
         docs = keep(meta.join(lengths, "id"), "docs")
-        return cls(docs, post, keep(document_frequencies(post), "df"), keep(corpus_stats(docs), "stats"))
+        out = cls(docs, post, keep(document_frequencies(post), "df"), keep(corpus_stats(docs), "stats"))
+        if path:
+            _signed(memories.sparkSession, at, 1)
+        return out
 
     @classmethod
-    def load(cls, spark: SparkSession, path: str) -> Index:
-        return cls(*(spark.read.parquet(f"{path}/{n}") for n in ("docs", "postings", "df", "stats")))
+    def load(cls, spark: SparkSession, path: str) -> Index | None:
+        """The last complete version below `path`; None where there is none, UnusableIndex where it can't be used.
+
+        A version holds the postings of what it added, and the ids that it took out of those before.
+        """
+        last = _last(spark, path)
+        if last is None:
+            return None
+        try:
+            sign = spark.read.schema(SIGN).parquet(f"{path}/v{last}/sign").first()
+            if sign is None or sign.format != FORMAT:
+                raise UnusableIndex(f"index format {sign.format if sign else None}, not {FORMAT}")
+            read = lambda k, name: spark.read.parquet(f"{path}/v{k}/{name}")
+            post = gone = None
+            for k in range(last, sign.since - 1, -1):
+                part = read(k, "postings") if gone is None else read(k, "postings").join(gone, "id", "left_anti")
+                post = part if post is None else part.unionByName(post)
+                if k > sign.since:
+                    gone = read(k, "gone") if gone is None else gone.unionByName(read(k, "gone")).distinct()
+            return cls(read(last, "docs"), post, read(last, "df"), read(last, "stats"), path, last, sign.since)
+        except UnusableIndex:
+            raise
+        except Exception as e:  # a file that is missing or isn't what it should be
+            raise UnusableIndex(str(e).split("\n")[0]) from e
 
     def vocabulary(self) -> DataFrame:
         return self.df.select("term")
@@ -89,14 +146,31 @@ def freshness(live: DataFrame, known: DataFrame) -> DataFrame:
 
 
 def refresh(index: Index, memories: DataFrame) -> Index:
-    """Entries with an unchanged hash stay, new and changed documents are tokenised, deleted ones go. Equal to a fresh build."""
-    text = hashed_text()
-    state = materialised(freshness(memories.select("id", fx.fnv1a64_hex(text).alias("content_hash")), index.docs), "freshness")
+    """Entries with an unchanged hash stay, new and changed documents are tokenised, deleted ones go. Equal to a fresh build.
+
+    Work and what is written follow the change: postings that stay are not sorted or written again, frequencies are corrected by
+    those of what goes and comes. A kept index becomes its next version, unless nothing changed.
+    """
+    text, spark = hashed_text(), memories.sparkSession
+    state = materialised(freshness(memories.select("id", fx.fnv1a64_hex(text).alias("content_hash")), index.docs).where("state != 'fresh'"), "freshness")
+    named = memories.columns
+    if state.isEmpty() and index.path:
+        return index
     stale, again = state.where("state in ('deleted', 'changed')").select("id"), state.where("state in ('new', 'changed')").select("id")
+    whole = index.path is not None and index.version - index.since + 1 >= MOST_VERSIONS
+    at = f"{index.path}/v{index.version + 1}"
+    keep = (lambda df, name: _written(df, f"{at}/{name}")) if index.path else materialised
     part = Index.build(memories.join(again, "id", "left_semi"))
     lengths = index.docs.join(stale, "id", "left_anti").select("id", *(f"len_{n}" for n in FIELDS)).unionByName(part.docs.select("id", *(f"len_{n}" for n in FIELDS)))
-    post = materialised(index.postings.join(stale, "id", "left_anti").unionByName(part.postings).repartitionByRange("term").sortWithinPartitions("term", "id"), "postings")
-    named = memories.columns
     meta = memories.select(*(c if c in named else F.lit(None).cast(_KINDS.get(c, "string")).alias(c) for c in META), fx.fnv1a64_hex(text).alias("content_hash"))
-    docs = materialised(meta.join(lengths, "id"), "docs")
-    return Index(docs, post, materialised(document_frequencies(post), "df"), materialised(corpus_stats(docs), "stats"))
+    docs = keep(meta.join(lengths, "id"), "docs")
+    lost = index.postings.join(stale, "id", "left_semi").groupBy("term").agg((-F.count("*")).alias("df"))
+    df = keep(index.df.unionByName(lost).unionByName(part.df).groupBy("term").agg(F.sum("df").alias("df")).where("df > 0"), "df")
+    stats = keep(corpus_stats(docs), "stats")
+    post = index.postings.join(stale, "id", "left_anti").unionByName(part.postings)
+    if not index.path:
+        return Index(docs, post, df, stats)
+    keep(post.repartitionByRange("term").sortWithinPartitions("term", "id") if whole else part.postings, "postings")
+    keep(stale, "gone")
+    _signed(spark, at, index.version + 1 if whole else index.since)
+    return Index.load(spark, index.path)

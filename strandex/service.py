@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import argparse
 import json
+import os
 import sys
 
 from pyspark.sql import SparkSession
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 from .functions import fixedpoint as fx
 from .functions import text as tx
 from .functions.text import parse_json
+from .operators import capture as cp
 from .operators import provenance as pv
 from .operators import recall as rc
 from .sources import transcripts as tr
@@ -114,6 +116,38 @@ def hook_recall(store: Store, payload: str, budget: int = HOOK_BUDGET) -> str:
     return json.dumps({"hookSpecificOutput": {"hookEventName": "UserPromptSubmit", "additionalContext": text}}, ensure_ascii=False, separators=(",", ":"))
 
 
+def _payload(text: str) -> dict:
+    try:
+        got = parse_json(text.strip())
+    except (ValueError, RecursionError):
+        return {}
+    return got if isinstance(got, dict) else {}
+
+
+def _folder_scope(cwd) -> str | None:
+    name = cwd.rstrip("/").rsplit("/", 1)[-1] if isinstance(cwd, str) else ""
+    return f"project:{name}" if name else None
+
+
+def hook_capture(store: Store, payload: str, now: int, distill: bool = False, pending: bool = False) -> str:
+    """What the end of a session runs: captures the transcript that the payload names, of the folder's scope; a line that says what came of it."""
+    got = _payload(payload)
+    path = got.get("transcript_path")
+    if not isinstance(path, str):
+        return "no transcript in the payload; nothing captured"
+    n = store.capture(tr.read_transcripts(store.spark, path), now, distill, pending, scope=_folder_scope(got.get("cwd"))).count()
+    return f"captured {n} candidates to the review queue" if pending else f"captured {n} memories"
+
+
+def hook_notify(store: Store, payload: str, home: str, now: int) -> str:
+    """What the end of a turn runs, where no transcript is named: captures the newest log below a folder. Doing so again adds nothing."""
+    newest = tr.newest_rollout(store.spark, home).first()
+    if newest is None:
+        return "no session log; nothing captured"
+    n = store.capture(tr.read_transcripts(store.spark, newest.path), now, format="codex", scope=_folder_scope(_payload(payload).get("cwd"))).count()
+    return f"captured {n} memories"
+
+
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="strandex", exit_on_error=False)
     p.add_argument("--store", required=True)
@@ -146,11 +180,22 @@ def parser() -> argparse.ArgumentParser:
     r.add_argument("--force", action="store_true")
     r.add_argument("--below", type=int, default=fx.PRUNE_FLOOR)
     r = sub.add_parser("capture")
-    r.add_argument("path")
+    r.add_argument("path", nargs="?")
+    r.add_argument("--latest", choices=("codex",), help="the newest log below --home in place of a path")
+    r.add_argument("--home", default="~/.codex/sessions")
     for name in ("pending", "distill"):
         r.add_argument(f"--{name}", action="store_true")
-    for name in ("format", "harness", "core", "scope"):
+    for name in ("format", "harness", "core", "scope", "distill-cmd"):
         r.add_argument(f"--{name}")
+    r = sub.add_parser("hook")
+    r.add_argument("action", choices=("recall", "capture", "notify"))
+    r.add_argument("payload", nargs="?", default="")
+    r.add_argument("--home", default="~/.codex/sessions")
+    r.add_argument("--budget", type=int, default=HOOK_BUDGET)
+    for name in ("pending", "distill"):
+        r.add_argument(f"--{name}", action="store_true")
+    sub.add_parser("setup")
+    sub.add_parser("mcp")
     r = sub.add_parser("review")
     r.add_argument("action", choices=("list", "approve", "reject"))
     r.add_argument("ids", nargs="*")
@@ -181,25 +226,46 @@ def _run(store: Store, a: argparse.Namespace):
         return {"id": a.id}
     if a.verb == "prune":
         return {"floor": a.below, "dry_run": not a.force, "stale": rows(store.prune(a.now, a.below, a.force))}
+    if a.verb == "setup":
+        store.setup()
+        return {"store": store.root}
+    if a.verb == "mcp":
+        serve(store, a.now)
+        return {}
+    if a.verb == "hook":
+        home = os.path.expanduser(a.home)
+        said = hook_recall(store, a.payload, a.budget) if a.action == "recall" else hook_capture(store, a.payload, a.now, a.distill, a.pending) if a.action == "capture" else hook_notify(store, a.payload, home, a.now)
+        return {"output": said}
     if a.verb == "capture":
-        got = store.capture(tr.read_transcripts(store.spark, a.path), a.now, a.distill, a.pending, format=a.format, harness=a.harness, core=a.core, scope=a.scope)
+        if (a.path is None) == (a.latest is None):
+            raise UsageError("a path, or --latest")
+        path, form = a.path, a.format
+        if a.latest:
+            newest = tr.newest_rollout(store.spark, os.path.expanduser(a.home)).first()
+            if newest is None:
+                raise UsageError("no session log found")
+            path, form = newest.path, form or "codex"
+        how = {"distiller": cp.process_distiller(a.distill_cmd)} if a.distill_cmd else {}
+        got = store.capture(tr.read_transcripts(store.spark, path), a.now, a.distill or bool(a.distill_cmd), a.pending, format=form, harness=a.harness, core=a.core, scope=a.scope, **how)
         return {"created": rows(got.select("id", F.col("mtype").alias("type"), "title"))}
     if a.verb == "review":
         if a.action == "list":
             return {"pending": rows(store.pending().select("id", F.col("mtype").alias("type"), "title"))}
         if bool(a.ids) == a.all:
             raise UsageError("name ids, or --all")
-        return {"ids": store.approve(a.now, None if a.all else a.ids) if a.action == "approve" else store.reject(None if a.all else a.ids)}
+        done = store.approve(a.now, None if a.all else a.ids) if a.action == "approve" else store.reject(None if a.all else a.ids)
+        return {"ids": [r.id for r in done.collect()]}
     return store.verify() if a.id == "verify" else {"entries": [json.loads(r.x) for r in pv.lineage(store.log(), a.id).select(pv.line().alias("x")).collect()]}
 
 
 def main(spark: SparkSession, argv: list[str]) -> tuple[int, str]:
     """(exit code, envelope): 0, 1 for a failure, 2 for a wrong use."""
-    verb = next((x for x in argv if x in ("recall", "remember", "list", "forget", "prune", "capture", "review", "provenance")), "")
+    verb = next((x for x in argv if x in ("recall", "remember", "list", "forget", "prune", "capture", "review", "provenance", "hook", "setup", "mcp")), "")
     try:
         a = parser().parse_args(argv)
-        data = _run(Store(spark, a.store, not a.no_redact), a)
-        return 0, json.dumps({"ok": True, "command": verb, "data": data, "warnings": []}, ensure_ascii=False)
+        store = Store(spark, a.store, not a.no_redact)
+        data = _run(store, a)
+        return 0, json.dumps({"ok": True, "command": verb, "data": data, "warnings": store.warnings}, ensure_ascii=False)
     except (argparse.ArgumentError, UsageError, SystemExit, ValueError) as e:
         return 2, json.dumps({"ok": False, "command": verb, "error": {"kind": "usage", "message": str(e)}, "warnings": []})
     except Exception as e:

@@ -15,7 +15,7 @@ from ..operators import capture as cp
 from ..operators import lifecycle as lc
 from ..operators import provenance as pv
 from ..operators import recall as rc
-from ..operators.index import Index, refresh
+from ..operators.index import Index, UnusableIndex, refresh
 from ..storage import materialised
 from . import frontmatter as fm
 from . import transcripts as tr
@@ -31,6 +31,7 @@ class Store:
         self._path = spark._jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(root).getFileSystem(spark._jsc.hadoopConfiguration())
         self._index: Index | None = None
+        self.warnings: list[str] = []
 
     # tables
 
@@ -59,19 +60,25 @@ class Store:
     def log(self) -> DataFrame:
         return self.table("provenance", pv.ENTRY)
 
+    def setup(self) -> None:
+        """Makes the store's folder, where it isn't there."""
+        self._fs.mkdirs(self._path(self.root))
+
     # writing
 
     def _record(self, rows: DataFrame, event: str, now: int) -> None:
+        """Entries of the log, before what they tell of is written: whoever tries again after a failure finds them and adds none."""
         events = rows.select(F.col("id").alias("ord"), F.col("id").alias("memory_id"), F.lit(event).alias("event"), fx.fnv1a64_hex(fm.canonical()).alias("content_hash"), "source", "harness", "core", F.lit(now).cast("long").alias("created"))
-        self._append("provenance", materialised(pv.append(self.log(), events), "entries"))
+        known = pv.latest(self.log()).select("memory_id", "content_hash")
+        self._append("provenance", materialised(pv.append(self.log(), events.join(known, ["memory_id", "content_hash"], "left_anti")), "entries"))
 
     def insert(self, new: DataFrame, now: int, event: str = "created", into: str = "memories") -> DataFrame:
         """Rows (NEW) whose ids are not there yet; returns those written."""
         rows = materialised(cp.stored(new.dropDuplicates(["id"]).join(self.table(into).select("id"), "id", "left_anti"), now, self.redact), "new")
-        self._append(into, rows)
         if into == "memories":
             self._record(rows, event, now)
             self._index = None
+        self._append(into, rows)
         return rows
 
     def create(self, new: DataFrame, now: int) -> DataFrame:
@@ -87,8 +94,8 @@ class Store:
     def _changed(self, rows: DataFrame, now: int) -> None:
         """Replaces the records with the ids of rows."""
         rows = materialised(rows, "changed")
-        self._replace("memories", self.memories().join(rows.select("id"), "id", "left_anti").unionByName(rows))
         self._record(rows, "updated", now)
+        self._replace("memories", self.memories().join(rows.select("id"), "id", "left_anti").unionByName(rows))
         self._index = None
 
     def update(self, rows: DataFrame, now: int) -> None:
@@ -130,14 +137,25 @@ class Store:
     def read(self, id_: str) -> DataFrame:
         return self.memories().where(F.col("id") == id_)
 
+    def read_warnings(self, folder: str) -> DataFrame:
+        """(origin, message) of the record files of a folder: what could not be read, conflict markers, an id that isn't the file's name (the id counts)."""
+        files = materialised(fm.read_files(self.spark, folder), "files")
+        name = F.regexp_extract("path", r"([^/]+)\.md$", 1)
+        odd = fm.good(files).where(F.col("id") != name).select(F.col("path").alias("origin"), F.concat(F.lit("the id "), "id", F.lit(" is not the file's name")).alias("message"))
+        return fm.quarantine(files).select("origin", "message").unionByName(odd)
+
     def list(self, mtype: str | None = None, tag: str | None = None) -> DataFrame:
         return lc.listed(self.memories(), mtype, tag).select("id", F.col("mtype").alias("type"), "title", fx.format_rfc3339("created").alias("created"), "tags", F.concat(F.lit("memories/"), "id", F.lit(".md")).alias("path"))
 
     def index(self) -> Index:
         rows = self.memories().withColumn("path", F.concat(F.lit("memories/"), "id", F.lit(".md")))
         if self._index is None:
-            at = f"{self.root}/index"
-            known = Index.load(self.spark, at) if self._fs.exists(self._path(f"{at}/stats/_SUCCESS")) else None
+            at, known = f"{self.root}/index", None
+            try:
+                known = Index.load(self.spark, at)
+            except UnusableIndex as e:
+                self.warnings.append(f"the index could not be used and was built anew: {e}")
+                self._fs.delete(self._path(at), True)
             self._index = refresh(known, rows) if known is not None else Index.build(rows, at)
         return self._index
 
@@ -170,21 +188,25 @@ class Store:
     def pending(self) -> DataFrame:
         return self.table("pending").orderBy("id")
 
-    def approve(self, now: int, ids: list[str] | None = None) -> list[str]:
-        """Into the live store under the same id, stamped anew; an id already there is only cleared."""
+    def _reviewed(self, ids: list[str] | None) -> DataFrame:
         rows = self.table("pending")
-        rows = rows if ids is None else rows.where(F.col("id").isin(ids))
-        done = sorted(r.id for r in rows.select("id").collect())  # what a person reviews
-        if ids is not None and len(done) != len(set(ids)):
+        rows = materialised(rows if ids is None else rows.where(F.col("id").isin(ids)), "reviewed")
+        if ids is not None and rows.count() != len(set(ids)):
             raise UsageError("no such candidate")
+        return rows
+
+    def _cleared(self, rows: DataFrame) -> DataFrame:
+        self._replace("pending", self.table("pending").join(rows.select("id"), "id", "left_anti"))
+        return rows.select("id").orderBy("id")
+
+    def approve(self, now: int, ids: list[str] | None = None) -> DataFrame:
+        """Into the live store under the same id, stamped anew; an id already there is only cleared. Returns the ids."""
+        rows = self._reviewed(ids)
         self.insert(rows.select(*cp.NEW), now)
-        self.delete(done, "pending")
-        return done
+        return self._cleared(rows)
 
-    def reject(self, ids: list[str] | None = None) -> list[str]:
-        done = ids if ids is not None else sorted(r.id for r in self.table("pending").select("id").collect())
-        self.delete(done, "pending")
-        return done
+    def reject(self, ids: list[str] | None = None) -> DataFrame:
+        return self._cleared(self._reviewed(ids))
 
     # files
 

@@ -9,12 +9,16 @@ from pyspark.sql.streaming import StreamingQuery
 from ..sources.store import Store
 
 
-def stream_capture(store: Store, folder: str, checkpoint: str, now: int, distill: bool = False) -> StreamingQuery:
-    """Every file that arrives in a folder is captured. Ids depend on the session alone, so a batch that runs twice adds nothing."""
+def stream_capture(store: Store, folder: str, checkpoint: str, now: int, distill: bool = False, index: bool = True) -> StreamingQuery:
+    """Every file that arrives in a folder is captured. Ids depend on the session alone, so a batch that runs twice adds nothing.
+
+    index: after each batch the store's index gets a version with the batch's records.
+    """
     files = store.spark.readStream.format("text").option("wholetext", True).load(folder).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
 
     def batch(rows: DataFrame, _: int) -> None:
-        store.capture(rows, now, distill)
+        if not store.capture(rows, now, distill).isEmpty() and index:
+            store.index()
 
     return files.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

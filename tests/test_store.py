@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from strandex import service
 from strandex.operators import capture as cp
 from strandex.operators import graph, lifecycle, provenance, rank
+from strandex.operators import index as index_module
 from strandex.operators import recall as rc
 from strandex.operators.index import Index, refresh
 from strandex.sources import frontmatter as fm
@@ -173,8 +174,8 @@ def test_review_and_mirror(spark, tmp_path):
     store.capture(spark.createDataFrame(LOGS[1:2], "path string, text string"), NOW, pending=True)
     ids = [r.id for r in store.pending().collect()]
     assert len(ids) == 2 and store.memories().isEmpty()
-    assert store.approve(NOW + 9, ids[:1]) == ids[:1] and store.memories().first().created == NOW + 9
-    assert store.reject() == ids[1:] and store.pending().isEmpty()
+    assert [r.id for r in store.approve(NOW + 9, ids[:1]).collect()] == ids[:1] and store.memories().first().created == NOW + 9
+    assert [r.id for r in store.reject().collect()] == ids[1:] and store.pending().isEmpty()
     key = "00" * 16
     store.encrypt_mirror(key)
     assert store.decrypt_mirror(key).exceptAll(store.export()).isEmpty()
@@ -195,6 +196,76 @@ def test_stream(spark, tmp_path):
     for k in range(2):  # from scratch: the same files again add nothing
         stream_capture(store, str(inbox), str(tmp_path / f"check{k}"), NOW).awaitTermination(120)
     assert store.memories().count() == 2
+    assert Index.load(spark, f"{store.root}/index").docs.count() == 2
+
+
+def same(a, b):
+    return all(x.exceptAll(y).isEmpty() and y.exceptAll(x).isEmpty() for x, y in ((a.postings, b.postings), (a.docs, b.docs), (a.df, b.df), (a.stats, b.stats)))
+
+
+def test_kept_index(spark, tmp_path, monkeypatch):
+    """Versions add what changed, are put together after a while, and equal a fresh build; what can't be used is built anew, with a warning."""
+    monkeypatch.setattr(index_module, "MOST_VERSIONS", 2)
+    root, rows = str(tmp_path / "index"), corpus(spark)
+    index = Index.build(rows, root)
+    assert refresh(Index.load(spark, root), rows).version == 1  # nothing changed
+    for k in range(3):
+        rows = spark.createDataFrame([r.asDict() | ({"body": f"entirely new words {k}"} if r.id == "rule-c-1" else {}) for r in rows.where("id != 'fact-b-1'").collect()], rows.schema)
+        index = refresh(Index.load(spark, root), rows)
+        assert index.version == k + 2 and same(index, Index.build(rows)) and same(Index.load(spark, root), index)
+    assert (index.since, Index.load(spark, str(tmp_path / "none"))) == (3, None)
+    store = Store(spark, str(tmp_path / "s"))
+    service.remember(store, NOW, type="fact", title="Where builds go")
+    assert store.recall("builds").count() == 1 and store.warnings == []
+    spark.createDataFrame([(1, 1)], index_module.SIGN).write.mode("overwrite").parquet(f"{store.root}/index/v1/sign")
+    again = Store(spark, store.root)
+    assert again.recall("builds").count() == 1 and "format 1" in again.warnings[0]
+
+
+def test_log_after_a_failure(spark, tmp_path, monkeypatch):
+    """A task that dies between the log and the records: whoever tries again adds the records and no second entry."""
+    store, texts = Store(spark, str(tmp_path / "s")), spark.createDataFrame(LOGS[1:2], "path string, text string")
+    append = Store._append
+    monkeypatch.setattr(Store, "_append", lambda self, name, rows: append(self, name, rows) if name != "memories" else (_ for _ in ()).throw(OSError("lost")))
+    with pytest.raises(OSError):
+        store.capture(texts, NOW)
+    monkeypatch.undo()
+    assert store.log().count() == 2 and store.memories().isEmpty()
+    assert store.capture(texts, NOW).count() == 2
+    assert store.verify() == {"intact": True, "entries": 2, "memories": 2}
+
+
+def test_hooks_and_latest(spark, tmp_path):
+    home = tmp_path / "home"
+    home.mkdir()
+    (home / "rollout-1.jsonl").write_text(LOG)
+    (tmp_path / "b.jsonl").write_text(LOGS[1][1])
+    root = str(tmp_path / "s")
+    run = lambda *a: json.loads(service.main(spark, ["--store", root, "--now", str(NOW), *a])[1])
+    assert run("setup")["ok"]
+    assert run("hook", "capture", json.dumps({"transcript_path": str(tmp_path / "b.jsonl"), "cwd": "/x/work"}))["data"]["output"] == "captured 2 memories"
+    assert run("hook", "capture", "{}")["data"]["output"].endswith("nothing captured")
+    assert run("hook", "notify", "--home", str(home))["data"]["output"] == "captured 2 memories"
+    assert run("capture", "--latest", "codex", "--home", str(home))["data"]["created"] == []
+    assert not run("capture")["ok"] and {r.scope for r in Store(spark, root).memories().collect()} == {"project:work", None}
+
+
+def test_process_distiller(spark):
+    texts = spark.createDataFrame([("a", "we talked"), ("b", "We chose parquet for the tables"), ("c", "We chose parquet for the tables")], "path string, text string")
+    run = lambda command, timeout=20.0: {(r.path, r.mtype, r.line) for r in cp.process_distiller(command, timeout)(texts).collect()}
+    chose = {(p, "decision", "We chose parquet for the tables") for p in "bc"}
+    assert run("grep -q talked && echo 'MEMORY fact: they talked'") == {("a", "fact", "they talked"), *chose}
+    assert run("exit 1") == chose == run("sleep 30", 0.5)
+
+
+def test_one_log_in_ranges(spark):
+    """Breaks of a log cut in many ranges, against a plain walk."""
+    events = spark.range(200).select(F.col("id").alias("ord"), F.col("id").cast("string").alias("memory_id"), F.lit("e").alias("event"), F.lit("h").alias("content_hash"), *(F.lit(None).cast("string").alias(c) for c in ("source", "harness", "core")), F.lit(NOW).cast("long").alias("created"))
+    log = provenance.append(None, events)
+    bad = log.where("seq not in (50, 51, 120)").withColumn("prev_hash", F.when(F.col("seq") == 77, "x").otherwise(F.col("prev_hash"))).withColumn("entry_hash", F.when(F.col("seq") == 150, "y").otherwise(F.col("entry_hash")))
+    got = {(r.seq, r.reason) for r in provenance.chain_breaks(bad.repartition(9).withColumn("pos", F.col("seq"))).collect()}
+    assert got == {(52, "sequence gap"), (121, "sequence gap"), (77, "prev_hash does not match"), (150, "entry_hash does not match"), (151, "prev_hash does not match")}
+    assert provenance.chain_breaks(log.withColumn("pos", F.col("seq"))).isEmpty()
 
 
 def test_service(spark, tmp_path):
