@@ -3,7 +3,7 @@
 import random
 
 import corpus_pipeline
-from strandex.llm import op08_ngram_join
+from strandex.llm import op04_decontaminate, op06_line_dedup, op08_ngram_join, op09_packing, op10_toxicity
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, rid string"
 
@@ -57,3 +57,27 @@ def test_one_of_each_goes_by_row(spark):
     rows = [(3, a), (3, b), (4, b + " x"), (2, c + " y"), (3, c), (None, a), (6, say()), (6, say())]
     got = op08_ngram_join.one_of_each(spark.createDataFrame([(i, t, None, None, None, "y") for i, t in rows], DOCS))
     assert sorted((r.doc_id, r.text) for r in got.collect()) == sorted([(3, a), (3, b), (2, c + " y"), *rows[6:]])
+
+
+def test_empty_tables(spark):
+    none = spark.createDataFrame([], DOCS)
+    no_labels, no_items = spark.createDataFrame([], "doc_id long, quality int, toxic int"), spark.createDataFrame([], "item_id long, text string")
+    some = spark.createDataFrame([(1, "a b c", None, None, None, "x"), (None, None, None, None, None, None)], DOCS)
+    stages = (lambda d: op10_toxicity.harmless(d, no_labels), op06_line_dedup.dedup_lines, op08_ngram_join.one_of_each, lambda d: op04_decontaminate.clean(d, no_items))
+    for stage in stages:
+        assert stage(none).columns == none.columns and stage(none).count() == 0
+        assert stage(some).count() == 2
+    assert op09_packing.packed(none).count() == 0
+
+
+def test_one_hot_key(spark):
+    """All rows of one source, most of them copies of one text, with one line and one passage that all share."""
+    rng = random.Random(5)
+    line, body = " ".join(f"l{i}" for i in range(55)), " ".join(f"w{rng.randrange(999)}" for _ in range(120))
+    rows = [(i, f"{line}\n{body}" if i % 3 else f"{line}\n" + " ".join(f"v{rng.randrange(10**6)}" for _ in range(60)), "en", "s", None, "x") for i in range(600)]
+    docs = spark.createDataFrame(rows, DOCS)
+    left = {r.doc_id: r.text for r in op06_line_dedup.dedup_lines(docs).collect()}
+    assert sorted(left) == sorted({0, 1} | {i for i in range(600) if i % 3 == 0}) and sum(line in t for t in left.values()) == 1
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in op08_ngram_join.near_duplicates(docs).collect()}
+    assert all(got[i][1] == (1 if i % 3 else i) for i in got)
+    assert {r.doc_id for r in op08_ngram_join.one_of_each(docs).collect()} == {1} | {i for i in range(600) if i % 3 == 0}
