@@ -206,7 +206,8 @@ _TOP = "top as (select qid, rank, id, score_micros from (select *, row_number()
 @query(q.query("select a.qid, a.id as id, b.id as other, (len(list_intersect(a.ts, b.ts)) * 1000000 // len(list_distinct(list_concat(a.ts, b.ts))))::bigint as jaccard_micros from sets a join sets b on a.qid = b.qid and a.rank < b.rank", *q.BM25, _TOP, "sets as (select qid, rank, id, list(term) as ts from top join post using (id) group by all)"))
 def jaccard_pairs(spark, sf_dir):
     """Between the ten first hits of a question."""
-    top = materialised(_top(spark, sf_dir).join(t.index(spark, sf_dir).postings.groupBy("id").agg(F.collect_list("term").alias("terms")), "id"), "top")
+    first = materialised(_top(spark, sf_dir), "first")
+    top = materialised(first.join(rc.terms_of(first, t.index(spark, sf_dir).postings), "id"), "top")
     other = top.select("qid", F.col("rank").alias("r2"), F.col("id").alias("other"), F.col("terms").alias("t2"))
     return top.join(other, "qid").where("rank < r2").select("qid", "id", "other", fx.jaccard_micros(F.col("terms"), F.col("t2")).alias("jaccard_micros"))
 
