@@ -315,7 +315,7 @@ def opened(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     def bounded(asking: pa.Table, group: pa.Table) -> pa.Table:
         if not len(asking) or not len(group):
-            return asking.select(["c", "g", "block"]).slice(0, 0)
+            return pa.table({c: pa.array([], pa.int64()) for c in ("c", "g", "block")})
         whole, least = _sets(group)[0], group["least"][0].as_py()
         shared = np.array([len(np.intersect1d(x, whole, assume_unique=True)) for x in _sets(asking)])
         return asking.select(["c", "g", "block"]).filter(pa.array(shared >= least_overlap(_column(asking, "n"), least, percent)))
