@@ -660,3 +660,19 @@ def test_slices_and_hashes():
     w = common.Words(["a b a", "", "b  a"])
     h = w.hashes(w.start, w.end, w.sums())
     assert h[0] == h[2] == h[4] and h[1] == h[3] and h[0] != h[1] and w.first.tolist() == [0, 3, 3, 5]
+
+
+def test_shared_folder():
+    """On a cluster a folder of this machine is no place for tables that others read."""
+    from types import SimpleNamespace as Some
+
+    from strandex import storage
+
+    for module in (common, storage):
+        for master, local in (("spark://host:7077", False), ("local-cluster[2,1,1024]", False), ("yarn", False), ("local[*]", True), ("local", True)):
+            spark = Some(conf=Some(get=lambda k, d: d), sparkContext=Some(master=master, getCheckpointDir=lambda: None, setCheckpointDir=lambda at: None))
+            if local:
+                assert module.shared_dir(spark)
+            else:
+                with pytest.raises(ValueError):
+                    module.shared_dir(spark)
