@@ -414,7 +414,7 @@ select user_id, reason, min(seq)::bigint as first_break, count(*) as breaks from
 def provenance_chain_check(spark, sf_dir):
     """Logs of which every 83rd event is missing, every 97th has a wrong prev_hash and every 89th a wrong entry_hash."""
     n = F.col("source").cast("long")
-    log = _log(spark, sf_dir).where(n % 83 != 0).withColumn("prev_hash", F.when(n % 97 == 0, F.lit("bad")).otherwise(F.col("prev_hash"))).withColumn("entry_hash", F.when(n % 89 == 0, F.lit("bad")).otherwise(F.col("entry_hash")))
+    log = _log(spark, sf_dir).where(n % 83 != 0).withColumn("prev_hash", F.when(n % 97 == 0, F.lit("bad")).otherwise(F.col("prev_hash"))).withColumn("entry_hash", F.when(n % 89 == 0, F.lit("wrong")).otherwise(F.col("entry_hash")))
     return pv.chain_breaks(log.withColumn("pos", F.col("seq")), "user_id").groupBy("user_id", "reason").agg(F.min("seq").alias("first_break"), F.count("*").alias("breaks"))
 
 
