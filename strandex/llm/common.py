@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 
 #: Rows of a bounded sample are chosen by a hash modulo this.
 HASH_SPACE = 1 << 20
-#: Files for each core of what is scanned; rows of a file of a table that is counted.
-SCAN, FILE_ROWS = 16, 100_000
+#: Files for each core of what is scanned.
+SCAN = 16
 _FREED = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
@@ -47,17 +47,17 @@ def _shuffles_freed(spark: SparkSession):
         spark.conf.set(_FREED, before) if before is not None else spark.conf.unset(_FREED)
 
 
-def saved(df: DataFrame, name: str, waves: int = 4, rows: int | None = None) -> DataFrame:
+def saved(df: DataFrame, name: str, waves: int = 4, rows: int | None = None, each: int = 1_000_000) -> DataFrame:
     """Written as a table in the shared folder and read again: lineage ends there, and nothing is computed twice.
 
-    In so many files for each core at most, but a file for two scanned or eight shuffled partitions at least; where the number of
-    rows is known, in one for each FILE_ROWS at most. waves: 16 for what comes straight from a scan.
+    In `waves` files for each core at most, but a file for two scanned or 16 shuffled partitions at least; where a bound of the
+    rows is known, in one for each so many rows at most. waves: SCAN for what comes straight from a scan.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/strandex-{name}-{uuid.uuid4().hex}"
     shuffled = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    files = max(waves * spark.sparkContext.defaultParallelism, shuffled // (2 if waves >= SCAN else 8))
-    df = df.coalesce(files if rows is None else min(files, 1 + rows // FILE_ROWS))
+    files = max(waves * spark.sparkContext.defaultParallelism, shuffled // (2 if waves >= SCAN else 16))
+    df = df.coalesce(files if rows is None else min(files, 1 + rows // each))
     with _shuffles_freed(spark):
         df.write.option("compression", "zstd").parquet(path)
     atexit.register(_remove, spark, path)

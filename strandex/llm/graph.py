@@ -10,7 +10,7 @@ from . import common
 
 def components(edges: DataFrame) -> DataFrame:
     """edges (a, b) -> (node, label) for every node of an edge; label: the smallest node that its links reach."""
-    both = common.saved(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links")
+    both = common.saved(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links", 1)
     rows = both.count()
     labels = common.saved(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("label")), "labels", rows=rows)
     before = None

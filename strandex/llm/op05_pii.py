@@ -142,7 +142,7 @@ def bootstrap(mentions: DataFrame, rounds: int, least: float, support: int) -> D
 
     The graph is aggregated to distinct (pattern, instance) edges before anything is joined.
     """
-    edges = common.saved(mentions.select("kind", "inst", F.explode("patterns").alias("pattern")).groupBy("pattern", "inst").agg(F.max("kind").alias("seed"), F.count("*").alias("n")), "pii-edges")
+    edges = common.saved(mentions.select("kind", "inst", F.explode("patterns").alias("pattern")).groupBy("pattern", "inst").agg(F.max("kind").alias("seed"), F.count("*").alias("n")), "pii-edges", 1)
     known = edges.where("seed >= 0").groupBy("inst").agg(F.min("seed").alias("kind"))
     seeds, found = known, None
     for k in range(rounds):
@@ -151,7 +151,7 @@ def bootstrap(mentions: DataFrame, rounds: int, least: float, support: int) -> D
         best = F.array_max(F.array(*(F.struct(F.coalesce(f"k{i}", F.lit(0)).alias("hits"), F.lit(-i).alias("minus")) for i in range(len(KINDS)))))
         scored = sized.withColumn("best", best).where(F.col("best.hits") >= support).select("pattern", (F.col("best.hits") / (F.col("all") + 1)).alias("score"), (-F.col("best.minus")).alias("kind")).where(F.col("score") >= least)
         got = edges.where("seed < 0").select("pattern", "inst").join(scored, "pattern").groupBy("inst").agg(F.max(F.struct("score", (-F.col("kind")).alias("minus"))).alias("b"))
-        found = common.saved(got.select("inst", (-F.col("b.minus")).alias("kind")), f"pii-found{k}")
+        found = common.saved(got.select("inst", (-F.col("b.minus")).alias("kind")), f"pii-found{k}", 1)
         known = seeds.unionByName(found)
     return found
 

@@ -33,6 +33,8 @@ MIN_WORDS, BLANK = 50, " \t\r\x0b\x0c"
 SLICE = 4 << 20
 LINES = "r1 long, r2 long, doc_id long, idx int, h1 long, h2 long, ahead int, back int"
 ROW = ["r1", "r2"]
+#: Rows of a file of ranks.
+ROWS = 250_000
 
 
 def blocks(words: np.ndarray, first: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
@@ -88,13 +90,14 @@ def suffix_ranks(docs: DataFrame, min_words: int) -> list[DataFrame]:
     every = lines(docs, min_words)  # read twice: cheaper than a table of all lines
     ids = ranked(_repeated(every, ["h1", "h2"]), ["h1", "h2"], "r")
     seen = every.join(ids, ["h1", "h2"]).drop("h1", "h2").repartition(*ROW).dropDuplicates([*ROW, "idx"])
-    levels = [common.saved(_with_next(seen, 0), "level0")]
+    levels = [common.saved(_with_next(seen, 0), "level0", 2)]
+    rows = levels[0].count()
     longest = levels[0].agg(F.max(F.greatest("ahead", "back"))).first()[0] or 0
     while 2 ** len(levels) <= longest:
         k = len(levels)
         pairs = levels[-1].where("s is not null").select(*ROW, "idx", "r", "s")
         ranks = ranked(_repeated(pairs, ["r", "s"]), ["r", "s"], "next")
-        level = common.saved(_with_next(pairs.join(ranks, ["r", "s"]).select(*ROW, "idx", F.col("next").alias("r")), k), f"level{k}")
+        level = common.saved(_with_next(pairs.join(ranks, ["r", "s"]).select(*ROW, "idx", F.col("next").alias("r")), k), f"level{k}", rows=rows, each=ROWS)
         levels.append(level)
         if level.isEmpty():
             break
@@ -108,7 +111,7 @@ def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     are counted among those with a word.
     """
     levels = suffix_ranks(docs, min_words)
-    seen, names = levels[0], None
+    seen, names, count = levels[0], None, levels[0].count()
     for k, level in enumerate(levels):
         part = level.select(F.lit(k).alias("k"), *ROW, "idx", "r")
         names = part if names is None else names.unionByName(part)
@@ -116,7 +119,7 @@ def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     whole = whole.withColumn("k", F.length(F.bin(F.col("len").cast("long"))) - 1).withColumn("tail", (F.col("start") + F.col("len") - F.expr("cast(shiftleft(1, k) as int)")).cast("int"))
     left = names.select("k", *ROW, F.col("idx").alias("start"), F.col("r").alias("a"))
     right = names.select("k", *ROW, F.col("idx").alias("tail"), F.col("r").alias("b"))
-    whole = common.saved(whole.join(left, ["k", *ROW, "start"]).join(right, ["k", *ROW, "tail"]).select(*ROW, "doc_id", "start", "len", "a", "b"), "blocks")
+    whole = common.saved(whole.join(left, ["k", *ROW, "start"]).join(right, ["k", *ROW, "tail"]).select(*ROW, "doc_id", "start", "len", "a", "b"), "blocks", rows=2 * count, each=ROWS)
     common.used_up(*levels)
     here = F.struct("doc_id", *ROW, "start")
     first = whole.groupBy("len", "a", "b").agg(F.min(here).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
@@ -132,7 +135,7 @@ def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     run = F.struct("start", (F.col("stop") - F.col("start")).alias("size"), F.struct(F.col("of").alias("doc_id"), (F.col("start") - F.col("diagonal")).alias("line")).alias("of"))
     spans = runs.groupBy(*ROW).agg(F.array_sort(F.collect_list(run)).alias("runs"))
     covered = F.flatten(F.transform("runs", lambda x: F.sequence(x.start, x.start + x["size"] - 1)))
-    return common.saved(spans.withColumn("removed", F.array_sort(F.array_distinct(covered))), "runs")
+    return common.saved(spans.withColumn("removed", F.array_sort(F.array_distinct(covered))), "runs", rows=count, each=ROWS)
 
 
 def line_report(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:

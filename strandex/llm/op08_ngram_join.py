@@ -215,7 +215,7 @@ def shared_sets(docs: DataFrame, percent: int, size: int) -> DataFrame:
     bits = max(4, int(total // BUCKET).bit_length())
     sent = docs.select(F.col("doc_id").cast("long"), *common.row_key(), F.col("text").cast("string")).mapInArrow(_sender(size, bits), SENT)
     found = sent.repartitionById(1 << bits, "part").groupBy("part", "key").applyInArrow(_bucket(bits), SENT)
-    return common.saved(found.groupBy("batch").applyInArrow(_documents(percent, bits), SETS), "sets", 8)
+    return common.saved(found.groupBy("batch").applyInArrow(_documents(percent, bits), SETS), "sets")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int, most: int | None = None) -> DataFrame:
@@ -232,7 +232,7 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int, most: int | None =
 
     side = lambda c, n, s: sets.select(F.col("c").alias(c), F.col("n").alias(n), F.col("tokens").alias(s))
     rows = pairs.join(side("a", "na", "sa"), "a").join(side("b", "nb", "sb"), "b").select("a", "b", "na", "nb", "sa", "sb")
-    return common.saved(rows.mapInArrow(run, "a long, b long"), "pairs", rows=most)
+    return common.saved(rows.mapInArrow(run, "a long, b long"), "pairs", rows=most, each=20_000)
 
 
 def _root(root: dict[int, int], g: int) -> int:
@@ -297,21 +297,24 @@ def opened(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) between classes that share a token of rows (token, c, n, g, lead) and are not yet in one component g."""
     home = rows.groupBy("c", "g").agg(F.min("lead").alias("home")).join(sets.select("c", F.octet_length("tokens").alias("size")), "c")
     dealt = home.groupBy("home").agg(F.ceil(F.sum("size") / GROUP).alias("blocks"))
-    home = common.saved(home.join(dealt, "home").select("c", "g", F.xxhash64("home", F.pmod(F.xxhash64("c"), "blocks")).alias("block")), "groups")
+    count = rows.count()
+    home = common.saved(home.join(dealt, "home").select("c", "g", F.xxhash64("home", F.pmod(F.xxhash64("c"), "blocks")).alias("block")), "groups", rows=count)
+    classes = home.count()
     members = home.join(sets.select("c", "n", "tokens"), "c")
-    within = common.saved(members.groupBy("block").applyInArrow(lambda t: links(t, t, percent), "a long, b long"), "opened")
+    within = common.saved(members.groupBy("block").applyInArrow(lambda t: links(t, t, percent), "a long, b long"), "opened", rows=classes, each=2_000)
     # components that groups' own links join, by the components' names
     name = lambda side: home.select(F.col("c").alias(side), F.col("g").alias("g" + side))
     joined = components(within.join(name("a"), "a").join(name("b"), "b").select(F.col("ga").alias("a"), F.col("gb").alias("b")))
-    home_now = common.saved(home.join(joined.withColumnRenamed("node", "g"), "g", "left").select("c", F.coalesce("label", "g").alias("g"), "block"), "groups")
+    home_now = common.saved(home.join(joined.withColumnRenamed("node", "g"), "g", "left").select("c", F.coalesce("label", "g").alias("g"), "block"), "groups", rows=classes)
     members = home_now.join(sets.select("c", "n", "tokens"), "c")
-    unions = common.saved(members.groupBy("block").applyInArrow(union, "block long, tokens binary, least long, most long, first long, last long"), "unions")
+    unions = common.saved(members.groupBy("block").applyInArrow(union, "block long, tokens binary, least long, most long, first long, last long"), "unions", rows=classes, each=20_000)
     # the matrix by prefix token; of two groups the one with the smaller number asks
-    held = common.saved(rows.select("token", "c", "n").join(home_now, "c"), "held")
+    held = common.saved(rows.select("token", "c", "n").join(home_now, "c"), "held", rows=count)
     other = held.select("token", F.col("block").alias("other")).distinct()
     asks = held.join(other, "token").where("block < other").select("c", "n", "g", F.col("other").alias("block")).distinct()
     fits = (F.col("most") * 100 >= F.col("n") * percent) & (F.col("n") * 100 >= F.col("least") * percent) & ~((F.col("first") == F.col("last")) & (F.col("first") == F.col("g")))
-    asks = common.saved(asks.join(unions.drop("tokens"), "block").where(fits).select("c", "g", "block"), "asks")
+    asks = common.saved(asks.join(unions.drop("tokens"), "block").where(fits).select("c", "g", "block"), "asks", 1)
+    asked = asks.count()
 
     def bounded(asking: pa.Table, group: pa.Table) -> pa.Table:
         if not len(asking) or not len(group):
@@ -326,9 +329,9 @@ def opened(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     at = ["block", "chunk"]
     asking, chunks = _asked(asks, sets)
     qualifying = asking.groupBy(*at).cogroup(unions.select("block", "tokens", "least").join(chunks, "block").groupBy(*at)).applyInArrow(bounded, "c long, g long, block long")
-    qualifying = common.saved(qualifying, "qualifying")
+    qualifying = common.saved(qualifying, "qualifying", rows=asked, each=20_000)
     asking, chunks = _asked(qualifying, sets)
-    between = common.saved(asking.groupBy(*at).cogroup(members.join(chunks, "block").groupBy(*at)).applyInArrow(across, "a long, b long"), "opened")
+    between = common.saved(asking.groupBy(*at).cogroup(members.join(chunks, "block").groupBy(*at)).applyInArrow(across, "a long, b long"), "opened", rows=asked, each=2_000)
     common.used_up(home, home_now, unions, held, asks, qualifying)
     return within.unionByName(between)
 
@@ -343,8 +346,8 @@ def _grouped(prefix: DataFrame, links: DataFrame | None) -> DataFrame:
 
 def class_links(sets: DataFrame, percent: int) -> DataFrame:
     """sets: a row for each class (c, n, tokens, prefix) -> links (a, b) that connect all classes that links reach."""
-    prefix = common.saved(sets.select("c", "n", F.explode("prefix").alias("token")), "prefix")
-    links, rows = None, prefix.count()
+    prefix = common.saved(sets.select("c", "n", F.explode("prefix").alias("token")), "prefix", 1)
+    links, rows, classes = None, prefix.count(), sets.count()
     fits = lambda n, m: F.lit(100) * F.least(n, m) >= F.lit(percent) * F.greatest(n, m)
     for step in range(3):
         now = common.saved(_grouped(prefix, links), f"grouped{step}", rows=rows)
@@ -353,13 +356,13 @@ def class_links(sets: DataFrame, percent: int) -> DataFrame:
         if step < 2:
             near = now.join(open_, "token").where((F.col("g") != F.col("lead.g")) & fits(F.col("n"), F.col("lead.n"))).groupBy("c", F.col("lead.c").alias("b")).agg(F.count("*").alias("shared"))
             pairs = near.groupBy("c").agg(F.max(F.struct("shared", "b")).alias("best")).select(F.col("c").alias("a"), F.col("best.b").alias("b"))
-            got = verified(pairs, sets, percent, rows)
+            got = verified(pairs, sets, percent, classes)
         else:
             still = common.saved(now.join(open_.select("token", F.col("lead.c").alias("lead")), "token"), "open", rows=rows)
             got = opened(still, sets, percent)
             common.used_up(still)
         common.used_up(now)
-        links = got if links is None else common.saved(links.unionByName(got), "links-so-far", rows=rows)
+        links = got if links is None else common.saved(links.unionByName(got), "links-so-far", rows=3 * classes)
     common.used_up(prefix)
     return links
 
@@ -368,7 +371,7 @@ def membership(docs: DataFrame, percent: int, size: int) -> DataFrame:
     """A row for each row of docs: doc_id, r1, r2, n, class_id and component (null where nothing links), component_id."""
     every = shared_sets(docs, percent, size)
     key = ["n", "s1", "s2"]
-    sets = common.saved(every.where("tokens is not null").dropDuplicates(key).select(*key, "tokens", "prefix").withColumn("c", F.monotonically_increasing_id()), "classes")
+    sets = common.saved(every.where("tokens is not null").dropDuplicates(key).select(*key, "tokens", "prefix").withColumn("c", F.monotonically_increasing_id()), "classes", 1)
     of = components(class_links(sets.select("c", "n", "tokens", "prefix"), percent)).select(F.col("node").alias("c"), "label")
     rows = every.select("doc_id", "r1", "r2", *key, F.col("tokens").isNotNull().alias("maybe"))
     least = rows.where("maybe").groupBy(*key).agg(F.min("doc_id").alias("id")).join(sets.select(*key, "c"), key).join(of, "c", "left").withColumn("label", F.coalesce("label", "c"))
@@ -389,13 +392,13 @@ def one_of_each(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE) ->
     Decided by row, not by id: of rows with the same id and different texts, each goes only where its own group keeps another;
     of rows that are the same in id and text, one stays.
     """
-    known = common.saved(membership(docs.select("doc_id", "text"), percent, size).where("component is not null"), "near")
+    known = common.saved(membership(docs.select("doc_id", "text"), percent, size).where("component is not null"), "near", 1)
     row = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "r1", "r2")
     first = known.groupBy("component").agg(F.min(row).alias("first"))
     names = ("_strandex_r1", "_strandex_r2")
     rows = lambda df: df.select(*(F.col(c).alias(n) for c, n in zip(("r1", "r2"), names, strict=True)))
     gone = rows(known.join(first, "component").where((F.col("r1") != F.col("first.r1")) | (F.col("r2") != F.col("first.r2")))).distinct()
-    twice = common.saved(rows(known.groupBy("r1", "r2").count().where("count > 1")), "twice")
+    twice = common.saved(rows(known.groupBy("r1", "r2").count().where("count > 1")), "twice", 1)
     left = docs.withColumns(dict(zip(names, common.row_key(), strict=True))).join(gone.hint("shuffle_hash"), [*names], "left_anti")
     if not twice.isEmpty():
         left = left.join(twice, [*names], "left_anti").unionByName(left.join(twice, [*names], "left_semi").dropDuplicates([*names]))
