@@ -135,7 +135,9 @@ def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     run = F.struct("start", (F.col("stop") - F.col("start")).alias("size"), F.struct(F.col("of").alias("doc_id"), (F.col("start") - F.col("diagonal")).alias("line")).alias("of"))
     spans = runs.groupBy(*ROW).agg(F.array_sort(F.collect_list(run)).alias("runs"))
     covered = F.flatten(F.transform("runs", lambda x: F.sequence(x.start, x.start + x["size"] - 1)))
-    return common.saved(spans.withColumn("removed", F.array_sort(F.array_distinct(covered))), "runs", rows=count, each=ROWS)
+    out = common.saved(spans.withColumn("removed", F.array_sort(F.array_distinct(covered))), "runs", rows=count, each=ROWS)
+    common.used_up(whole)
+    return out
 
 
 def line_report(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
