@@ -5,6 +5,8 @@ from __future__ import annotations
 from .op06_line_dedup import MIN_WORDS
 from .op07_secrets import KINDS
 from .op08_ngram_join import PERCENT, SHINGLE
+from .op12_sharding import OVERHEAD, SHARDS
+from .op13_prefix_trie import EVERY, HEADS
 
 #: Lines with a word, without white space at their ends, and blocks of lines that just reach the words, forward and back.
 LINE_DEDUP = rf"""with kept as (select doc_id, [y for y in [trim(x, ' ' || chr(9) || chr(11) || chr(12) || chr(13)) for x in string_split(coalesce(text, ''), chr(10))] if y <> ''] as ls from documents),
@@ -55,4 +57,35 @@ reach as (select c, c as r from classes union select reach.c, e.b from reach joi
 named as (select c, min(r) as component_id from reach group by c)
 select doc_id, len(s)::bigint as n_shingles, coalesce(component_id, doc_id) as component_id from sets left join classes using (s) left join named using (c)"""
 
-SQL = {"op6_line_dedup": LINE_DEDUP, "op7_secrets": SECRETS, "op8_ngram_join": NGRAM_JOIN}
+#: CRC-32 of a text, by bytes: eight steps of the reversed polynomial for each entry of the table.
+_STEP = lambda x: f"(case when ({x}) & 1 = 1 then xor(({x}) >> 1, 3988292384) else ({x}) >> 1 end)"
+_ENTRIES = "[list_reduce(range(8), lambda a, k: " + _STEP("a") + ", b) for b in range(256::bigint)]"
+CRC = f"""entries as materialized (select {_ENTRIES} as e),
+bytes as (select text, list_transform(range(1, octet_length(encode(text)) + 1), lambda i: ('0x' || substr(hex(encode(text)), 2 * i - 1, 2))::bigint) as bs from (select distinct text from docs)),
+crcs as (select text, xor(list_reduce(bs, lambda h, b: xor(h >> 8, e[xor(h & 255, b) + 1]), 4294967295::bigint), 4294967295) as text_crc32 from bytes, entries)"""
+#: Groups one by one, the largest first, each to the least loaded shard with the lowest number.
+SHARDING = f"""with recursive docs as (select doc_id, coalesce(text, '') as text from documents),
+{CRC},
+parts as (select text, sum(octet_length(encode(text)) + {OVERHEAD})::bigint as bytes, row_number() over (order by sum(octet_length(encode(text)) + {OVERHEAD}) desc, min(doc_id) nulls first) as k from docs group by text),
+dealt as (select 0::bigint as k, [0::bigint for i in range({SHARDS})] as loads, 0 as shard
+ union all select parts.k, list_transform(loads, lambda x, i: case when i = list_position(loads, list_min(loads)) then x + bytes else x end), list_position(loads, list_min(loads)) - 1 from dealt join parts on parts.k = dealt.k + 1)
+select doc_id, (octet_length(encode(text)) + {OVERHEAD})::bigint as size, text_crc32, 'bytes' as law, shard::int as shard, row_number() over (partition by shard order by doc_id nulls first) - 1 as slot, null::int as grown_shard
+ from docs join parts using (text) join crcs using (text) join dealt using (k)"""
+
+_WORDS = "[w for w in regexp_split_to_array({0}, '[\\x20\\x09-\\x0D]+') if w <> '']"
+_CRC_ID = f"xor(list_reduce(list_transform(range(1, len(conv_id::varchar) + 1), lambda i: ascii(substr(conv_id::varchar, i, 1))::bigint), lambda h, b: xor(h >> 8, e[xor(h & 255, b) + 1]), 4294967295::bigint), 4294967295)"
+#: Every beginning of every conversation; sums over subtrees by the beginnings of a node's beginning.
+PREFIX_TRIE = f"""with entries as materialized (select {_ENTRIES} as e),
+whole as (select conv_id, list(struct_pack(role := coalesce(role, ''), text := coalesce(text, '')) order by turn nulls first, coalesce(role, ''), coalesce(text, '')) as ts from conversations where conv_id is not null group by conv_id),
+heads as (select conv_id, ({_CRC_ID} % {HEADS})::int as h, conv_id - conv_id % {EVERY} as base from whole, entries),
+rebuilt as (select w.conv_id, list_concat(coalesce(b.ts, [])[1:h], w.ts[h + 1:]) as s from whole w join heads using (conv_id) left join whole b on b.conv_id = base),
+begun as (select conv_id, d, s[1:d] as p, len(s) = d as whole from (select conv_id, s, unnest(range(len(s) + 1)) as d from rebuilt)),
+node as (select p, d, min(conv_id) as conv_id, count(*) as n_convs, coalesce(string_agg(conv_id::varchar, ',' order by conv_id) filter (where whole), '') as ends,
+ case when d = 0 then 0 else (count(*) - 1) * len({_WORDS.format("p[d].text")}) end as own from begun group by p, d),
+kids as (select p[1:d - 1] as p, count(*) as n_children from node where d > 0 group by p[1:d - 1]),
+known as (select node.*, coalesce(n_children, 0) as n_children from node left join kids using (p)),
+sums as (select a as p, sum(own) as saved_tokens, count(*) filter (where n_children = 0) as n_leaves from (select own, n_children, unnest([p[1:k] for k in range(d + 1)]) as a from known) group by a)
+select k.conv_id, k.d::bigint as depth, u.conv_id as parent_conv_id, k.n_convs, k.n_children, n_leaves, saved_tokens::bigint as saved_tokens, sha256(k.ends) as ends_sha256
+ from known k join sums using (p) left join known u on k.d > 0 and u.p = k.p[1:k.d - 1]"""
+
+SQL = {"op6_line_dedup": LINE_DEDUP, "op7_secrets": SECRETS, "op8_ngram_join": NGRAM_JOIN, "op12_sharding": SHARDING, "op13_prefix_trie": PREFIX_TRIE}

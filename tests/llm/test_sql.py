@@ -19,7 +19,8 @@ def rows(columns, values):
 @pytest.mark.parametrize("name", sorted(queries.SQL))
 def test_against_sql(spark, name):
     duck = duckdb.connect()
-    duck.execute(f"create view documents as select * from '{FOLDER}/documents.parquet'")
+    for table in ("documents", "conversations"):
+        duck.execute(f"create view {table} as select * from '{FOLDER}/{table}.parquet'")
     df = queries.QUERIES[name](spark, FOLDER)
     r = duck.execute(queries.SQL[name])
     names = [x[0] for x in r.description]
