@@ -19,6 +19,7 @@ table gives no rows; extra columns are ignored. A segment without a space in it,
 from __future__ import annotations
 
 import hashlib
+import itertools
 import os
 import re
 
@@ -30,7 +31,11 @@ from pyspark.sql import functions as F
 from . import common
 
 #: Bytes of text of a block, and of segments that are tokenised at a time.
-BLOCK, SLICE = 8 << 20, 1 << 20
+BLOCK, SLICE = 32 << 20, 1 << 20
+#: Segments in documents that are composed at a time.
+CHUNK = 1 << 18
+#: Segments of these characters only take the quick path, where both libraries agree on every class of characters.
+_PLAIN = re.compile("[^\t\n\r\x20-\x7e\xa1-ɏ]")
 _LOADED: dict = {}
 
 
@@ -48,17 +53,37 @@ class Vocabularies:
         self.b = sentencepiece.SentencePieceProcessor(model_file=path_b)
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
         held = dict(zip((chr(c) for c in plain), plain, strict=True)) | {chr(256 + i): c for i, c in enumerate(c for c in range(256) if c not in plain)}
-        self.bytes_a = {i: bytes(held[c] for c in t) if all(c in held for c in t) else t.encode() for t, i in self.a.get_vocab().items()}
+        by_id = {i: bytes(held[c] for c in t) if all(c in held for c in t) else t.encode() for t, i in self.a.get_vocab().items()}
+        self.bytes_a = [by_id.get(i, b"") for i in range(max(by_id) + 1)]
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.bytes_b = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
+        self.sizes = [np.array([len(x) for x in v], np.int64) for v in (self.bytes_a, self.bytes_b)]
         self.space = self.b.piece_to_id("▁")
-        self.split = not any(re.search(r"\S ", x.decode(errors="replace")) for x in (*self.bytes_a.values(), *self.bytes_b))
+        self.split = not any(re.search(r"\S ", x.decode(errors="replace")) for x in (*self.bytes_a, *self.bytes_b))
+        #: Of an id in a table.
+        self.dtype = "<u2" if max(len(self.bytes_a), len(self.bytes_b)) <= 1 << 16 else "<u4"
+        ranks, self.quick = path_a.removesuffix(".json") + ".tiktoken", None
+        if os.path.exists(ranks):
+            import base64
+
+            import public_tokenizers
+            import tiktoken
+
+            with open(ranks, "rb") as f:
+                self.quick = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks={base64.b64decode(x): int(y) for x, y in map(bytes.split, f)}, special_tokens={})
 
     def __reduce__(self):
         return Vocabularies, self.paths
 
     def encoded(self, segments: list[str]) -> tuple[list[list[int]], list[list[int]]]:
-        a = [e.ids for e in self.a.encode_batch([" " + s for s in segments], add_special_tokens=False)]
+        whole = [" " + s for s in segments]
+        if self.quick is None:
+            a = [e.ids for e in self.a.encode_batch(whole, add_special_tokens=False)]
+        else:
+            a = [None if _PLAIN.search(s) else self.quick.encode_ordinary(s) for s in whole]
+            rest = [i for i, x in enumerate(a) if x is None]
+            for i, e in zip(rest, self.a.encode_batch([whole[i] for i in rest], add_special_tokens=False), strict=True):
+                a[i] = e.ids
         b = self.b.encode(segments, num_threads=1)
         return a, [x if s else [self.space] for x, s in zip(b, segments, strict=True)]
 
@@ -89,25 +114,84 @@ def vocabularies() -> tuple[str, str]:
     return str(public_tokenizers.path("byte_bpe_50k.json")), str(public_tokenizers.path("piece_bpe_32k.model"))
 
 
-def aligned(a: list[int], b: list[int], size_a: list[int], size_b: list[int]) -> tuple[str, list[int], int]:
-    """Groups as text, the linked pairs (a << 32 | b) with repeats, and the number of groups, of two tokenisations of the same bytes."""
-    groups, links, i, j, end_a, end_b, n = [], [], 0, 0, 0, 0, 0
-    while i < len(a):
-        from_a, from_b = i, j
-        end_a += size_a[i]
-        end_b += size_b[j]
-        links.append(a[i] << 32 | b[j])
-        while end_a != end_b:
-            if end_a < end_b:
-                i += 1
-                end_a += size_a[i]
-            else:
-                j += 1
-                end_b += size_b[j]
-            links.append(a[i] << 32 | b[j])
-        i, j, n = i + 1, j + 1, n + 1
-        groups.append(",".join(map(str, a[from_a:i])) + "|" + ",".join(map(str, b[from_b:j])))
-    return ";".join(groups), links, n
+#: A link's flags: the first tokenizer's token ends here, the second's does.
+ENDS_A, ENDS_B = 1, 2
+
+
+def aligned(a: np.ndarray, b: np.ndarray, size_a: np.ndarray, size_b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(place in a, place in b, flags) of each link, in order, of two tokenisations of the same bytes.
+
+    Two tokens overlap in one stretch without an end of either inside: so there is a link for each end of either.
+    """
+    ends_a, ends_b = np.cumsum(size_a[a]), np.cumsum(size_b[b])
+    cuts = np.union1d(ends_a, ends_b)
+    of_a, of_b = np.searchsorted(ends_a, cuts), np.searchsorted(ends_b, cuts)
+    return of_a, of_b, ENDS_A * (ends_a[of_a] == cuts) + ENDS_B * (ends_b[of_b] == cuts)
+
+
+def _flat(rows: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    n = np.fromiter(map(len, rows), np.int64, len(rows))
+    return np.fromiter(itertools.chain.from_iterable(rows), np.int64, int(n.sum())), n
+
+
+def _within(n: np.ndarray) -> np.ndarray:
+    """0, 1, … within each of so many."""
+    return np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+
+
+def encoded(a, n_a, b, n_b, flags, n_links, dtype: str) -> pa.Array:
+    """A binary value for each segment: ids of a, ids of b, flags of links."""
+    sizes = n_a + n_b + n_links
+    at = np.cumsum(sizes) - sizes
+    out = np.zeros(int(sizes.sum()), dtype)
+    for values, n, begin in ((a, n_a, at), (b, n_b, at + n_a), (flags, n_links, at + n_a + n_b)):
+        out[np.repeat(begin, n) + _within(n)] = values
+    width = np.dtype(dtype).itemsize
+    offsets = np.concatenate([[0], np.cumsum(sizes * width)]).astype(np.int64)
+    return pa.Array.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(offsets), pa.py_buffer(out)]).cast(pa.binary())
+
+
+class Alignment:
+    """What `encoded` holds, of many segments: a, b, flags flat; n_a, n_b, n_links by segment; pair and seg of each link."""
+
+    def __init__(self, data: list[bytes], n_a: np.ndarray, n_b: np.ndarray, dtype: str):
+        flat = np.frombuffer(b"".join(data), dtype).astype(np.int64)
+        sizes = np.fromiter(map(len, data), np.int64, len(data)) // np.dtype(dtype).itemsize
+        self.n_a, self.n_b, self.n_links = n_a, n_b, sizes - n_a - n_b
+        at = np.cumsum(sizes) - sizes
+        take = lambda begin, n: flat[np.repeat(begin, n) + _within(n)]
+        self.a, self.b, self.flags = take(at, n_a), take(at + n_a, n_b), take(at + n_a + n_b, self.n_links)
+        ends = [(self.flags & f) > 0 for f in (ENDS_A, ENDS_B)]
+        self.of_a, self.of_b = (np.cumsum(e) - e for e in ends)  # every segment ends both
+        self.pair = self.a[self.of_a] << 32 | self.b[self.of_b] if len(flat) else np.zeros(0, np.int64)
+        self.seg = np.repeat(np.arange(len(data)), self.n_links)
+        self.closed = ends[0] & ends[1]
+        self.n_groups = np.bincount(self.seg[self.closed], minlength=len(data))
+
+    def groups(self) -> list[str]:
+        """Each segment's groups as text."""
+        out: list[str] = []
+        a, b = self.of_a[self.closed] + 1, self.of_b[self.closed] + 1
+        ends, i, j, g = np.cumsum(self.n_groups), 0, 0, 0
+        for at in range(0, len(ends), CHUNK // 16):
+            to = ends[at : at + CHUNK // 16]
+            k, m = (a[g : to[-1]] - i).tolist(), (b[g : to[-1]] - j).tolist()
+            ids = [list(map(str, x.tolist())) for x in (self.a[i : i + k[-1]], self.b[j : j + m[-1]])] if k else []
+            text = [",".join(ids[0][x:y]) + "|" + ",".join(ids[1][u:v]) for x, y, u, v in zip([0, *k], k, [0, *m], m, strict=False)]
+            stops = (to - g).tolist()
+            out += [";".join(text[x:y]) for x, y in zip([0, *stops], stops, strict=False)]
+            if k:
+                i, j, g = i + k[-1], j + m[-1], int(to[-1])
+        return out
+
+
+def by_planes(x: np.ndarray) -> bytes:
+    """Numbers under 2**32 as their lowest bytes, then the next ones: high bytes are mostly zeros, which compress to nothing together."""
+    return x.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
+def from_planes(x: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(x, np.uint8).reshape(4, -1).T).view("<u4").ravel()
 
 
 _CODED = "block long, doc_id long, doc long, codes binary, no long, segment string"
@@ -121,11 +205,11 @@ def coded(docs: DataFrame, split: bool, block: int = BLOCK) -> DataFrame:
         seen = 0
         for b in common.sliced((b for b in batches if b.num_rows), block):
             known: dict[str, int] = {}
-            codes = [np.array([known.setdefault(s, len(known)) for s in segments(t, split)] if t else [], "<u4").tobytes() for t in common.texts(b)]
+            codes = [np.array([known.setdefault(s, len(known)) for s in segments(t, split)] if t else [], "<u4") for t in common.texts(b)]
             at = (b.column(2)[0].as_py() << 24) + seen
             seen += 1
             n = b.num_rows
-            yield pa.RecordBatch.from_arrays([pa.array([at] * n, pa.int64()), b.column(0), pa.array(range(n), pa.int64()), pa.array(codes, pa.binary()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.string())], names=_names(_CODED))
+            yield pa.RecordBatch.from_arrays([pa.array([at] * n, pa.int64()), b.column(0), pa.array(range(n), pa.int64()), pa.array(map(by_planes, codes), pa.binary()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.string())], names=_names(_CODED))
             whole = list(known)
             for i, j in common.slices([len(s) for s in whole], block):
                 k = j - i
@@ -138,96 +222,112 @@ def _names(schema: str) -> list[str]:
     return [x.split()[0] for x in schema.split(", ")]
 
 
-_ALIGNED = "segment string, sid long, ok boolean, n_a long, n_b long, n_groups long, n_links long, groups string, pairs array<long>, times array<long>"
+#: Segments whose tokens don't give back their bytes have none.
+_ALIGNED = "segment string, sid long, n_a int, n_b int, data binary"
 
 
 def alignments(segments: DataFrame, paths: tuple[str, str]) -> DataFrame:
-    """(segment, sid) of distinct segments -> _ALIGNED; pairs are distinct, times says how often each is linked."""
+    """(segment, sid) of distinct segments -> _ALIGNED."""
 
     def run(batches):
         voc = loaded(paths)
-        for b in common.sliced(batches, SLICE, "segment"):
+        for b in common.sliced((b for b in batches if b.num_rows), SLICE, "segment"):
             texts = b.column(0).to_pylist()
-            rows = []
-            for s, a, c in zip(texts, *voc.encoded(texts), strict=True):
-                x, y, whole = [voc.bytes_a[i] for i in a], [voc.bytes_b[i] for i in c], (" " + s).encode()
-                if b"".join(x) != whole or b"".join(y) != whole:
-                    rows.append((False, 0, 0, 0, 0, "", [], []))
-                    continue
-                groups, links, n = aligned(a, c, list(map(len, x)), list(map(len, y)))
-                held: dict[int, int] = {}
-                for link in links:
-                    held[link] = held.get(link, 0) + 1
-                rows.append((True, len(a), len(c), n, len(links), groups, list(held), list(held.values())))
-            columns = zip(*rows, strict=True)
-            types = [pa.bool_(), *[pa.int64()] * 4, pa.string(), *[pa.list_(pa.int64())] * 2]
-            if rows:
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(c, t) for c, t in zip(columns, types, strict=True))], names=_names(_ALIGNED))
+            (x, n_x), (y, n_y) = map(_flat, voc.encoded(texts))
+            ok = same(voc, texts, x, n_x, y, n_y)
+            x, y, n_x, n_y = x[np.repeat(ok, n_x)], y[np.repeat(ok, n_y)], n_x * ok, n_y * ok
+            of_x, _, flags = aligned(x, y, *voc.sizes)
+            n_links = np.bincount(np.repeat(np.arange(len(texts)), n_x)[of_x], minlength=len(texts))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n_x, pa.int32()), pa.array(n_y, pa.int32()), encoded(x, n_x, y, n_y, flags, n_links, voc.dtype)], names=_names(_ALIGNED))
 
     return segments.select("segment", "sid").mapInArrow(run, _ALIGNED)
 
 
-_COMPOSED = "block long, doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, sids binary, times binary, pair long, n long, sid long"
+def same(voc: Vocabularies, texts: list[str], x, n_x, y, n_y) -> np.ndarray:
+    """Whether each segment's tokens give back its bytes, by both tokenizers."""
+    whole = [(" " + t).encode() for t in texts]
+    ok = np.ones(len(texts), bool)
+    for held, ids, n in ((voc.bytes_a, x.tolist(), n_x), (voc.bytes_b, y.tolist(), n_y)):
+        sizes = np.array([len(held[i]) for i in ids], np.int64)
+        sums = np.diff(np.concatenate([[0], np.cumsum(sizes)])[np.concatenate([[0], np.cumsum(n)])])
+        if (sums == list(map(len, whole))).all() and b"".join([held[i] for i in ids]) == b"".join(whole):
+            continue
+        ends = np.cumsum(n).tolist()
+        ok &= np.array([b"".join([held[i] for i in ids[i:j]]) == t for i, j, t in zip([0, *ends], ends, whole, strict=False)], bool)
+    return ok
 
 
-def composed(docs: DataFrame, held: DataFrame) -> DataFrame:
-    """docs (block, doc_id, doc, codes), held (at: the block, no, <alignment>) -> the documents, their distinct segments, the block's pairs and segments."""
+_COMPOSED = "block long, doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, nos binary, times binary, pair long, n long, no long, sid long"
+
+
+def composed(docs: DataFrame, held: DataFrame, dtype: str) -> DataFrame:
+    """docs (block, doc_id, doc, codes), held (at: the block, no, <alignment>) -> the documents with their distinct segments, the block's pairs, and its segments."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         block = left["block"][0].as_py()
-        order = np.argsort(right["no"].to_numpy())
-        column = lambda c: right[c].to_numpy()[order]
-        codes = [np.frombuffer(c, "<u4") for c in left["codes"].to_pylist()]
-        n = np.array([len(c) for c in codes], np.int64)
-        doc, code = np.repeat(np.arange(len(codes)), n), np.concatenate([*codes, np.zeros(0, "<u4")]).astype(np.int64)
-        good = np.ones(len(codes), bool)
-        good[n == 0] = False
-        good[doc[~column("ok")[code]]] = False
-        sums = {c: np.where(good, np.bincount(doc, column(c)[code], len(codes)), 0).astype(np.int64) for c in ("n_a", "n_b", "n_groups", "n_links")}
-        groups = right["groups"].take(pa.array(order)).to_pylist()
-        sha = [hashlib.sha256(";".join([groups[k] for k in c.tolist()]).encode()).hexdigest() if ok else "" for c, ok in zip(codes, good.tolist(), strict=True)]
-        # (document, segment), then (document, pair), each once
-        keep = good[doc]
-        size = max(len(order), 1)
-        each, times = np.unique(doc[keep] * size + code[keep], return_counts=True)
-        of, seg = each // size, each % size
-        sid = column("sid")
-        cut = np.searchsorted(of, np.arange(len(codes) + 1))
-        mine = right["pairs"].combine_chunks() if len(right) else pa.array([], pa.list_(pa.int64()))
-        lengths = np.array(mine.value_lengths())[order] if len(right) else np.zeros(0, np.int64)
-        flat = mine.take(pa.array(order)).flatten().to_numpy() if len(right) else np.zeros(0, np.int64)
-        pair, local = np.unique(flat, return_inverse=True)
-        begin = np.cumsum(lengths) - lengths
-        span = lengths[seg]
-        at = np.repeat(begin[seg] - (np.cumsum(span) - span), span) + np.arange(span.sum())
-        once = np.unique(np.repeat(of, span) * max(len(pair), 1) + local[at])
-        held_by = np.bincount(once % max(len(pair), 1), minlength=len(pair))
-        seen, used = np.nonzero(held_by)[0], np.unique(seg)
-        k, p, q = len(codes), len(seen), len(used)
-        none = lambda m, t=None: pa.nulls(m, t or pa.int64())
-        parts = [
-            [left["doc_id"].combine_chunks(), *(pa.array(sums[c]) for c in ("n_a", "n_b", "n_groups", "n_links")), pa.array(sha), pa.array([sid[seg[i:j]].astype("<i8").tobytes() for i, j in zip(cut, cut[1:], strict=False)], pa.binary()), pa.array([times[i:j].astype("<u4").tobytes() for i, j in zip(cut, cut[1:], strict=False)], pa.binary()), none(k), none(k), none(k)],
-            [*(none(p) for _ in range(5)), none(p, pa.string()), none(p, pa.binary()), none(p, pa.binary()), pa.array(pair[seen]), pa.array(held_by[seen]), none(p)],
-            [*(none(q) for _ in range(5)), none(q, pa.string()), none(q, pa.binary()), none(q, pa.binary()), none(q), none(q), pa.array(sid[used])],
-        ]
+        right = right.take(pa.array(np.argsort(right["no"].to_numpy())))
+        column = lambda c: right[c].to_numpy().astype(np.int64)
+        n_a, n_b, count, pairs, groups = column("n_a"), column("n_b"), [], [], []
+        for i in range(0, len(right), CHUNK // 4):
+            some = slice(i, i + CHUNK // 4)
+            al = Alignment(right["data"].slice(i, CHUNK // 4).to_pylist(), n_a[some], n_b[some], dtype)
+            count.append((al.n_groups, al.n_links))
+            pairs.append(al.pair)
+            groups += al.groups()
+        n_groups, n_links = (np.concatenate([*x, np.zeros(0, np.int64)]) for x in (zip(*count, strict=True) if count else ((), ())))
+        pair, local = np.unique(np.concatenate([*pairs, np.zeros(0, np.int64)]), return_inverse=True)
+        local, ok, begin = local.astype(np.int32), n_a > 0, np.cumsum(n_links) - n_links
+        right, pairs = right.select(["sid"]), None
+        held_by, used = np.zeros(len(pair), np.int64), np.zeros(len(right), bool)
+        parts = []
+        for i, j in common.slices([len(c) for c in left["codes"].to_pylist()], CHUNK):
+            some = left.slice(i, j - i)
+            codes = list(map(from_planes, some["codes"].to_pylist()))
+            n, count = np.array([len(c) for c in codes], np.int64), len(codes)
+            doc, code = np.repeat(np.arange(count), n), np.concatenate(codes).astype(np.int64)
+            good = n > 0
+            good[doc[~ok[code]]] = False
+            sums = [np.where(good, np.bincount(doc, c[code], count), 0).astype(np.int64) for c in (n_a, n_b, n_groups, n_links)]
+            sha = [hashlib.sha256(";".join([groups[k] for k in c.tolist()]).encode()).hexdigest() if g else "" for c, g in zip(codes, good.tolist(), strict=True)]
+            # (document, segment), then (document, pair), each once
+            keep, size = good[doc], max(len(right), 1)
+            each, times = np.unique(doc[keep] * size + code[keep], return_counts=True)
+            of, seg = each // size, each % size
+            cut, span = np.searchsorted(of, np.arange(count + 1)), n_links[seg]
+            once = np.unique(np.repeat(of, span) * max(len(pair), 1) + local[np.repeat(begin[seg], span) + _within(span)])
+            held_by += np.bincount(once % max(len(pair), 1), minlength=len(pair))
+            used[seg] = True
+            binary = lambda values, cut=cut: pa.array([by_planes(np.diff(values[x:y], prepend=0)) for x, y in zip(cut, cut[1:], strict=False)], pa.binary())
+            parts.append({"doc_id": some["doc_id"].combine_chunks(), **dict(zip(("n_a", "n_b", "n_groups", "n_links"), map(pa.array, sums), strict=True)), "groups_sha256": pa.array(sha, pa.string()), "nos": binary(seg), "times": binary(times)})
+        seen, used = np.nonzero(held_by)[0], np.nonzero(used)[0]
+        parts += [{"pair": pa.array(pair[seen]), "n": pa.array(held_by[seen])}, {"no": pa.array(used), "sid": right["sid"].take(pa.array(used)).combine_chunks()}]
         common.trim()
-        return pa.concat_tables(pa.Table.from_arrays([pa.array([block] * len(c[0]), pa.int64()), *c], names=_names(_COMPOSED)) for c in parts)
+        return pa.concat_tables([_filled(block, c, _COMPOSED) for c in parts])
 
     return docs.groupBy("block").cogroup(held.groupBy("at")).applyInArrow(run, _COMPOSED)
 
 
+_ARROW = {"long": pa.int64(), "string": pa.string(), "binary": pa.binary()}
+
+
+def _filled(block: int, columns: dict[str, pa.Array], schema: str) -> pa.Table:
+    n = len(next(iter(columns.values())))
+    columns = {"block": pa.array([block] * n, pa.int64())} | columns
+    return pa.Table.from_arrays([columns[c] if c in columns else pa.nulls(n, _ARROW[t]) for c, t in (x.split() for x in schema.split(", "))], names=_names(schema))
+
+
 def scored(docs: DataFrame, sums: DataFrame) -> DataFrame:
-    """docs (block, <composed>), sums (at: the block, sid, n_best, count_sum) -> _OUT."""
+    """docs (block, <composed>), sums (at: the block, no, n_best, count_sum) -> _OUT."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        order = np.argsort(right["sid"].to_numpy())
-        sid, best, total = (right[c].to_numpy()[order] for c in ("sid", "n_best", "count_sum"))
-        n_best, count_sum = [], []
-        for s, t in zip(left["sids"].to_pylist(), left["times"].to_pylist(), strict=True):
-            at, times = np.searchsorted(sid, np.frombuffer(s, "<i8")), np.frombuffer(t, "<u4").astype(np.int64)
-            n_best.append(int((best[at] * times).sum()))
-            count_sum.append(int((total[at] * times).sum()))
-        columns = {"n_best": pa.array(n_best, pa.int64()), "count_sum": pa.array(count_sum, pa.int64())}
+        at = right["no"].to_numpy()
+        by_no = np.zeros((2, int(at.max()) + 1 if len(at) else 1), np.int64)
+        by_no[:, at] = right["n_best"].to_numpy(), right["count_sum"].to_numpy()
+        found = np.zeros((2, len(left)), np.int64)
+        for i, (nos, times) in enumerate(zip(left["nos"].to_pylist(), left["times"].to_pylist(), strict=True)):
+            back = [np.cumsum(from_planes(x).view("<i4"), dtype=np.int64) for x in (nos, times)]
+            found[:, i] = by_no[:, back[0]] @ back[1]
+        columns = dict(zip(("n_best", "count_sum"), map(pa.array, found), strict=True))
         return pa.Table.from_arrays([columns[c] if c in columns else left[c].combine_chunks() for c in _names(_OUT)], names=_names(_OUT))
 
     return docs.groupBy("block").cogroup(sums.groupBy("at")).applyInArrow(run, _OUT)
@@ -240,33 +340,48 @@ def pair_counts(pairs: DataFrame) -> DataFrame:
     return common.saved(counts.join(most, F.shiftright("pair", 32) == F.col("a")).select("pair", "count", (F.col("count") == F.col("most")).alias("best")), "counts")
 
 
-def segment_sums(alignment: DataFrame, counts: DataFrame) -> DataFrame:
-    """(sid, n_best, count_sum) of each segment. A pair that is in more than a thousandth of all links, of which there are fewer than 1000, goes to all executors."""
-    links = alignment.where("ok").select("sid", F.explode(F.arrays_zip("pairs", "times")).alias("x")).select("sid", F.col("x.pairs").alias("pair"), F.col("x.times").alias("times"))
-    of = links.groupBy("pair").agg(F.count("*").alias("uses"))
-    counts = common.saved(counts.join(of, "pair"), "uses")
+def links(alignment: DataFrame, dtype: str) -> DataFrame:
+    """(sid, pair, times) of the distinct links of each segment."""
+
+    def run(batches):
+        for b in common.sliced((b for b in batches if b.num_rows), SLICE, "data"):
+            sid, n_a, n_b = (b.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("sid", "n_a", "n_b"))
+            al = Alignment(b.column("data").to_pylist(), n_a, n_b, dtype)
+            pair, local = np.unique(al.pair, return_inverse=True)
+            each, times = np.unique(al.seg * max(len(pair), 1) + local, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(sid[each // max(len(pair), 1)]), pa.array(pair[each % max(len(pair), 1)]), pa.array(times)], names=["sid", "pair", "times"])
+
+    return alignment.where("n_a > 0").select("sid", "n_a", "n_b", "data").mapInArrow(run, "sid long, pair long, times long")
+
+
+def segment_sums(alignment: DataFrame, counts: DataFrame, dtype: str) -> DataFrame:
+    """(sid, n_best, count_sum) of each segment. A pair that is in more than a thousandth of all segments' links, of which there are fewer than 1000, goes to all executors."""
+    rows = common.saved(links(alignment, dtype), "links")
+    counts = common.saved(counts.join(rows.groupBy("pair").agg(F.count("*").alias("uses")), "pair"), "uses")
     n = counts.agg(F.sum("uses")).first()[0] or 0
     hot = counts.where(F.col("uses") * 1000 > n).drop("uses")
-    first = links.join(F.broadcast(hot), "pair", "left")
-    rows = first.where("count is not null").unionByName(first.where("count is null").drop("count", "best").join(counts.drop("uses"), "pair"))
-    return rows.groupBy("sid").agg(F.sum(F.col("times") * F.col("best").cast("long")).alias("n_best"), F.sum(F.col("times") * F.col("count")).alias("count_sum"))
+    first = rows.join(F.broadcast(hot), "pair", "left")
+    met = first.where("count is not null").unionByName(first.where("count is null").drop("count", "best").join(counts.drop("uses"), "pair"))
+    return met.select("sid", "times", "best", "count").groupBy("sid").agg(F.sum(F.col("times") * F.col("best").cast("long")).alias("n_best"), F.sum(F.col("times") * F.col("count")).alias("count_sum"))
 
 
 def alignment(docs: DataFrame, paths: tuple[str, str] | None = None, block: int = BLOCK) -> DataFrame:
     """docs (doc_id, text) -> _OUT, a row for each row."""
     paths = paths or vocabularies()
-    parts = common.saved(coded(docs, loaded(paths).split, block), "coded", common.SCAN)
+    voc = loaded(paths)
+    parts = common.saved(coded(docs, voc.split, block), "coded", common.SCAN)
     pieces = parts.where("segment is not null").select(F.col("block").alias("at"), "no", "segment")
     distinct = pieces.select("segment").distinct().withColumn("sid", F.monotonically_increasing_id())
     table = common.saved(alignments(distinct, paths), "alignments")
     whole = parts.where("doc is not null").select("block", "doc_id", "doc", "codes")
-    done = common.saved(composed(whole, pieces.join(table, "segment").drop("segment", "n")), "composed")
-    common.used_up(parts)
+    held = common.saved(pieces.join(table, "segment").drop("segment"), "held")
+    done = common.saved(composed(whole, held, voc.dtype), "composed")
+    common.used_up(parts, held)
     counts = pair_counts(done.where("pair is not null").select("pair", "n"))
-    sums = common.saved(segment_sums(table, counts), "sums")
+    sums = common.saved(segment_sums(table, counts, voc.dtype), "sums")
     common.used_up(table)
-    held = done.where("sid is not null").select(F.col("block").alias("at"), "sid").join(sums, "sid")
-    return scored(done.where("groups_sha256 is not null").select("block", "doc_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256", "sids", "times"), held)
+    sums = done.where("sid is not null").select(F.col("block").alias("at"), "no", "sid").join(sums, "sid").drop("sid")
+    return scored(done.where("groups_sha256 is not null").select("block", "doc_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256", "nos", "times"), sums)
 
 
 def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
