@@ -92,6 +92,26 @@ def candidates(index: Index, queries: DataFrame, o: Options) -> DataFrame:
     return boosted.unionByName(alone.select("qid", "id", F.lit("semantic").alias("kind"), F.col("sim").alias("score_micros"), zero.alias("graph_micros"), none.alias("graph_via"), zero.alias("bm25_micros"), empty.alias("matched_terms"), "sim"))
 
 
+def card_cost() -> Column:
+    """What a hit takes of a budget."""
+    return tx.card_cost(F.col("title"), F.col("rationale"), F.col("id"))
+
+
+def diverse(hits: DataFrame, index: Index, o: Options) -> DataFrame:
+    """The first k hits by maximal marginal relevance; with a budget, so many that packing finds all it would among all hits."""
+    terms, k = materialised(terms_of(hits, index.postings), "terms"), o.k
+    if o.budget is None:
+        return rank.diversified(hits, terms, k)
+    every = hits.groupBy("qid").agg(F.count("*").alias("n"), F.min(card_cost()).alias("least"))
+    while True:
+        first = materialised(rank.diversified(hits, terms, k), "diverse")
+        full = rank.packed(first, o.k, o.budget, card_cost()).groupBy("qid").agg(F.count("*").alias("kept"), F.sum(card_cost()).alias("spent"))
+        seen = first.groupBy("qid").agg(F.count("*").alias("seen"))
+        if every.join(full, "qid").join(seen, "qid").where((F.col("kept") < o.k) & (F.col("seen") < F.col("n")) & (F.col("spent") + F.col("least") <= o.budget)).isEmpty():
+            return first
+        k *= 4
+
+
 def recall(index: Index, queries: DataFrame, options: Options | None = None) -> DataFrame:
     """queries (qid, text) -> hits (HIT), by qid and rank. why holds score_micros, matched_terms, ignored_terms and rerank."""
     o = options or Options()
@@ -100,9 +120,8 @@ def recall(index: Index, queries: DataFrame, options: Options | None = None) ->
         hits = rank.with_decay(hits, o.now, o.half_life, o.decay_weight)
     hits = rank.ranked(hits)
     if o.diverse:
-        hits = materialised(hits, "ranked")
-        hits = rank.diversified(hits, terms_of(hits, index.postings))
-    hits = materialised(rank.packed(hits, o.k, o.budget, tx.card_cost(F.col("title"), F.col("rationale"), F.col("id"))), "packed")
+        hits = diverse(materialised(hits, "ranked"), index, o)
+    hits = materialised(rank.packed(hits, o.k, o.budget, card_cost()), "packed")
     ignored = bm25.ignored_terms(index, queries).groupBy("qid").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "term", "reason"))), lambda x: F.struct(x.term.alias("term"), x.reason.alias("reason"))).alias("ignored"))
     hits = hits.join(bm25.small(ignored), "qid", "left")
     rerank = F.lit(None)

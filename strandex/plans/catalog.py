@@ -212,13 +212,22 @@ def jaccard_pairs(spark, sf_dir):
     return top.join(other, "qid").where("rank < r2").select("qid", "id", "other", fx.jaccard_micros(F.col("terms"), F.col("t2")).alias("jaccard_micros"))
 
 
-@query()
+#: Hits of a question that mmr_order orders.
+DIVERSE = 100
+_MMR = f"""sets as materialized (select qid, id, rank, score_micros * 1000000 // max(score_micros) over (partition by qid) as rel, ts from (select *, row_number() over (partition by qid order by score_micros desc, id) as rank from scored)
+ join (select id, list(hash(term)) as ts from post where id in (select id from scored) group by id) using (id)),
+ picks as (select qid, 0 as n, id, rank, rel, ts, 0::bigint as near, row_number() over (partition by qid order by rank) = 1 as best from sets
+ union all select qid, n, id, rank, rel, ts, near, row_number() over (partition by qid order by case when rel >= near then (rel - near) // 2 else -((near - rel) // 2) end desc, rank) = 1 as best from
+ (select qid, n + 1 as n, id, rank, rel, ts, greatest(near, len(list_intersect(ts, of)) * 1000000 // (len(ts) + len(of) - len(list_intersect(ts, of)))) as near from
+ (select *, first_value(ts) over (partition by qid order by best desc) as of from picks) where not best and n < {DIVERSE - 1}))"""
+
+
+@query(q.query("select qid, id, n + 1 as rank from picks where best", *q.BM25, _MMR).replace("with ", "with recursive ", 1))
 def mmr_order(spark, sf_dir):
-    """All hits of a question. Sequential and greedy: no SQL; held against brute force by the tests."""
+    """The first hits of a question by maximal marginal relevance, of all its hits."""
     ix = t.index(spark, sf_dir)
     hits = materialised(rank.ranked(bm25.scores(ix, t.questions(spark))), "hits")
-    terms = ix.postings.join(hits.select("id").distinct(), "id", "left_semi").groupBy("id").agg(F.collect_list("term").alias("terms"))
-    return rank.diversified(hits, terms).select("qid", "id", "rank")
+    return rank.diversified(hits, rc.terms_of(hits, ix.postings), DIVERSE).select("qid", "id", "rank")
 
 
 @query(q.query("select qid, id, rank, cost from f where kept", *q.BM25, "f0 as (select qid, id, row_number() over (partition by qid order by score_micros desc, id) as rank, (len(title) + octet_length(encode(coalesce(rationale, ''))) + octet_length(encode(id))) // 4 + 8 as cost from scored join mem using (id))",

@@ -51,18 +51,62 @@ def plain_mmr(scores, sets):
     return out
 
 
-def test_mmr_orders_all_hits(spark):
+def test_mmr_of_many_hits(spark, monkeypatch):
+    """The first of all hits, and all of them; from windows that hold few, so that thresholds fall and rounds repeat."""
     ix = catalog.t.index(spark, FOLDER)
     terms = {r.id: frozenset(r.x) for r in ix.postings.groupBy("id").agg(F.collect_list("term").alias("x")).collect()}
-    hits, want = {}, set()
-    for r in catalog.bm25.scores(ix, catalog.t.questions(spark)).collect():
+    ranked, hits, want = catalog.rank.ranked(catalog.bm25.scores(ix, catalog.t.questions(spark))), {}, {}
+    for r in ranked.collect():
         hits.setdefault(r.qid, []).append((-r.score_micros, r.id))
     assert max(map(len, hits.values())) > 50
     for qid, found in hits.items():
         found.sort()
-        order = plain_mmr([-s for s, _ in found], [terms[i] for _, i in found])
-        want |= {(qid, found[i][1], k) for k, i in enumerate(order, 1)}
-    assert {(r.qid, r.id, r["rank"]) for r in catalog.QUERIES["mmr_order"](spark, FOLDER).collect()} == want
+        want[qid] = [found[i][1] for i in plain_mmr([-s for s, _ in found], [terms[i] for _, i in found])]
+    by = lambda df: {qid: [i for _, i in sorted((r["rank"], r.id) for r in df.where(F.col("qid") == qid).collect())] for qid in want}
+    assert by(catalog.QUERIES["mmr_order"](spark, FOLDER)) == {qid: x[: catalog.DIVERSE] for qid, x in want.items()}
+    sets = catalog.rc.terms_of(ranked, ix.postings)
+    monkeypatch.setattr(catalog.rank, "WINDOW", 7)
+    for k, held in ((5, 10), (1000, 20_000)):
+        monkeypatch.setattr(catalog.rank, "HELD", held)
+        assert by(catalog.materialised(catalog.rank.diversified(ranked, sets, k), "test")) == {qid: x[:k] for qid, x in want.items()}
+
+
+def test_mmr_of_copies_and_negative_scores(spark, monkeypatch):
+    """Copies and near copies before all else, hits without terms, scores below zero."""
+    rng = random.Random(8)
+    rows, sets = [], {}
+    for qid, low in ((1, 0), (2, -300_000)):
+        for i in range(120):
+            id_ = f"{qid}-{i:03}"
+            sets[id_] = [f"c{j}" for j in range(20)] if i < 60 else [f"c{j}" for j in range(19)] + [f"x{i}"] if i < 80 else rng.sample("abcdefghij", rng.randrange(0, 6))
+            rows.append((qid, id_, low + (1000 - i // 2) * 100 if i < 80 else low + rng.randrange(90_000)))
+    df = catalog.rank.ranked(spark.createDataFrame(rows, "qid long, id string, score_micros long"))
+    terms = spark.createDataFrame(list(sets.items()), "id string, terms array<string>").where("size(terms) > 0")
+    monkeypatch.setattr(catalog.rank, "WINDOW", 10)
+    got = catalog.rank.diversified(df, terms, 40).collect()
+    for qid in (1, 2):
+        found = sorted((-s, i) for q, i, s in rows if q == qid)
+        want = [found[i][1] for i in plain_mmr([-s for s, _ in found], [frozenset(sets[i]) for _, i in found])][:40]
+        assert [i for _, i in sorted((r["rank"], r.id) for r in got if r.qid == qid)] == want
+
+
+def test_diverse_within_a_budget(spark):
+    """As packing the whole order would."""
+    ix = catalog.t.index(spark, FOLDER)
+    asked = catalog.t.questions(spark)
+    o = catalog.rc.Options(k=6, budget=260, diverse=True, rerank=False)
+    got = catalog.rc.recall(ix, asked, o).select("qid", "rank", "id").collect()
+    hits = catalog.rank.ranked(catalog.rc.candidates(ix, asked, o).join(ix.docs.select("id", "title", "rationale"), "id"))
+    hits = catalog.materialised(hits.withColumn("cost", catalog.rc.card_cost()), "test")
+    order = catalog.rank.diversified(hits, catalog.rc.terms_of(hits, ix.postings), 10_000).select("qid", "rank", "id", "cost").collect()
+    assert {r.qid for r in got} == {r.qid for r in order} != set()
+    for qid in {r.qid for r in got}:
+        spent, kept = 0, []
+        for r in sorted((r for r in order if r.qid == qid), key=lambda r: r["rank"]):
+            if len(kept) < 6 and (not kept or spent + r.cost <= 260):
+                spent += r.cost
+                kept.append(r.id)
+        assert [r.id for r in sorted((r for r in got if r.qid == qid), key=lambda r: r["rank"])] == kept
 
 
 def test_mmr_of_odd_scores():
