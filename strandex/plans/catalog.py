@@ -410,9 +410,9 @@ def json_extract_text(spark, sf_dir):
 # lineage: events as logs of their users
 
 
-def _log(spark, sf_dir):
+def _log(events):
     """A log for each user, a record for each event."""
-    d = t.read(spark, sf_dir, "events").select("user_id", F.col("event_id").alias("ord"), F.col("event_type").alias("memory_id"), F.lit("captured").alias("event"), F.md5("props").alias("content_hash"), F.col("event_id").cast("string").alias("source"), F.lit(None).cast("string").alias("harness"), F.lit(None).cast("string").alias("core"), F.unix_seconds(F.col("ts").cast("timestamp")).alias("created"))
+    d = events.select("user_id", F.col("event_id").alias("ord"), F.col("event_type").alias("memory_id"), F.lit("captured").alias("event"), F.md5("props").alias("content_hash"), F.col("event_id").cast("string").alias("source"), F.lit(None).cast("string").alias("harness"), F.lit(None).cast("string").alias("core"), F.unix_seconds(F.col("ts").cast("timestamp")).alias("created"))
     return pv.append_logs(d.withColumn("user_id", F.col("user_id").cast("long")), "user_id")
 
 
@@ -423,7 +423,7 @@ select user_id, reason, min(seq)::bigint as first_break, count(*) as breaks from
 def provenance_chain_check(spark, sf_dir):
     """Logs of which every 83rd event is missing, every 97th has a wrong prev_hash and every 89th a wrong entry_hash."""
     n = F.col("source").cast("long")
-    log = _log(spark, sf_dir).where(n % 83 != 0).withColumn("prev_hash", F.when(n % 97 == 0, F.lit("bad")).otherwise(F.col("prev_hash"))).withColumn("entry_hash", F.when(n % 89 == 0, F.lit("wrong")).otherwise(F.col("entry_hash")))
+    log = _log(t.read(spark, sf_dir, "events")).where(n % 83 != 0).withColumn("prev_hash", F.when(n % 97 == 0, F.lit("bad")).otherwise(F.col("prev_hash"))).withColumn("entry_hash", F.when(n % 89 == 0, F.lit("wrong")).otherwise(F.col("entry_hash")))
     return pv.chain_breaks(log.withColumn("pos", F.col("seq")), "user_id").groupBy("user_id", "reason").agg(F.min("seq").alias("first_break"), F.count("*").alias("breaks"))
 
 
@@ -435,8 +435,8 @@ def provenance_latest(spark, sf_dir):
 @query("select seq, event_id::varchar as source, md5(props) as content_hash from (select *, row_number() over (partition by user_id order by event_id) as seq from events) where user_id = (select min(user_id) from events) and event_type = 'click'")
 def lineage(spark, sf_dir):
     """What the first user's log has of one record."""
-    log = _log(spark, sf_dir)
-    own = log.join(t.read(spark, sf_dir, "events").agg(F.min("user_id").alias("user_id")), "user_id", "left_semi")
+    events = t.read(spark, sf_dir, "events")
+    own = _log(events.join(F.broadcast(events.agg(F.min("user_id").alias("user_id"))), "user_id", "left_semi"))
     return pv.lineage(own, "click").select("seq", "source", "content_hash")
 
 

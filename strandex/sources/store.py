@@ -1,11 +1,19 @@
 """A store of records: Parquet tables under one folder, each a series of complete snapshots.
 
 Appending adds files to the current snapshot; anything else writes the next one, and a snapshot counts from when it is complete.
-One writer at a time.
+One writer at a time. The lineage log is a series of segments, one for each write, and the next follows the last one's tail.
+
+A write may be given a request, a name of the caller's for it (a batch's, a message's). Whoever tries again after a failure under
+the same name gets what was prepared the first time, whatever the clock says now, and each step that was done is not done again:
+one entry of the log for each record. Without a name each call is a write of its own.
 """
 
 from __future__ import annotations
 
+import hashlib
+import re
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,6 +29,14 @@ from . import frontmatter as fm
 from . import transcripts as tr
 
 
+_COLUMNS = re.split(r", (?![^<]*>)", fm.SCHEMA)
+
+
+def _named(request: str) -> str:
+    """A request's name as part of a folder's."""
+    return hashlib.sha256(request.encode()).hexdigest()[:32]
+
+
 class UsageError(ValueError):
     """A request that makes no sense."""
 
@@ -58,7 +74,14 @@ class Store:
         return self.table("memories")
 
     def log(self) -> DataFrame:
-        return self.table("provenance", pv.ENTRY)
+        parts = [f"{self.root}/provenance/{name}" for name in self._segments()]
+        return self.spark.read.schema(pv.ENTRY).parquet(*parts) if parts else self.spark.createDataFrame([], pv.ENTRY)
+
+    def _segments(self) -> list[str]:
+        """The log's complete segments in their order."""
+        base = self._path(f"{self.root}/provenance")
+        names = sorted(s.getPath().getName() for s in self._fs.listStatus(base)) if self._fs.exists(base) else []
+        return [n for n in names if self._fs.exists(self._path(f"{self.root}/provenance/{n}/_SUCCESS"))]
 
     def setup(self) -> None:
         """Makes the store's folder, where it isn't there."""
@@ -66,42 +89,56 @@ class Store:
 
     # writing
 
-    def _record(self, rows: DataFrame, event: str, now: int) -> None:
-        """Entries of the log, before what they tell of is written: whoever tries again after a failure finds them and adds none."""
+    def _once(self, request: str | None, make) -> DataFrame:
+        """What make() gives, kept under the request's name: prepared once, however often it is asked for."""
+        if request is None:
+            return materialised(make(), "rows")
+        at = f"{self.root}/staged/{_named(request)}"
+        if not self._fs.exists(self._path(f"{at}/_SUCCESS")):
+            make().write.mode("overwrite").parquet(at)
+        return self.spark.read.schema(fm.SCHEMA).parquet(at)
+
+    def _record(self, rows: DataFrame, event: str, now: int, request: str | None = None) -> None:
+        """An entry for each row, before what they tell of is written; none if the request has its entries already. Only the last segment is read."""
+        known, name = self._segments(), _named(request or uuid.uuid4().hex)
+        if any(k.endswith(name) for k in known) or rows.isEmpty():
+            return
+        after = pv.tail(self.spark.read.schema(pv.ENTRY).parquet(f"{self.root}/provenance/{known[-1]}")) if known else None
         events = rows.select(F.col("id").alias("ord"), F.col("id").alias("memory_id"), F.lit(event).alias("event"), fx.fnv1a64_hex(fm.canonical()).alias("content_hash"), "source", "harness", "core", F.lit(now).cast("long").alias("created"))
-        known = pv.latest(self.log()).select("memory_id", "content_hash")
-        self._append("provenance", materialised(pv.append(self.log(), events.join(known, ["memory_id", "content_hash"], "left_anti")), "entries"))
+        pv.append(after, events).write.mode("overwrite").parquet(f"{self.root}/provenance/{len(known) + 1:09d}-{name}")
 
-    def insert(self, new: DataFrame, now: int, event: str = "created", into: str = "memories") -> DataFrame:
-        """Rows (NEW) whose ids are not there yet; returns those written."""
-        rows = materialised(cp.stored(new.dropDuplicates(["id"]).join(self.table(into).select("id"), "id", "left_anti"), now, self.redact), "new")
+    def _insert(self, make, now: int, event: str, into: str, request: str | None) -> DataFrame:
+        rows = self._once(request, lambda: cp.stored(make().dropDuplicates(["id"]).join(self.table(into).select("id"), "id", "left_anti"), now, self.redact).select(*(c.split()[0] for c in _COLUMNS)))
         if into == "memories":
-            self._record(rows, event, now)
+            self._record(rows, event, now, request)
             self._index = None
-        self._append(into, rows)
+        self._append(into, rows.join(self.table(into).select("id"), "id", "left_anti") if request else rows)
         return rows
 
-    def create(self, new: DataFrame, now: int) -> DataFrame:
+    def insert(self, new: DataFrame, now: int, event: str = "created", into: str = "memories", request: str | None = None) -> DataFrame:
+        """Rows (NEW) whose ids are not there yet; returns those written."""
+        return self._insert(lambda: new, now, event, into, request)
+
+    def create(self, new: DataFrame, now: int, request: str | None = None) -> DataFrame:
         """Rows (NEW without id, and ord): each under type-slug-n, with the lowest free n."""
         if not new.where(~F.coalesce(F.col("title"), F.lit("")).rlike(r"\S")).isEmpty():
             raise UsageError("title must not be empty")
         if not new.where(~F.coalesce(F.col("mtype").isin(*tx.TYPES), F.lit(False))).isEmpty():
             raise UsageError("unknown type")
         title = cp.rd.redacted(F.col("title"))["text"] if self.redact else F.col("title")
-        rows = cp.lowest_free(new.withColumn("slug", tx.slugify(title)), self.memories().select("id"))
-        return self.insert(cp._rows(rows.drop("slug")), now)
+        return self._insert(lambda: cp._rows(cp.lowest_free(new.withColumn("slug", tx.slugify(title)), self.memories().select("id")).drop("slug")), now, "created", "memories", request)
 
-    def _changed(self, rows: DataFrame, now: int) -> None:
-        """Replaces the records with the ids of rows."""
-        rows = materialised(rows, "changed")
-        self._record(rows, "updated", now)
+    def _changed(self, rows: DataFrame, now: int, request: str | None = None) -> None:
+        """Replaces the records with the ids of rows; what changes nothing has its entry too."""
+        rows = self._once(request, lambda: rows.select(*(c.split()[0] for c in _COLUMNS)))
+        self._record(rows, "updated", now, request)
         self._replace("memories", self.memories().join(rows.select("id"), "id", "left_anti").unionByName(rows))
         self._index = None
 
-    def update(self, rows: DataFrame, now: int) -> None:
+    def update(self, rows: DataFrame, now: int, request: str | None = None) -> None:
         if not rows.join(self.memories().select("id"), "id", "left_anti").isEmpty():
             raise UsageError("no such record")
-        self._changed(rows, now)
+        self._changed(rows, now, request)
 
     def delete(self, ids: list[str], name: str = "memories") -> None:
         """No record is kept of it."""
@@ -119,8 +156,8 @@ class Store:
         self._replace("memories", rows.join(ids, "id", "left_anti"))
         self._index = None
 
-    def mark_used(self, ids: DataFrame, now: int) -> None:
-        self._changed(lc.touched(self.memories().join(ids.select("id"), "id", "left_semi"), ids, now), now)
+    def mark_used(self, ids: DataFrame, now: int, request: str | None = None) -> None:
+        self._changed(lc.touched(self.memories().join(ids.select("id"), "id", "left_semi"), ids, now), now, request)
 
     def prune(self, now: int, below: int = fx.PRUNE_FLOOR, force: bool = False) -> DataFrame:
         rows = materialised(lc.stale(self.memories(), now, below), "stale").withColumn("archived", F.lit(force))
@@ -176,12 +213,11 @@ class Store:
 
     # sessions
 
-    def capture(self, texts: DataFrame, now: int, distill: bool = False, pending: bool = False, distiller=cp.distilled, **session) -> DataFrame:
+    def capture(self, texts: DataFrame, now: int, distill: bool = False, pending: bool = False, distiller=cp.distilled, request: str | None = None, **session) -> DataFrame:
         """(path, text) of transcripts -> the rows added. distiller: DataFrame -> DataFrame, as `distilled`."""
         into = "pending" if pending else "memories"
         texts = materialised(texts, "transcripts")
-        found = cp.captured(tr.sessions(texts, **session), self.table(into), self.redact, distiller(texts) if distill else None)
-        return self.insert(found, now, "captured", into)
+        return self._insert(lambda: cp.captured(tr.sessions(texts, **session), self.table(into), self.redact, distiller(texts) if distill else None), now, "captured", into, request)
 
     # review
 

@@ -14,7 +14,7 @@ from strandex.operators.index import Index, refresh
 from strandex.sources import frontmatter as fm
 from strandex.sources import transcripts as tr
 from strandex.sources.store import Store, UsageError
-from strandex.streaming.ingest import stream_capture
+from strandex.streaming.ingest import first_seen, stream_capture, stream_logs
 
 NOW = 1_783_944_000
 FILE = """---
@@ -223,16 +223,54 @@ def test_kept_index(spark, tmp_path, monkeypatch):
 
 
 def test_log_after_a_failure(spark, tmp_path, monkeypatch):
-    """A task that dies between the log and the records: whoever tries again adds the records and no second entry."""
+    """A task that dies between the log and the records: whoever tries again under the same name, at any time, adds the records and no second entry."""
     store, texts = Store(spark, str(tmp_path / "s")), spark.createDataFrame(LOGS[1:2], "path string, text string")
     append = Store._append
     monkeypatch.setattr(Store, "_append", lambda self, name, rows: append(self, name, rows) if name != "memories" else (_ for _ in ()).throw(OSError("lost")))
     with pytest.raises(OSError):
-        store.capture(texts, NOW)
+        store.capture(texts, NOW, request="batch 1")
     monkeypatch.undo()
     assert store.log().count() == 2 and store.memories().isEmpty()
-    assert store.capture(texts, NOW).count() == 2
-    assert store.verify() == {"intact": True, "entries": 2, "memories": 2}
+    for later in (60, 120):  # and once more after it was done
+        assert store.capture(texts, NOW + later, request="batch 1").count() == 2
+        assert store.verify() == {"intact": True, "entries": 2, "memories": 2}
+    assert {r.created for r in store.memories().collect()} == {NOW}
+    assert store.capture(texts, NOW + 180, request="batch 2").count() == 0 and store.log().count() == 2
+
+
+def test_every_write_has_an_entry(spark, tmp_path):
+    """Deleted and created again by the same clock; changed to what it was; each follows the last segment's tail."""
+    store = Store(spark, str(tmp_path / "s"))
+    for _ in range(2):
+        assert service.remember(store, NOW, type="fact", title="Where builds go") == "fact-where-builds-go-1"
+        store.delete(["fact-where-builds-go-1"])
+    service.remember(store, NOW, type="fact", title="Where builds go")
+    store.update(store.memories(), NOW)
+    assert [(r.seq, r.event) for r in store.log().orderBy("seq").collect()] == [(1, "created"), (2, "created"), (3, "created"), (4, "updated")]
+    assert store.verify() == {"intact": True, "entries": 4, "memories": 1}
+    for _ in range(2):  # an update, tried again
+        store.update(store.memories(), NOW + 9, request="touch up")
+    new = spark.createDataFrame([("fact", "Again", 1)], "mtype string, title string, ord long")
+    assert store.verify()["entries"] == 5 and new.count() == 1
+
+
+def test_stream_of_logs(spark, tmp_path):
+    """Logs that go on over batches, by the tails in the stream's state; a batch that is run again changes nothing."""
+    schema = "log long, ord long, memory_id string, event string, content_hash string, source string, harness string, core string, created long"
+    rows = [(i % 3, i, f"m{i % 5}", "captured", f"h{i}", None, 'q"uote', "ü", NOW + i) for i in range(40)]
+    inbox, root, check = str(tmp_path / "in"), str(tmp_path / "logs"), tmp_path / "check"
+    run = lambda: stream_logs(spark.readStream.schema(schema).parquet(inbox), "log", root, str(check)).awaitTermination(120)
+    for part in (rows[:25], rows[25:]):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(inbox)
+        run()
+    got = lambda: sorted(tuple(r)[:-1] for r in spark.read.parquet(root).select("log", *provenance.NAMES, "batch").collect())
+    want = sorted(tuple(r) for r in provenance.append_logs(spark.createDataFrame(rows, schema), "log").collect())
+    assert [tuple(r) for r in got()] == want
+    (check / "commits" / "1").unlink()  # the second batch was not committed
+    (check / "commits" / ".1.crc").unlink(missing_ok=True)
+    run()
+    assert got() == want and provenance.chain_breaks(spark.read.parquet(root).withColumn("pos", F.col("seq")), "log").isEmpty()
+    assert first_seen(spark.readStream.schema(schema).parquet(inbox).withColumn("at", F.timestamp_seconds("created")), "memory_id", "at", "1 hour").isStreaming
 
 
 def test_hooks_and_latest(spark, tmp_path):
