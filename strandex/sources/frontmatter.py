@@ -13,6 +13,7 @@ from ..functions import fixedpoint as fx
 from ..functions import text as tx
 from ..functions.fixedpoint import FULL
 from ..functions.text import TYPES
+from . import records as rc
 
 # The keys of the header in their order.
 KEYS = ("id", "type", "created", "title", "tags", "links", "source", "supersedes", "harness", "core", "rationale", "scope", "confidence", "last_used")
@@ -173,7 +174,12 @@ def _rows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def read_files(spark: SparkSession, folder: str) -> DataFrame:
     """A row for each *.md file of a folder; `error` is set on those that can't be read, which have no fields."""
-    return spark.read.format("binaryFile").option("pathGlobFilter", "*.md").load(folder).select("path", "content").mapInPandas(_rows, FILE)
+    return rc.files(spark, folder).mapInPandas(_rows, FILE)
+
+
+def stream_files(spark: SparkSession, folder: str, settle: float = 2) -> DataFrame:
+    """The same as a stream: files that come or change from now on, those that are there first."""
+    return rc.file_stream(spark, folder, settle).mapInPandas(_rows, FILE)
 
 
 def good(files: DataFrame) -> DataFrame:

@@ -1,6 +1,7 @@
 """Record files, the store and its log, capture, review, streaming and the service, end to end."""
 
 import json
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -12,6 +13,7 @@ from strandex.operators import index as index_module
 from strandex.operators import recall as rc
 from strandex.operators.index import Index, refresh
 from strandex.sources import frontmatter as fm
+from strandex.sources import records
 from strandex.sources import transcripts as tr
 from strandex.sources.store import Store, UsageError
 from strandex.streaming.ingest import first_seen, stream_capture, stream_logs
@@ -199,6 +201,35 @@ def test_stream(spark, tmp_path):
     assert Index.load(spark, f"{store.root}/index").docs.count() == 2
 
 
+def test_record_files(spark, tmp_path):
+    """Names that begin with _ are records, those with a dot aren't; partitions by bytes; a stream of what comes and changes."""
+    folder, out, check = tmp_path / "memories", str(tmp_path / "out"), str(tmp_path / "check")
+    folder.mkdir()
+    note = lambda name, body="x": (folder / f"{name}.md").write_text(f"---\nid: {name}\ntype: fact\ncreated: 2026-01-01T00:00:00Z\ntitle: T\n---\n{body}\n")
+    for name in ("_x", "y", ".hidden"):
+        note(name)
+    (folder / "sub.md").mkdir()
+    (folder / "other.txt").write_text("no")
+    got = fm.good(fm.read_files(spark, str(folder))).collect()
+    assert [r.id for r in got] == ["_x", "y"] and all(r.warnings == [] for r in got)
+    assert fm.read_files(spark, f"file:{folder}").count() == 2
+    empty = tmp_path / "empty"
+    empty.mkdir()
+    assert fm.read_files(spark, str(empty)).count() == 0
+    sizes = [("a", 10 << 20, 0), ("b", 10 << 20, 0), ("c", 90 << 20, 0), ("d", 1, 0)]
+    assert [p.paths for p in records.dealt(sizes)] == [["a", "b"], ["c"], ["d"]] and records.dealt([]) == []
+
+    def run():
+        time.sleep(0.2)
+        fm.stream_files(spark, str(folder), 0.1).select("id", "body").writeStream.format("parquet").option("checkpointLocation", check).trigger(availableNow=True).start(out).awaitTermination(120)
+        return sorted((r.id, r.body) for r in spark.read.schema("id string, body string").parquet(out).collect())
+
+    assert run() == [("_x", "x\n"), ("y", "x\n")] == run()
+    note("y", "changed")
+    note("z")
+    assert run() == [("_x", "x\n"), ("y", "changed\n"), ("y", "x\n"), ("z", "x\n")]
+
+
 def same(a, b):
     return all(x.exceptAll(y).isEmpty() and y.exceptAll(x).isEmpty() for x, y in ((a.postings, b.postings), (a.docs, b.docs), (a.df, b.df), (a.stats, b.stats)))
 
