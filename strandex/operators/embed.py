@@ -11,6 +11,7 @@ import math
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import fixedpoint as fx
@@ -64,8 +65,11 @@ def cosine(dot: int, a: int, b: int) -> int:
     return 0 if dot <= 0 or not a or not b else min(SCALE, math.isqrt(dot * dot * 10**12 // (a * b)))
 
 
-def term_cosines(vocabulary: DataFrame, tokens: list[str]) -> DataFrame:
-    """(token, term, cosine) above 0 of the given tokens and all terms of the vocabulary."""
+def term_cosines(vocabulary: DataFrame, tokens: list[str], least: int = 1, below: int = SCALE + 1) -> DataFrame:
+    """(token, term, cosine) of the given tokens and all terms of the vocabulary, where the cosine is `least` or more, and under `below`.
+
+    A pair whose dot product is too small for its norms is dropped before its cosine is computed, and none outside is written.
+    """
 
     def run(batches, block):
         q = vectors(block).astype(np.float64)  # counts are small: products are exact
@@ -77,39 +81,64 @@ def term_cosines(vocabulary: DataFrame, tokens: list[str]) -> DataFrame:
                 v = vectors(part).astype(np.float64)
                 dot = v @ q.T
                 own = (v * v).sum(1)
-                term, token = np.nonzero(dot > 0)
+                # one micro-unit of room for the rounding of the root
+                term, token = np.nonzero(dot > max(least - 1, 0) / SCALE * np.sqrt(own[:, None] * norm[None, :]) * (1 - 1e-12))
                 d, squares = dot[term, token], own[term] * norm[token]
                 if (d < 3000).all():
                     ratio = d.astype(np.int64) ** 2 * 10**12 // squares.astype(np.int64)
                     c = np.minimum(np.floor(np.sqrt(ratio.astype(np.float64))).astype(np.int64), SCALE)
                 else:
                     c = np.array([cosine(int(x), int(own[j]), int(norm[k])) for x, j, k in zip(d, term, token, strict=True)], np.int64)
+                inside = (c >= least) & (c < below)
+                term, token, c = term[inside], token[inside], c[inside]
                 yield pa.RecordBatch.from_arrays([pa.array([block[k] for k in token], pa.string()), pa.array([part[j] for j in term], pa.string()), pa.array(c)], names=["token", "term", "cosine"])
 
     out = None
     for i in range(0, max(len(tokens), 1), BLOCK):
-        part = vocabulary.select("term").mapInArrow(lambda batches, block=tokens[i : i + BLOCK]: run(batches, block), "token string, term string, cosine long").where("cosine > 0")
+        part = vocabulary.select("term").mapInArrow(lambda batches, block=tokens[i : i + BLOCK]: run(batches, block), "token string, term string, cosine long")
         out = part if out is None else out.unionByName(part)
     return out
 
 
+#: Cosines from which pairs are written for all terms; for most tokens nearly every document has a term that reaches it.
+REACH = 150_000
+
+
 def similarities(postings: DataFrame, vocabulary: DataFrame, queries: DataFrame, hits: DataFrame | None = None, floor: int = 0) -> DataFrame:
     """(qid, id, sim): the average, over a query's tokens with repeats, of the best cosine to any term of the document; above 0.
 
-    With hits (qid, id): only of documents that are hits, or may reach `floor`. An average reaches it only where some cosine does,
-    so the others' postings leave before they meet any cosine but the large ones.
+    With hits (qid, id): only of these, and of what reaches `floor`. An average reaches it only where some cosine does. Then cosines
+    of REACH or more are enough for all tokens to which a document has a term so near: the best of these is the best of all. Only for
+    what is left, (document, token) without any, the smaller cosines of those documents' terms to those tokens are looked at; a document
+    that is no hit, and can't reach the floor with REACH for each of these, isn't.
     """
     tokens = queries.select("qid", F.explode(tk.tokenize(F.col("text"))).alias("token")).groupBy("qid", "token").agg(F.count("*").alias("times"))
     distinct = sorted(r.token for r in tokens.select("token").distinct().collect())  # a query's own words
     if not distinct:
         return postings.select(F.lit(0).cast("long").alias("qid"), "id", F.lit(0).cast("long").alias("sim")).limit(0)
-    cosines = term_cosines(vocabulary, distinct)
     postings = postings.select("id", "term")
-    if hits is not None:
-        cosines = materialised(cosines, "cosines")
-        near = postings.join(small(cosines.where(F.col("cosine") >= floor).select("term").distinct()), "term", "left_semi").select("id")
-        postings = postings.join(hits.select("id").unionByName(near).distinct(), "id", "left_semi")
-    best = postings.join(cosines, "term").groupBy("id", "token").agg(F.max("cosine").alias("best"))
-    size = tokens.groupBy("qid").agg(F.sum("times").alias("n"))
-    rows = best.join(small(tokens.join(size, "qid")), "token").groupBy("qid", "id", "n").agg(F.sum(F.col("best") * F.col("times")).alias("total"))
-    return rows.select("qid", "id", fx.div("total", "n").alias("sim")).where("sim > 0")
+    asked = small(tokens.join(tokens.groupBy("qid").agg(F.sum("times").alias("n")), "qid"))
+    if hits is None:
+        best = postings.join(term_cosines(vocabulary, distinct), "term").groupBy("id", "token").agg(F.max("cosine").alias("best"))
+        return _averages(best.join(asked, "token").withColumn("least", F.lit(1)))
+    reach = min(REACH, floor) or 1
+    cosines = materialised(term_cosines(vocabulary, distinct, reach), "cosines")
+    best = materialised(postings.join(small(cosines), "term").groupBy("id", "token").agg(F.max("cosine").alias("best")), "best")
+    near = best.where(F.col("best") >= floor).join(asked, "token").select("qid", "id").distinct()
+    wanted = hits.select("qid", "id", F.lit(True).alias("hit")).unionByName(near.join(hits, ["qid", "id"], "left_anti").withColumn("hit", F.lit(False)))
+    rows = wanted.join(asked, "qid").join(best, ["id", "token"], "left")
+    most = F.sum(F.coalesce("best", F.lit(reach - 1)) * F.col("times")).over(W.partitionBy("qid", "id"))
+    rows = materialised(rows.withColumn("most", most).where(F.col("hit") | (fx.div("most", "n") >= floor)).select("qid", "id", "token", "times", "n", "best", "hit"), "bounds")
+    open_ = materialised(rows.where("best is null").select("id", "token").distinct(), "open")
+    lacking = [r.token for r in open_.select("token").distinct().orderBy("token").collect()]
+    if lacking:
+        held = materialised(postings.join(small(open_.select("id").distinct()), "id", "left_semi"), "held")
+        low = materialised(term_cosines(held.select("term").distinct(), lacking, 1, reach), "cosines")
+        rest = held.join(small(low), "term").groupBy("id", "token").agg(F.max("cosine").alias("low"))
+        rows = rows.join(rest, ["id", "token"], "left").withColumn("best", F.coalesce("best", "low"))
+    return _averages(rows.withColumn("least", F.when(F.col("hit"), 1).otherwise(floor)))
+
+
+def _averages(rows: DataFrame) -> DataFrame:
+    sums = rows.groupBy("qid", "id", "n", "least").agg(F.sum(F.coalesce("best", F.lit(0)) * F.col("times")).alias("total"))
+    return sums.select("qid", "id", fx.div("total", "n").alias("sim"), "least").where("sim >= least").drop("least")

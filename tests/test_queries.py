@@ -90,6 +90,23 @@ def test_mmr_of_copies_and_negative_scores(spark, monkeypatch):
         assert [i for _, i in sorted((r["rank"], r.id) for r in got if r.qid == qid)] == want
 
 
+@pytest.mark.parametrize("floor", [350_000, 200_000, 60_000])
+def test_similarities_with_a_floor(spark, floor):
+    """Of hits exactly, and of what reaches the floor, as among all pairs; few of these are written."""
+    embed, ix = catalog.embed, catalog.t.index(spark, FOLDER)
+    asked = catalog.t.questions(spark)
+    hits = catalog.materialised(catalog.bm25.scores(ix, asked).select("qid", "id").where(F.xxhash64("id") % 3 != 0), "hits")
+    whole = {(r.qid, r.id): r.sim for r in embed.similarities(ix.postings, ix.vocabulary(), asked).collect()}
+    chosen = {(r.qid, r.id) for r in hits.collect()}
+    got = {(r.qid, r.id): r.sim for r in embed.similarities(ix.postings, ix.vocabulary(), asked, hits, floor).collect()}
+    need = {k: v for k, v in whole.items() if k in chosen or v >= floor}
+    assert need.items() <= got.items() <= whole.items() and all(k in chosen or got[k] >= floor for k in got)
+    tokens = sorted({w for r in asked.select(catalog.tk.tokenize(F.col("text")).alias("x")).collect() for w in r.x})
+    pairs = {(r.token, r.term): r.cosine for r in embed.term_cosines(ix.vocabulary(), tokens).collect()}
+    assert {(r.token, r.term): r.cosine for r in embed.term_cosines(ix.vocabulary(), tokens, floor, 600_000).collect()} == {k: c for k, c in pairs.items() if floor <= c < 600_000}
+    assert sum(c >= embed.REACH for c in pairs.values()) < 0.1 * len(pairs)
+
+
 def test_diverse_within_a_budget(spark):
     """As packing the whole order would."""
     ix = catalog.t.index(spark, FOLDER)
