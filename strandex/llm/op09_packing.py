@@ -120,6 +120,12 @@ class Stats:
         df[term] = n
         self.idf = _idf(self.n, df)
 
+    @classmethod
+    def of(cls, n: int, mean: float, idf: np.ndarray) -> Stats:
+        out = cls.__new__(cls)
+        out.n, out.mean, out.idf = n, mean, idf
+        return out
+
 
 def directions(idf: np.ndarray) -> np.ndarray:
     """A row for each token ID: random signs times its idf."""
@@ -159,6 +165,12 @@ class Tree:
         groups = [x[at == i] for i in range(len(self.top))]
         self.below = [centres(g, max(1, min(len(g), round(leaves * len(g) / len(x))))) if len(g) else self.top[i : i + 1] for i, g in enumerate(groups)]
 
+    @classmethod
+    def of(cls, top: np.ndarray, below: list[np.ndarray]) -> Tree:
+        out = cls.__new__(cls)
+        out.top, out.below = top, below
+        return out
+
     def places(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Leaf of each document, and its nearness to the leaf's centre in 1/4096."""
         at = (x @ self.top.T).argmax(1)
@@ -251,11 +263,12 @@ def placed(tokens: DataFrame, stats: Stats, shard: int = SHARD) -> DataFrame:
     sc = tokens.sparkSession.sparkContext
     some = tokens.where(F.octet_length("terms") > 0).where(F.col("spread") < int(min(1.0, SAMPLE / max(stats.n, 1)) * (1 << 32))).orderBy("spread").select("terms").toArrow()
     sample = vectors(some["terms"].to_pylist(), directions(stats.idf)) if len(some) else np.zeros((1, DIRECTIONS), np.float32)
-    held = sc.broadcast((Tree(sample, LEAVES * stats.n // shard), stats.idf))
+    tree = Tree(sample, LEAVES * stats.n // shard)
+    held = sc.broadcast((tree.top, tree.below, stats.idf))  # arrays: workers that lack this package can't read its objects
 
     def run(batches):
-        tree, idf = held.value
-        along = directions(idf)
+        top, below, idf = held.value
+        tree, along = Tree.of(top, below), directions(idf)
         for b in batches:
             leaf, near = tree.places(vectors(b.column("terms").to_pylist(), along))
             whole = np.array(b.column("terms").to_pylist(), object) == b""
@@ -272,7 +285,7 @@ def packed(docs: DataFrame, path: str | None = None, shard: int = SHARD) -> Data
     tokens = common.saved(tokenised(docs, path or vocabulary()), "tokens", common.SCAN)
     stats, parts = Stats(tokens), max(1, -(-tokens.count() // (4 * shard)))
     ordered = common.saved(placed(tokens, stats, shard), "placed", common.SCAN).repartitionByRange(parts, "leaf", "near", "spread").sortWithinPartitions("leaf", "near", "spread", "doc_id", "tokens")
-    held = docs.sparkSession.sparkContext.broadcast(stats)
+    held = docs.sparkSession.sparkContext.broadcast((stats.n, stats.mean, stats.idf))
     names = [x.split()[0] for x in OUT.split(", ")]
 
     def run(batches):
@@ -297,7 +310,7 @@ def packed(docs: DataFrame, path: str | None = None, shard: int = SHARD) -> Data
         rest = np.nonzero(n % WINDOW)[0]
         sizes = (n % WINDOW)[rest]
         terms, times = ([np.frombuffer(x, "<u4") for x in table[c].take(rest).to_pylist()] for c in ("terms", "times"))
-        for window in pack(sizes, Index(terms, held.value, times)):
+        for window in pack(sizes, Index(terms, Stats.of(*held.value), times)):
             at = 0
             for d in window:
                 i, size = int(rest[d]), int(sizes[d])
