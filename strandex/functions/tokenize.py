@@ -29,10 +29,15 @@ def parts(word: Column) -> Column:
     return F.filter(F.split(word, INSIDE), lambda p: p != "")
 
 
+def lowered(s: Column) -> Column:
+    """In lower case, character by character: a capital sigma at a word's end is no final one."""
+    return F.lower(F.replace(s, F.lit("Σ"), F.lit("σ")))
+
+
 def word_terms(word: Column) -> Column:
     """A word's terms: itself in lower case and, where it has several parts, each that differs from it."""
-    whole = F.lower(word)
-    more = F.filter(F.transform(parts(word), lambda p: F.lower(p)), lambda p: p != whole)
+    whole = lowered(word)
+    more = F.filter(F.transform(parts(word), lowered), lambda p: p != whole)
     return F.when(word.rlike(PARTED), F.concat(F.array(whole), F.when(F.size(parts(word)) > 1, more).otherwise(F.array().cast("array<string>")))).otherwise(F.array(whole))
 
 

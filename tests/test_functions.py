@@ -59,6 +59,7 @@ def test_rendering(spark):
         ("HTMLParser v2", ["htmlparser", "html", "parser", "v2", "v", "2"]),
         ("utf8", ["utf8", "utf", "8"]),
         ("Größe MATTERS", ["größe", "matters"]),
+        ("ΟΔΟΣ ὁδός οδοςΣας", ["οδοσ", "ὁδός", "οδοςσας", "οδος", "σας"]),
         ("## Fix `verify.sh` in CI (see #42)", ["fix", "verify", "sh", "ci", "see", "42"]),
         ("_x_", ["_x_"]),
         ("", []),
