@@ -89,18 +89,23 @@ def hash_share(col: str, share: float):
     return F.pmod(F.xxhash64(F.col(col)), F.lit(HASH_SPACE)) < F.lit(int(min(1.0, share) * HASH_SPACE))
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, value: str, bound: int, where=None) -> DataFrame:
-    """(doc_id, text, <value>) of about `bound` labelled documents at most, chosen by a hash of the id.
+def labelled_sample(docs: DataFrame, labels: DataFrame, value: str, bound: int, where=None, longest: int = 1 << 16) -> DataFrame:
+    """(doc_id, text, <value>) of about `bound` labelled documents at most, chosen by a hash of the id, each of `longest` bytes at most.
 
-    An id labelled more than once counts once, with its smallest value; null ids and null values count for nothing. The chosen
-    labels number about `bound` (binomial around it), which is what bounds the broadcast.
+    An id labelled more than once counts once, with its smallest value; null ids and null values count for nothing. Of an id that
+    several rows have, the row with the smallest hash of its text is taken; rows with longer texts are no training rows. So rows
+    number no more than the chosen labels, which number about `bound` (binomial around it), and all texts together take bound *
+    longest bytes at most, however many rows share an id.
     """
     lab = labels.where(F.col(value).isNotNull() & F.col("doc_id").isNotNull())
     if where is not None:
         lab = lab.where(where)
     n = lab.agg(F.count("*")).first()[0]
     chosen = lab.where(hash_share("doc_id", bound / max(n, 1))).groupBy("doc_id").agg(F.min(value).alias(value))
-    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    text = F.col("text").cast("string")
+    rows = docs.where(F.coalesce(F.octet_length(text), F.lit(0)) <= longest).select("doc_id", text.alias("text")).join(F.broadcast(chosen), "doc_id")
+    one = rows.groupBy("doc_id").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("row"), F.min(value).alias(value))
+    return one.select("doc_id", F.col("row.text").alias("text"), value)
 
 
 def texts(batch) -> list[str]:

@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 from . import common
 
 PASSAGE, SHAPES = 64, 32
+#: Bytes of text that are Python objects at a time.
+SLICE = 1 << 20
 #: Bytes by kind: small letter, capital, digit, other byte of a longer character, then single signs.
 _KIND = np.full(256, 4, np.uint8)
 _KIND[97:123], _KIND[65:91], _KIND[48:58] = 0, 1, 2
@@ -136,7 +138,7 @@ def train(docs: DataFrame, labels: DataFrame, bound: int) -> Model:
     sample = common.labelled_sample(docs, labels, "quality", bound, ~held_out())
 
     def run(batches):
-        for b in batches:
+        for b in common.sliced(batches, SLICE):
             x, first = encode(common.texts(b))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x[i:j].tobytes() for i, j in zip(first[:-1], first[1:], strict=True)], pa.binary()), b.column(2)], names=["doc_id", "x", "quality"])
 
@@ -154,12 +156,10 @@ def quality_mil(docs: DataFrame, labels: DataFrame, sample: int = 6_000) -> Data
     model = train(docs, labels, sample)
 
     def run(batches):
-        for b in batches:
-            t = common.texts(b)
-            for i, j in common.slices([len(x) for x in t], 1 << 20):
-                x, first = encode(t[i:j])
-                s = model.score(x, first)
-                yield pa.RecordBatch.from_arrays([b.column(0)[i:j], b.column(1)[i:j], pa.array(s), pa.array((s >= 0.5).astype(np.int32)), pa.array(np.diff(first))], names=["doc_id", "held_out", "score", "predicted", "n_passages"])
+        for b in common.sliced(batches, SLICE):
+            x, first = encode(common.texts(b))
+            s = model.score(x, first)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(s), pa.array((s >= 0.5).astype(np.int32)), pa.array(np.diff(first))], names=["doc_id", "held_out", "score", "predicted", "n_passages"])
 
     return docs.select(F.col("doc_id").cast("long"), held_out().alias("held_out"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int, n_passages long")
 

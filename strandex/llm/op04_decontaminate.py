@@ -1,15 +1,16 @@
 """Benchmark decontamination by q-gram lemma filtering.
 
 Texts and benchmark items are compared in a normal form: lower case, each run of white space one space. An item of m characters
-within `edits` = floor(rate * m) edits of a region shares at least m - Q + 1 - Q * edits of its q-grams with it, all on diagonals
+within `edits` = floor(rate * m) edits of a region shares at least m - q + 1 - q * edits of its q-grams with it, all on diagonals
 (position in the text less position in the item) that differ by no more than `edits`. So shared q-grams are counted in bands of
 2 * (edits + 1) diagonals that overlap by half, each of the item's q-grams once; bands that reach the bound, neighbours together,
 are verified by banded alignment.
 
-So that the bound stays positive, `edits` is (m - Q) div Q at most: items of 10 to 15, 20 to 23 and 30 to 31 characters are found
-with one edit less than floor(rate * m), those of 10 to 15 as exact copies only. Q-grams that an item holds more than REPEATS
-times are left out of its index, with the bound lowered by them, as long as it stays positive; items that consist of such
-q-grams keep them. What a text has in common with the items is counted in steps of bounded size, however repetitive both are.
+So that the bound is positive for every item, q is Q or, where that is less, m div (edits + 1): 5 to 7 for items of 10 to 15, 20 to
+23 and 30 to 31 characters, all of an item of less than Q. Each q has an index of its own, which texts are held against only where
+there are such items. Q-grams that an item holds more than REPEATS times are left out of its index, with the bound lowered by
+them, as long as it stays positive; items that consist of such q-grams keep them. What a text has in common with the items is
+counted in steps of bounded size, however repetitive both are.
 
 The regions of an item in a text do not overlap: the one with the fewest edits counts first, then the one that begins first. Of
 an item that repeats itself, so that a text could hold it in overlapping places, the places named are those that are verified
@@ -18,8 +19,8 @@ with the fewest edits; at least one is named wherever there is any.
 The items are taken in blocks of bounded size (BLOCK characters), each against all documents, so that what goes to the
 executors is bounded however many items there are.
 
-Defined cases: null or empty texts match nothing; items with fewer than Q characters in normal form match nothing; repeated
-documents or items each give their own rows; a null doc_id or item_id is returned as it is; extra columns are ignored.
+Defined cases: null or empty texts match nothing; items with fewer than LEAST characters in normal form, which nearly every text
+would hold, match nothing; repeated documents or items each give their own rows; a null doc_id or item_id is returned as it is; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -33,7 +34,9 @@ from pyspark.sql import functions as F
 
 from . import common
 
-Q, RATE, BLOCK = 8, 0.1, 4_000_000
+Q, LEAST, RATE, BLOCK = 8, 4, 0.1, 4_000_000
+#: No character has this code.
+END = 31
 #: Repeats of a q-gram in an item that are indexed; pairs of places counted at a time; bands verified at once; bytes of text at a time.
 REPEATS, STEP, TOGETHER, SLICE = 4, 1 << 21, 4, 4 << 20
 #: Bits of the hash that most texts' q-grams fail, and what it multiplies by.
@@ -80,7 +83,7 @@ def normal(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def fours(codes: np.ndarray) -> np.ndarray:
-    """Four codes of 5 bits each in one number, for every start; two of these that lie four apart are a q-gram."""
+    """Four codes of 5 bits each in one number, for every start; two of these that lie four apart are eight codes."""
     two = codes[:-1].astype(np.uint16) << 5 | codes[1:]
     return two[:-2].astype(np.uint32) << 10 | two[2:]
 
@@ -89,12 +92,17 @@ def hashed(first: np.ndarray, second: np.ndarray) -> np.ndarray:
     return (first * LEFT ^ second * RIGHT) >> np.uint32(32 - BITS)
 
 
-def qgrams(codes: np.ndarray) -> np.ndarray:
-    """Q codes in one number, for every start."""
-    if len(codes) < Q:
-        return np.zeros(0, np.uint64)
-    f = fours(codes)
-    return f[:-4].astype(np.uint64) << 20 | f[4:]
+def halves(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first four of eight codes in one number, and the other four, for every start of four codes; END stands beyond the last."""
+    if len(codes) < LEAST:
+        return np.zeros(0, np.uint32), np.zeros(0, np.uint32)
+    f = fours(np.append(codes, np.full(Q - LEAST, END, np.uint8)))
+    return f[:-4], f[4:]
+
+
+def qgrams(first: np.ndarray, second: np.ndarray, q: int) -> np.ndarray:
+    """q codes of eight in one number; those of different q differ."""
+    return np.uint64(q << 40) | first.astype(np.uint64) << 20 | second >> np.uint32(5 * (Q - q))
 
 
 def banded(text: np.ndarray, item: np.ndarray, low: int, high: int, edits: int) -> tuple[int, int, int] | None:
@@ -135,17 +143,19 @@ class Items:
     """A block of benchmark items with the index of their q-grams."""
 
     def __init__(self, rows: list[tuple]):
-        keep = [(i, n) for i, t in rows if len((n := normal(t or ""))[0]) >= Q]
+        keep = [(i, n) for i, t in rows if len((n := normal(t or ""))[0]) >= LEAST]
         self.ids = [i for i, _ in keep]
         self.chars = [n[0] for _, n in keep]
         self.words = ["".join(map(chr, x)) for x in self.chars]
         self.size = np.array([len(x) for x in self.chars], np.int64)
-        self.edits = np.minimum((RATE * self.size).astype(np.int64), np.maximum(0, (self.size - Q) // Q))
-        self.need = self.size - Q + 1 - Q * self.edits
+        self.edits = (RATE * self.size).astype(np.int64)
+        self.q = np.minimum(Q, self.size // (self.edits + 1))
+        self.need = self.size - self.q + 1 - self.q * self.edits
         self.repetitive = np.zeros(len(keep), bool)
         code, item, place = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for i, (_, n) in enumerate(keep):
-            g = qgrams(n[1])
+            q = int(self.q[i])
+            g = qgrams(*halves(n[1]), q)[: len(n[1]) - q + 1]
             _, which, times = np.unique(g, return_inverse=True, return_counts=True)
             rare = times[which] <= REPEATS
             if self.need[i] > (~rare).sum():
@@ -159,19 +169,24 @@ class Items:
         self.code, self.head = np.unique(code[order], return_index=True)
         self.head = np.append(self.head, len(code))
         self.item, self.place = item[order], place[order]
-        self.seen = np.zeros(1 << BITS, bool)
-        self.seen[hashed((self.code >> np.uint64(20)).astype(np.uint32), (self.code & np.uint64((1 << 20) - 1)).astype(np.uint32))] = True
+        #: Of every q in use, which hashes its q-grams have.
+        self.seen: dict[int, np.ndarray] = {}
+        for q in map(int, np.unique(self.q)):
+            own = self.code[self.code >> np.uint64(40) == q]
+            self.seen[q] = np.zeros(1 << BITS, bool)
+            self.seen[q][hashed((own >> np.uint64(20)).astype(np.uint32) & np.uint32((1 << 20) - 1), (own & np.uint64((1 << 20) - 1)).astype(np.uint32))] = True
 
     def shared(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Place in the text and number of the code, for every q-gram of the text that an item has."""
-        if len(codes) < Q or not len(self.code):
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        f = fours(codes)
-        at = np.flatnonzero(self.seen[hashed(f[:-4], f[4:])])
-        g = f[at].astype(np.uint64) << 20 | f[at + 4]
-        k = np.minimum(np.searchsorted(self.code, g), len(self.code) - 1)
-        ok = self.code[k] == g
-        return at[ok], k[ok]
+        places, numbers = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        first, second = halves(codes)
+        for q, seen in self.seen.items():
+            at = np.flatnonzero(seen[hashed(first, second >> np.uint32(5 * (Q - q)))])
+            g = qgrams(first[at], second[at], q)
+            k = np.minimum(np.searchsorted(self.code, g), len(self.code) - 1)
+            ok = self.code[k] == g
+            places.append(at[ok]), numbers.append(k[ok])
+        return np.concatenate(places), np.concatenate(numbers)
 
     def _entries(self, at: np.ndarray, k: np.ndarray):
         """(item, half band, place in the item, place in the text) of every shared q-gram, a step at a time."""
@@ -214,7 +229,9 @@ class Items:
             n = int(total[h]) if sure[h] else min(len(np.unique(np.concatenate([p[side] for p in parts]))) for side in (0, 1))
             i, half = int(wanted[h] >> 40), int(wanted[h] & (1 << 40) - 1)
             if n >= self.need[i]:
-                if out and out[-1][0] == i and half == out[-1][2] and half - out[-1][1] < TOGETHER:
+                # neighbours go together as far as two places of the item that don't overlap stay apart
+                near = min(TOGETHER, (self.size[i] - 2 * self.edits[i]) // (self.edits[i] + 1) - 1)
+                if out and out[-1][0] == i and half == out[-1][2] and half - out[-1][1] < near:
                     out[-1] = (i, out[-1][1], half + 1, max(n, out[-1][3]))
                 else:
                     out.append((i, half, half + 1, n))

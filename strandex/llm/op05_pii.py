@@ -6,6 +6,9 @@ good, for a kind, as the share of its instances that are known to be of that kin
 instances over the threshold are known in the next round. Identifier-like strings that no seed rule takes, found in patterns of
 high confidence, are added as spans of that kind.
 
+Words in patterns are whole, never cut; what is longer than WORD characters is no word of a language and makes no pattern with
+that place. A shape is that of the whole span; one of more than WORD characters is named by its hash.
+
 Defined cases: a null text counts as empty (no spans, the hash of an empty string); repeated rows get a row each (identical ids
 and texts the same result); a null doc_id is returned as it is; tied kinds go to the one named first; extra columns are ignored.
 """
@@ -24,8 +27,8 @@ from . import common
 
 KINDS = ("email", "ip", "card", "phone")
 ROW = ["r1", "r2"]
-#: Bytes of text that are Python objects at a time.
-SLICE = 4 << 20
+#: Bytes of text that are Python objects at a time; characters of a word at most.
+SLICE, WORD = 4 << 20, 256
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 #: A match can't begin within a run of digits, so no run is tried from its middle: time is linear in the text.
@@ -36,7 +39,8 @@ _DIGIT = re.compile(r"[0-9]")
 #: What an unseen identifier may look like: six characters or more, four digits at least or an @. Only a run's start is tried.
 _TOKEN = re.compile(r"(?<![^\x20\x09-\x0D(\[{\"'<])(?=[A-Za-z+._/-]*+[0-9@])[A-Za-z0-9+][A-Za-z0-9@._+/-]{4,}[A-Za-z0-9]")
 _SIGNS = re.compile(r"[^\w]+")
-_WHITE = re.compile(r"[^\x20\x09-\x0D]+")
+_SPACE = "\x20\x09\x0a\x0b\x0c\x0d"
+_WORD = re.compile(rf"[{_SPACE}]*+([^{_SPACE}]*)")
 
 
 def luhn(digits: str) -> bool:
@@ -82,18 +86,48 @@ def joined(spans) -> str:
     return ",".join(f"{KINDS[k]}:{s}:{e}" for k, s, e in sorted(spans))
 
 
+def _before(text: str, end: int) -> tuple[str, int]:
+    """The word that ends last before a place, and where it starts; an empty one if there is none or it is longer than WORD."""
+    size = 2 * WORD
+    while True:  # the white space behind the word may be long
+        piece = text[max(0, end - size) : end].rstrip(_SPACE)
+        if piece or size >= end:
+            break
+        size *= 4
+    end = max(0, end - size) + len(piece)
+    piece = text[max(0, end - WORD - 1) : end]
+    start = 1 + max(map(piece.rfind, _SPACE))
+    return ("", end) if len(piece) - start > WORD else (piece[start:], end - len(piece) + start)
+
+
+def _after(text: str, start: int) -> str:
+    """The word that begins first from a place on; an empty one if there is none or it is longer than WORD."""
+    begin = _WORD.match(text, start).start(1) if text[start : start + 1] in _SPACE else start
+    piece = text[begin : begin + WORD + 1]
+    word = _WORD.match(piece).group(1)
+    return "" if len(word) > WORD else word
+
+
+def _lexical(word: str) -> str:
+    return re.sub(r"[0-9]", "9", _SIGNS.sub("", word)).lower()
+
+
+def shape(span: str) -> str:
+    out = re.sub(r"A+", "A", re.sub(r"a+", "a", re.sub(r"9+", "9", re.sub(r"[0-9]", "9", re.sub(r"[a-z]", "a", re.sub(r"[A-Z]", "A", span))))))
+    return out if len(out) <= WORD else hashlib.blake2b(out.encode("utf-8", "surrogatepass"), digest_size=12).hexdigest()
+
+
 def contexts(text: str, start: int, end: int) -> list[str]:
     """Lexical patterns: the last two words and the last word before, with the shape of the span; words in lower case, digits as 9."""
-    before = [re.sub(r"[0-9]", "9", _SIGNS.sub("", w)).lower() for w in _WHITE.findall(text[max(0, start - 64) : start])[-2:]]
-    after = [re.sub(r"[0-9]", "9", _SIGNS.sub("", w)).lower() for w in _WHITE.findall(text[end : end + 48])[:1]]
-    shape = re.sub(r"A+", "A", re.sub(r"a+", "a", re.sub(r"9+", "9", re.sub(r"[0-9]", "9", re.sub(r"[a-z]", "a", re.sub(r"[A-Z]", "A", text[start:end][:64]))))))
-    out = []
-    if len(before) == 2 and all(before):
-        out.append(f"L2|{before[0]} {before[1]}")
-    if before and before[-1]:
-        out.append(f"L1|{before[-1]}|{shape}")
-    if before and after and before[-1] and after[0]:
-        out.append(f"LR|{before[-1]}|{after[0]}")
+    last, at = _before(text, start)
+    one, after = _lexical(last), _lexical(_after(text, end))
+    if not one:
+        return []
+    two = _lexical(_before(text, at)[0])
+    out = [f"L2|{two} {one}"] if two else []
+    out.append(f"L1|{one}|{shape(text[start:end])}")
+    if after:
+        out.append(f"LR|{one}|{after}")
     return out
 
 
