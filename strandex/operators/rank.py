@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import bisect
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -205,12 +207,53 @@ def _round(sets: DataFrame, state: dict, kind: str):
 
 
 def packed(hits: DataFrame, k: int = 10, budget: int | None = None, cost: Column | None = None) -> DataFrame:
-    """The first k hits of each query by rank; with a budget, hits that would pass it are skipped, never the first."""
+    """The first k hits of each query by rank; with a budget, hits that would pass it are skipped, never the first.
+
+    With a budget, each batch of hits first drops, where it lies, those that can't be kept; what is left of a query goes to one
+    task, sorted, and streams through a fold that holds the sum and number kept so far. Costs are not negative; a null one is none.
+    """
     if budget is None:
         return hits.where(F.col("rank") <= k)
-    order = F.array_sort(F.collect_list(F.struct("rank", "id", cost.alias("cost"))))
-    start = F.struct(F.lit(0).cast("long").alias("spent"), F.array().cast("array<bigint>").alias("kept"))
-    fits = lambda s, x: (F.size(s.kept) < k) & ((F.size(s.kept) == 0) | (s.spent + x.cost <= budget))
-    fold = F.aggregate(order, start, lambda s, x: F.when(fits(s, x), F.struct((s.spent + x.cost).alias("spent"), F.concat(s.kept, F.array(x["rank"])).alias("kept"))).otherwise(s), lambda s: s.kept)
-    kept = hits.groupBy("qid").agg(fold.alias("kept")).select("qid", F.explode("kept").alias("rank"))
-    return hits.join(kept, ["qid", "rank"], "left_semi")
+    names = hits.columns
+    qid, rank = names.index("qid"), names.index("rank")
+    priced = hits.withColumn("__cost", F.coalesce(cost, F.lit(0)).cast("long"))
+
+    def pruned(batches):
+        for b in batches:
+            yield b.filter(pa.array(hopeful(b.column(qid).to_pylist(), b.column(rank).to_pylist(), b.column(len(names)).to_pylist(), k, budget), pa.bool_()))
+
+    def fold(batches):
+        state = None  # query, sum and number kept
+        for b in batches:
+            keep = np.zeros(b.num_rows, bool)
+            for i, (q, c) in enumerate(zip(b.column(qid).to_pylist(), b.column(len(names)).to_pylist(), strict=True)):
+                if state is None or state[0] != q:
+                    state = (q, 0, 0)
+                _, spent, n = state
+                if n < k and (not n or spent + c <= budget):
+                    keep[i], state = True, (q, spent + c, n + 1)
+            yield b.select(names).filter(pa.array(keep))
+
+    return priced.mapInArrow(pruned, priced.schema).repartition("qid").sortWithinPartitions("qid", "rank").mapInArrow(fold, hits.schema)
+
+
+def hopeful(qid: list, rank: list[int], cost: list[int], k: int, budget: int) -> list[bool]:
+    """Of some hits of each query, in any order, whether they may be among those that packing keeps of all its hits.
+
+    The sum kept only grows, so after a hit that is not kept no later one that costs as much is. A hit is kept only if all those
+    before it that cost as much or less are: so with them it is one of k at most, and within the budget. The first always stays.
+    """
+    keep, state = [False] * len(qid), {}
+    for i in sorted(range(len(qid)), key=rank.__getitem__):
+        c, seen = cost[i], state.get(qid[i])
+        if seen is None:
+            keep[i], state[qid[i]] = True, [float("inf"), [c]]  # costs from which none is kept; lesser costs of hits that may be
+        elif c < seen[0]:
+            at = bisect.bisect_right(seen[1], c)
+            if at < k and sum(seen[1][:at]) + c <= budget:
+                keep[i] = True
+                seen[1].insert(at, c)
+            else:
+                seen[0] = c
+                del seen[1][bisect.bisect_left(seen[1], c) :]
+    return keep
