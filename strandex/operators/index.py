@@ -9,22 +9,32 @@ from pyspark.sql import functions as F
 
 from ..functions import fixedpoint as fx
 from ..functions import tokenize as tk
-from ..storage import materialised
+from ..storage import materialised, tasks
 
 FIELDS = ("title", "tags", "body")
 WEIGHTS = (2, 2, 1)
 META = ("id", "mtype", "title", "tags", "created", "links", "harness", "core", "rationale", "scope", "confidence", "last_used", "path")
 
 
+#: Bytes of text whose words one task counts, and postings that one task sorts: with the input, tasks grow in number and not in size.
+COUNTED, SORTED = 8 << 20, 1_000_000
+
+
 def postings(memories: DataFrame) -> DataFrame:
     """(id, term, tf_title, tf_tags, tf_body). One shuffle, of the documents by id: words, then terms, are summed where they are."""
+    size = memories.agg(F.sum(F.octet_length("body"))).first()[0] or 0
     texts = F.array(*(F.struct(F.lit(i).alias("f"), t.alias("t")) for i, t in enumerate((F.col("title"), F.array_join("tags", " "), F.col("body")))))
-    rows = memories.select("id", "title", "tags", "body").repartition("id").select("id", F.explode(texts).alias("x")).select("id", "x.f", F.explode(tk.words(F.col("x.t"))).alias("w"))
+    rows = memories.select("id", "title", "tags", "body").repartition(tasks(memories, size, COUNTED), "id").select("id", F.explode(texts).alias("x")).select("id", "x.f", F.explode(F.split("x.t", tk.SPLIT)).alias("w")).where("w != ''")
     words = rows.groupBy("id", "w").agg(*(F.sum((F.col("f") == i).cast("long")).alias(f"tf_{n}") for i, n in enumerate(FIELDS)))
     terms = words.select("id", F.explode(tk.word_terms(F.col("w"))).alias("term"), *(f"tf_{n}" for n in FIELDS)).where(~tk.is_stopword(F.col("term")))
     return terms.groupBy("id", "term").agg(*(F.sum(f"tf_{n}").alias(f"tf_{n}") for n in FIELDS))
 
 
+def in_order(post: DataFrame) -> DataFrame:
+    """Postings, which must be a table already, ordered by term over tasks of bounded size. A frequent term's are dealt out by id."""
+    return post.repartitionByRange(tasks(post, post.count(), SORTED), "term", "id").sortWithinPartitions("term", "id")
+
+
 def document_frequencies(post: DataFrame) -> DataFrame:
     return post.groupBy("term").agg(F.count("*").alias("df"))
 
@@ -89,8 +99,9 @@ class Index:
         """Computed once and kept as Parquet: as the first version below `path`, or in the shared folder. Postings are ordered by term, so that a query's terms prune row groups."""
         at = f"{path}/v1"
         keep = (lambda df, name: _written(df, f"{at}/{name}")) if path else materialised
-        post = keep(postings(memories).repartitionByRange("term").sortWithinPartitions("term", "id"), "postings")
-        lengths = field_lengths(memories, post)
+        counted = materialised(postings(memories), "counted")
+        post = keep(in_order(counted), "postings")
+        lengths = field_lengths(memories, counted)
         named = memories.columns
         text = hashed_text()
         meta = memories.select(*(c if c in named else F.lit(None).cast(_KINDS.get(c, "string")).alias(c) for c in META), fx.fnv1a64_hex(text).alias("content_hash"))
@@ -170,7 +181,7 @@ def refresh(index: Index, memories: DataFrame) -> Index:
     post = index.postings.join(stale, "id", "left_anti").unionByName(part.postings)
     if not index.path:
         return Index(docs, post, df, stats)
-    keep(post.repartitionByRange("term").sortWithinPartitions("term", "id") if whole else part.postings, "postings")
+    keep(in_order(post) if whole else part.postings, "postings")
     keep(stale, "gone")
     _signed(spark, at, index.version + 1 if whole else index.since)
     return Index.load(spark, index.path)

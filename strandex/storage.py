@@ -31,6 +31,11 @@ def materialised(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def tasks(df: DataFrame, size: int, each: int) -> int:
+    """So many that none gets more than `each` of `size` on average, and all cores have some."""
+    return max(-(-size // each), df.sparkSession.sparkContext.defaultParallelism)
+
+
 def _remove(spark: SparkSession, path: str) -> None:
     with contextlib.suppress(Exception):  # the session may be over
         at = spark._jvm.org.apache.hadoop.fs.Path(path)
