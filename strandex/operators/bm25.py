@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixedpoint as fx
 from ..functions import tokenize as tk
+from ..storage import tasks
 from .index import FIELDS, WEIGHTS, Index
 
 # Fixed values, in micro-units: k1, b and what follows from them.
@@ -37,14 +38,24 @@ def norms(index: Index) -> DataFrame:
     return rows.select("id", F.when(F.col("all") == 0, F.lit(fx.SCALE).cast("long")).otherwise(fx.SCALE - B + fx.mul_div_round(F.lit(B).cast("long"), F.col("own") * F.col("n_docs"), F.col("all"))).alias("norm"))
 
 
+#: Pairs of query and document whose scores one task sums.
+PAIRS = 1_000_000
+
+
 def contributions(index: Index, queries: DataFrame) -> DataFrame:
-    """(qid, id, term, tf_*, df, idf_micros, contribution_micros) of every match."""
+    """(qid, id, term, tf_*, df, idf_micros, contribution_micros) of every match.
+
+    The postings of the asked terms are dealt out by id before they meet the queries: each is weighed once, however many ask for it,
+    and a task has all pairs of its documents. Tasks grow in number with documents and queries.
+    """
     terms = query_terms(queries)
     weighed = idf(index.stats, index.df.join(small(terms.select("term").distinct()), "term"))
-    rows = index.postings.join(small(terms.join(weighed, "term")), "term").join(norms(index), "id")
+    n = tasks(index.docs, index.docs.count() * queries.count(), PAIRS)
+    rows = index.postings.join(small(weighed), "term").repartition(n, "id").join(norms(index).repartition(n, "id"), "id")
     tf = sum((F.col(f"tf_{n}") * w for n, w in zip(FIELDS, WEIGHTS, strict=True)), F.lit(0).cast("long"))
     below = tf * fx.SCALE + fx.mul_div_round(F.lit(K1).cast("long"), F.col("norm"), F.lit(fx.SCALE).cast("long"))
-    return rows.select("qid", "id", "term", *(f"tf_{n}" for n in FIELDS), "df", "idf_micros", fx.mul_div_round(F.col("idf_micros"), tf * (K1 + fx.SCALE), below).alias("contribution_micros"))
+    rows = rows.select("id", "term", *(f"tf_{n}" for n in FIELDS), "df", "idf_micros", fx.mul_div_round(F.col("idf_micros"), tf * (K1 + fx.SCALE), below).alias("contribution_micros"))
+    return rows.join(small(terms), "term").select("qid", "id", "term", *(f"tf_{n}" for n in FIELDS), "df", "idf_micros", "contribution_micros")
 
 
 def scores(index: Index, queries: DataFrame, explain: bool = False) -> DataFrame:

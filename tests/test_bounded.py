@@ -5,7 +5,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from strandex.operators import index
+from strandex.operators import bm25, index
 from strandex.plans import catalog
 from strandex.plans import tables as t
 
@@ -37,3 +37,14 @@ def test_one_frequent_term_is_dealt_out(spark, monkeypatch):
     rows = spark.range(4000).select(F.format_string("%05d", "id").alias("id"), F.lit("de").alias("term"))
     monkeypatch.setattr(index, "SORTED", 200)
     assert max(r["count"] for r in index.in_order(catalog.materialised(rows, "test")).groupBy(F.spark_partition_id()).count().collect()) < 1000
+
+
+def test_scores_in_tasks_of_bounded_size(spark, monkeypatch):
+    """A document's pairs are in one task, and no task has many."""
+    ix, asked = t.index(spark, FOLDER), t.passages(spark, FOLDER)
+    want = bm25.scores(ix, asked).collect()
+    monkeypatch.setattr(bm25, "PAIRS", max(1, len(want) // 40))
+    got = bm25.scores(ix, asked)
+    dealt = got.withColumn("p", F.spark_partition_id()).groupBy("p").agg(F.count("*").alias("n")).collect()
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want)) and want
+    assert len(dealt) > 20 and max(r.n for r in dealt) < len(want) / 5
