@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 
 from ..functions import fixedpoint as fx
 from ..functions.fixedpoint import SCALE
-from ..storage import materialised
-from .bm25 import SMALL
+from ..storage import materialised, tasks
+from .bm25 import SMALL, small
 
 _LEAST = np.iinfo(np.int64).min
 
@@ -23,6 +23,24 @@ def ranked(hits: DataFrame, score: str = "score_micros") -> DataFrame:
     return hits.withColumn("rank", F.row_number().over(W.partitionBy("qid").orderBy(F.desc(score), "id")).cast("long"))
 
 
+#: Hits that one task puts in order.
+ORDERED = 1_000_000
+
+
+def placed(hits: DataFrame, score: str = "score_micros") -> DataFrame:
+    """ranked(), where all ranks are needed: no task gets all hits of a query.
+
+    Hits are cut into ranges of their order, counted by range and query, and numbered within each from where those before end.
+    """
+    hits = materialised(hits, "unordered")
+    n, columns = tasks(hits, hits.count(), ORDERED), hits.columns
+    cut = materialised(hits.repartitionByRange(n, F.col("qid"), F.desc(score), F.col("id")).withColumn("__range", F.spark_partition_id()), "ranges")
+    before = F.coalesce(F.sum("__n").over(W.partitionBy("qid").orderBy("__range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0).cast("long"))
+    start = cut.groupBy("qid", "__range").agg(F.count("*").alias("__n")).select("qid", "__range", before.alias("__before"))
+    within = F.row_number().over(W.partitionBy("qid", "__range").orderBy(F.desc(score), "id"))
+    return cut.withColumn("__within", within).join(small(start), ["qid", "__range"]).select(*columns, (F.col("__before") + F.col("__within")).alias("rank"))
+
+
 def with_decay(hits: DataFrame, now: int, half_life: int = fx.HALF_LIFE, weight: int = fx.DECAY_WEIGHT) -> DataFrame:
     """Scores less the penalty of decayed confidence; hits carry confidence, last_used and created."""
     c = fx.decayed(F.coalesce("confidence", F.lit(fx.FULL).cast("long")), F.coalesce("last_used", "created"), F.lit(now).cast("long"), F.lit(half_life).cast("long"))

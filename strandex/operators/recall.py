@@ -14,9 +14,9 @@ from pyspark.sql import functions as F
 from ..functions import fixedpoint as fx
 from ..functions import text as tx
 from ..functions import tokenize as tk
-from ..storage import materialised
+from ..storage import materialised, tasks
 from . import bm25, embed, graph, rank
-from .index import Index
+from .index import SORTED, Index
 
 # The cosine from which a document is a hit by similarity alone, and the share of the cosine added to a score.
 SEMANTIC_FLOOR, BETA = 350_000, fx.SCALE // 2
@@ -58,8 +58,13 @@ def passes(o: Options) -> Column:
 
 
 def terms_of(hits: DataFrame, postings: DataFrame) -> DataFrame:
-    """(id, terms) of the documents among hits: postings of others leave before any are gathered."""
-    return postings.join(bm25.small(hits.select("id").distinct()), "id", "left_semi").groupBy("id").agg(F.collect_list("term").alias("terms"))
+    """(id, terms) of the documents among hits: postings of others leave before any are gathered, in tasks of bounded size."""
+    ids = materialised(hits.select("id").distinct(), "ids")
+    count = ids.count()
+    few, n = count <= bm25.SMALL, tasks(postings, min(postings.count(), 512 * count), SORTED)
+    held = postings.select("id", "term")
+    held = held.join(F.broadcast(ids), "id", "left_semi").repartition(n, "id") if few else held.repartition(n, "id").join(ids.repartition(n, "id"), "id", "left_semi")
+    return held.groupBy("id").agg(F.collect_list("term").alias("terms"))
 
 
 def shared_subtokens(hits: DataFrame, queries: DataFrame, postings: DataFrame) -> DataFrame:
@@ -118,7 +123,7 @@ def recall(index: Index, queries: DataFrame, options: Options | None = None) ->
     hits = candidates(index, queries, o).join(index.docs.select("id", "mtype", "title", "created", "path", "rationale", "harness", "core", "confidence", "last_used"), "id")
     if o.decay and o.decay_weight > 0 and o.now is not None:
         hits = rank.with_decay(hits, o.now, o.half_life, o.decay_weight)
-    hits = rank.ranked(hits)
+    hits = rank.placed(hits) if o.diverse or o.budget is not None else rank.ranked(hits)
     if o.diverse:
         hits = diverse(materialised(hits, "ranked"), index, o)
     hits = materialised(rank.packed(hits, o.k, o.budget, card_cost()), "packed")

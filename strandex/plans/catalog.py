@@ -226,14 +226,14 @@ _MMR = f"""sets as materialized (select qid, id, rank, score_micros * 1000000 //
 def mmr_order(spark, sf_dir):
     """The first hits of a question by maximal marginal relevance, of all its hits."""
     ix = t.index(spark, sf_dir)
-    hits = materialised(rank.ranked(bm25.scores(ix, t.questions(spark))), "hits")
+    hits = materialised(rank.placed(bm25.scores(ix, t.questions(spark))), "hits")
     return rank.diversified(hits, rc.terms_of(hits, ix.postings), DIVERSE).select("qid", "id", "rank")
 
 
 @query(q.query("select qid, id, rank, cost from f where kept", *q.BM25, "f0 as (select qid, id, row_number() over (partition by qid order by score_micros desc, id) as rank, (len(title) + octet_length(encode(coalesce(rationale, ''))) + octet_length(encode(id))) // 4 + 8 as cost from scored join mem using (id))",
     "fold as (select qid, 0::bigint as rank, 0::bigint as spent, 0::bigint as n, ''::varchar as id, 0::bigint as cost, false as kept from asked union all select f0.qid, f0.rank, fold.spent + case when ok then f0.cost else 0 end, fold.n + ok::bigint, f0.id, f0.cost, ok from fold join f0 on f0.qid = fold.qid and f0.rank = fold.rank + 1, lateral (select fold.n < 10 and (fold.n = 0 or fold.spent + f0.cost <= 120) as ok) where fold.n < 10)", "f as (select * from fold)").replace("with ", "with recursive ", 1))
 def budget_pack(spark, sf_dir):
-    hits = rank.ranked(bm25.scores(t.index(spark, sf_dir), t.questions(spark)).join(t.index(spark, sf_dir).docs.select("id", "title", "rationale"), "id"))
+    hits = rank.placed(bm25.scores(t.index(spark, sf_dir), t.questions(spark))).join(t.index(spark, sf_dir).docs.select("id", "title", "rationale"), "id")
     hits = hits.withColumn("cost", tx.card_cost(F.col("title"), F.col("rationale"), F.col("id")))
     return rank.packed(hits, 10, 120, F.col("cost")).select("qid", "id", "rank", "cost")
 

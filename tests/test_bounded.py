@@ -5,7 +5,8 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from strandex.operators import bm25, index
+from strandex.operators import bm25, index, rank
+from strandex.operators.recall import terms_of
 from strandex.plans import catalog
 from strandex.plans import tables as t
 
@@ -48,3 +49,22 @@ def test_scores_in_tasks_of_bounded_size(spark, monkeypatch):
     dealt = got.withColumn("p", F.spark_partition_id()).groupBy("p").agg(F.count("*").alias("n")).collect()
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want)) and want
     assert len(dealt) > 20 and max(r.n for r in dealt) < len(want) / 5
+
+
+def test_ranks_without_a_task_for_each_query(spark, monkeypatch):
+    rows = [(q, f"{i:04}", i % 7 * (q + 1)) for q in range(3) for i in range(500)]
+    hits = spark.createDataFrame(rows, "qid long, id string, score_micros long")
+    monkeypatch.setattr(rank, "ORDERED", 60)
+    placed = rank.placed(hits)
+    assert same(placed, rank.ranked(hits))
+    assert rank.placed(hits.limit(0)).count() == 0
+
+
+def test_terms_of_many_hits(spark, monkeypatch):
+    """As of few."""
+    post = t.index(spark, FOLDER).postings
+    hits = post.select("id").distinct().where(F.xxhash64("id") % 2 == 0)
+    got = lambda: {r.id: sorted(r.terms) for r in terms_of(hits, post).collect()}
+    few = got()
+    monkeypatch.setattr(bm25, "SMALL", 3)
+    assert got() == few and len(few) > 3
