@@ -1,7 +1,7 @@
 """Hashed sub-word vectors: character n-grams of a token in 1024 buckets, compared by cosine in fixed point.
 
-The vocabulary is compared with a query's tokens, not the documents: each batch of terms is set against the few query vectors,
-held as a dense matrix, so a term travels once however many documents hold it.
+Each batch of terms is set against the few query vectors, held as a dense matrix. For documents, postings are dealt out by id once,
+and a task compares the terms it comes across, each as long as it is remembered.
 """
 
 from __future__ import annotations
@@ -11,13 +11,12 @@ import math
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import fixedpoint as fx
 from ..functions import tokenize as tk
 from ..functions.fixedpoint import SCALE
-from ..storage import materialised
+from ..storage import tasks
 from .bm25 import small
 
 # Buckets, n-gram lengths, and the low ten bits of FNV-1a's basis and prime.
@@ -65,6 +64,21 @@ def cosine(dot: int, a: int, b: int) -> int:
     return 0 if dot <= 0 or not a or not b else min(SCALE, math.isqrt(dot * dot * 10**12 // (a * b)))
 
 
+def cosines(terms: list[str], q: np.ndarray) -> np.ndarray:
+    """Of terms (rows) and the vectors q of tokens (columns)."""
+    v = vectors(terms)
+    dot = v.astype(np.float64) @ q.T.astype(np.float64)  # counts are small: products are exact
+    own, norm, out = (v * v).sum(1), (q * q).sum(1), np.zeros(dot.shape, np.int64)
+    term, token = np.nonzero(dot)
+    d, a, b = dot[term, token].astype(np.int64), own[term], norm[token]
+    if (d < 3000).all():
+        c = np.minimum(np.floor(np.sqrt((d**2 * 10**12 // (a * b)).astype(np.float64))).astype(np.int64), SCALE)
+    else:
+        c = np.array([cosine(int(x), int(y), int(z)) for x, y, z in zip(d, a, b, strict=True)], np.int64)
+    out[term, token] = c
+    return out
+
+
 def term_cosines(vocabulary: DataFrame, tokens: list[str], least: int = 1, below: int = SCALE + 1) -> DataFrame:
     """(token, term, cosine) of the given tokens and all terms of the vocabulary, where the cosine is `least` or more, and under `below`.
 
@@ -100,43 +114,90 @@ def term_cosines(vocabulary: DataFrame, tokens: list[str], least: int = 1, below
     return out
 
 
-#: Cosines from which pairs are written for all terms; for most tokens nearly every document has a term that reaches it.
+#: Cosines from which pairs count as near.
 REACH = 150_000
+#: Postings that one task gets, those compared at a time, and cosines that it keeps of terms seen before.
+DEALT, COMPARED, REMEMBERED = 1_000_000, 1 << 15, 1 << 22
+
+
+def nearest(postings: DataFrame, tokens: list[str]) -> DataFrame:
+    """(id, token, best): the largest cosine of each token to any term of each document, above 0.
+
+    Postings are dealt out by id, once; a task compares its own terms with the tokens, each as it comes up, and keeps the largest
+    cosine of a document. So no pair of posting and token is ever written.
+    """
+    held = postings.select("id", "term")
+    held = held.repartition(tasks(held, held.count(), DEALT), "id").sortWithinPartitions("id")
+    out = None
+    for i in range(0, len(tokens), BLOCK):
+        block = tokens[i : i + BLOCK]
+        part = held.mapInArrow(lambda batches, block=block: _best(batches, block), "id string, token string, best long")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def _best(batches, block: list[str]):
+    """Batches of (id, term), sorted by id -> of (id, token, best)."""
+    q = vectors(block)
+    seen: dict[str, int] = {}  # term -> row of known
+    known = np.zeros((0, len(block)), np.int64)
+    room = max(COMPARED, REMEMBERED // len(block))
+
+    def rows(terms: list[str]) -> np.ndarray:
+        nonlocal known
+        if len(seen) > room:
+            seen.clear()
+            known = known[:0]
+        new = [x for x in dict.fromkeys(terms) if x not in seen]
+        if new:
+            seen.update(zip(new, range(len(known), len(known) + len(new)), strict=True))
+            known = np.concatenate([known, *(cosines(new[i : i + 2048], q) for i in range(0, len(new), 2048))])
+        return np.fromiter(map(seen.__getitem__, terms), np.int64, len(terms))
+
+    def out(ids: list, best: np.ndarray):
+        doc, token = np.nonzero(best)
+        return pa.RecordBatch.from_arrays([pa.array([ids[i] for i in doc], pa.string()), pa.array([block[k] for k in token], pa.string()), pa.array(best[doc, token])], names=["id", "token", "best"])
+
+    last, best = None, None  # the document that may go on in the next slice
+    for b in batches:
+        for lo in range(0, b.num_rows, COMPARED):
+            ids, terms = (b.column(k).slice(lo, COMPARED).to_pylist() for k in (0, 1))
+            first = [0, *(i for i in range(1, len(ids)) if ids[i] != ids[i - 1])]
+            at = rows(terms)
+            # in steps, so that the matrix of postings and tokens stays small
+            step = max(1, REMEMBERED // len(block))
+            most, start = np.zeros((len(first), len(block)), np.int64), np.array(first)
+            for k in range(0, len(at), step):
+                a, z = np.searchsorted(start, k, "right") - 1, np.searchsorted(start, k + step)
+                most[a:z] = np.maximum(most[a:z], np.maximum.reduceat(known[at[k : k + step]], np.maximum(start[a:z] - k, 0)))
+            names = [ids[i] for i in first]
+            if last is not None:
+                if names[0] == last:
+                    most[0] = np.maximum(most[0], best)
+                else:
+                    yield out([last], best[None, :])
+            last, best = names[-1], most[-1].copy()
+            if len(names) > 1:
+                yield out(names[:-1], most[:-1])
+    if last is not None:
+        yield out([last], best[None, :])
 
 
 def similarities(postings: DataFrame, vocabulary: DataFrame, queries: DataFrame, hits: DataFrame | None = None, floor: int = 0) -> DataFrame:
     """(qid, id, sim): the average, over a query's tokens with repeats, of the best cosine to any term of the document; above 0.
 
-    With hits (qid, id): only of these, and of what reaches `floor`. An average reaches it only where some cosine does. Then cosines
-    of REACH or more are enough for all tokens to which a document has a term so near: the best of these is the best of all. Only for
-    what is left, (document, token) without any, the smaller cosines of those documents' terms to those tokens are looked at; a document
-    that is no hit, and can't reach the floor with REACH for each of these, isn't.
+    With hits (qid, id): only of these, and of what reaches `floor`.
     """
     tokens = queries.select("qid", F.explode(tk.tokenize(F.col("text"))).alias("token")).groupBy("qid", "token").agg(F.count("*").alias("times"))
     distinct = sorted(r.token for r in tokens.select("token").distinct().collect())  # a query's own words
     if not distinct:
         return postings.select(F.lit(0).cast("long").alias("qid"), "id", F.lit(0).cast("long").alias("sim")).limit(0)
-    postings = postings.select("id", "term")
     asked = small(tokens.join(tokens.groupBy("qid").agg(F.sum("times").alias("n")), "qid"))
+    rows = nearest(postings, distinct).join(asked, "token")
     if hits is None:
-        best = postings.join(term_cosines(vocabulary, distinct), "term").groupBy("id", "token").agg(F.max("cosine").alias("best"))
-        return _averages(best.join(asked, "token").withColumn("least", F.lit(1)))
-    reach = min(REACH, floor) or 1
-    cosines = materialised(term_cosines(vocabulary, distinct, reach), "cosines")
-    best = materialised(postings.join(small(cosines), "term").groupBy("id", "token").agg(F.max("cosine").alias("best")), "best")
-    near = best.where(F.col("best") >= floor).join(asked, "token").select("qid", "id").distinct()
-    wanted = hits.select("qid", "id", F.lit(True).alias("hit")).unionByName(near.join(hits, ["qid", "id"], "left_anti").withColumn("hit", F.lit(False)))
-    rows = wanted.join(asked, "qid").join(best, ["id", "token"], "left")
-    most = F.sum(F.coalesce("best", F.lit(reach - 1)) * F.col("times")).over(W.partitionBy("qid", "id"))
-    rows = materialised(rows.withColumn("most", most).where(F.col("hit") | (fx.div("most", "n") >= floor)).select("qid", "id", "token", "times", "n", "best", "hit"), "bounds")
-    open_ = materialised(rows.where("best is null").select("id", "token").distinct(), "open")
-    lacking = [r.token for r in open_.select("token").distinct().orderBy("token").collect()]
-    if lacking:
-        held = materialised(postings.join(small(open_.select("id").distinct()), "id", "left_semi"), "held")
-        low = materialised(term_cosines(held.select("term").distinct(), lacking, 1, reach), "cosines")
-        rest = held.join(small(low), "term").groupBy("id", "token").agg(F.max("cosine").alias("low"))
-        rows = rows.join(rest, ["id", "token"], "left").withColumn("best", F.coalesce("best", "low"))
-    return _averages(rows.withColumn("least", F.when(F.col("hit"), 1).otherwise(floor)))
+        return _averages(rows.withColumn("least", F.lit(1)))
+    sims = _averages(rows.withColumn("least", F.lit(1))).join(hits.select("qid", "id", F.lit(True).alias("hit")), ["qid", "id"], "left")
+    return sims.where(F.col("hit") | (F.col("sim") >= floor)).drop("hit")
 
 
 def _averages(rows: DataFrame) -> DataFrame:

@@ -2,10 +2,11 @@
 
 import os
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from strandex.operators import bm25, index, rank
+from strandex.operators import bm25, embed, index, rank
 from strandex.operators.recall import terms_of
 from strandex.plans import catalog
 from strandex.plans import tables as t
@@ -68,3 +69,36 @@ def test_terms_of_many_hits(spark, monkeypatch):
     few = got()
     monkeypatch.setattr(bm25, "SMALL", 3)
     assert got() == few and len(few) > 3
+
+
+def test_nearest_terms_write_no_pairs(spark, monkeypatch):
+    """The best cosines of documents are those among all pairs, from slices that cut documents, and few rows are shuffled for them."""
+    ix = t.index(spark, FOLDER)
+    tokens = sorted({w for r in t.questions(spark).select(catalog.tk.tokenize(F.col("text")).alias("x")).collect() for w in r.x})
+    want = {(r.id, r.token): r.best for r in ix.postings.join(embed.term_cosines(ix.vocabulary(), tokens), "term").groupBy("id", "token").agg(F.max("cosine").alias("best")).collect()}
+    got = embed.nearest(ix.postings, tokens)
+    assert {(r.id, r.token): r.best for r in got.collect()} == want and want
+    rows = [(f"{i // 40:03}", r.term) for i, r in enumerate(ix.vocabulary().orderBy("term").limit(400).collect())]
+    monkeypatch.setattr(embed, "COMPARED", 7)
+    monkeypatch.setattr(embed, "REMEMBERED", 30)
+    table = [pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows[i : i + 25])], names=["id", "term"]) for i in range(0, 400, 25)]
+    some = {}
+    for b in embed._best(table, tokens):
+        for i, token, best in zip(*(c.to_pylist() for c in b.columns)):
+            assert (i, token) not in some
+            some[i, token] = best
+    plain = {}
+    c = embed.cosines([x for _, x in rows], embed.vectors(tokens))
+    for (i, _), near in zip(rows, c):
+        for token, best in zip(tokens, near):
+            if best:
+                plain[i, token] = max(plain.get((i, token), 0), best)
+    assert some == plain
+
+
+def test_similarities_shuffle_postings_only(spark):
+    """No join of postings with cosines, which made a row for each pair of posting and token."""
+    ix = t.index(spark, FOLDER)
+    df = embed.similarities(ix.postings, ix.vocabulary(), t.questions(spark))
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert "cosine#" not in plan and plan.count("MapInArrow") == 1
