@@ -3,8 +3,8 @@
 Every document gets rule statistics as they are, without limits of their own: mean word length, shares of symbols, of repeated
 words, of capitals and of other signs, how its distinct words grow with its words, and the share of words that begin with a
 letter. Random splits over a bounded sample of statistics isolate unusual rows on short paths; the path length over all trees is
-the anomaly score, and the threshold comes from labelled rows: the one that catches most low-quality rows among those that
-reject at most `max_false` of the good ones.
+the anomaly score, and the threshold comes from all labelled rows: the one that catches most low-quality rows among those that
+reject at most `max_false` of the good ones. That trees draw few rows (256 each) is the method: grown on all rows they tell less.
 
 Defined cases: a null text counts as an empty one (zero words, base_failed); repeated rows get a row each; a null doc_id is
 returned as it is; without labels of both kinds nothing beyond the base rule is rejected; extra columns are ignored.
@@ -127,13 +127,28 @@ class Forest:
         return 2.0 ** (-total / max(len(self.trees), 1) / self.norm) if self.trees else np.zeros(len(x))
 
 
-def threshold(scores: np.ndarray, good: np.ndarray, max_false: float) -> float:
-    """Just above the score that at most max_false of the good rows exceed; infinite without rows of both kinds."""
-    if not good.any() or good.all():
+#: Bins of a range of scores that are counted at a time.
+BINS = 4096
+
+
+def threshold(known: DataFrame, max_false: float) -> float:
+    """known (anomaly, good) -> just above the score that at most max_false of the good rows exceed; infinite without rows of both kinds.
+
+    Exact, from all rows: the good ones are counted in bins, then in bins of the bin that holds that score, until it is one value.
+    """
+    n, clean, low, high = known.agg(F.count("*"), F.count_if("good"), F.min(F.when(F.col("good"), F.col("anomaly"))), F.max(F.when(F.col("good"), F.col("anomaly")))).first()
+    if not clean or clean == n:
         return float("inf")
-    clean = np.sort(scores[good])[::-1]
-    cut = clean[int(max_false * len(clean))]
-    return float(np.nextafter(cut, 2))
+    above = int(max_false * clean)  # good rows over the score, and beside it in its bin
+    while low < high:
+        place = F.least(F.floor((F.col("anomaly") - low) / (high - low) * BINS), F.lit(BINS - 1))
+        inside = known.where(F.col("good") & F.col("anomaly").between(low, high))
+        for r in inside.groupBy(place.alias("bin")).agg(F.count("*").alias("n"), F.min("anomaly").alias("low"), F.max("anomaly").alias("high")).orderBy(F.desc("bin")).collect():
+            if above < r.n:
+                low, high = r.low, r.high
+                break
+            above -= r.n
+    return float(np.nextafter(low, 2))
 
 
 def _one_each(rows: DataFrame, *more) -> DataFrame:
@@ -144,28 +159,28 @@ def _one_each(rows: DataFrame, *more) -> DataFrame:
 def quality_rules(docs: DataFrame, labels: DataFrame, sample: int = 20_000, max_false: float = 0.005) -> DataFrame:
     """docs (doc_id, text), labels (doc_id, quality) -> the base counts, base_failed, anomaly (0 to 1) and kept.
 
-    sample bounds both the rows that the forest is grown on and the labelled rows for the threshold, one for each id.
+    sample bounds the rows that the trees draw theirs from, one for each id; the threshold is that of all labelled rows.
     """
     stats = common.saved(statistics(docs), "rules", common.SCAN)
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     passed = stats.where(~failed)
     n = passed.agg(F.count("*")).first()[0]
     grown = np.array([r.f for r in _one_each(passed.where(common.hash_share("doc_id", sample / max(n, 1)))).orderBy(F.xxhash64("doc_id"), "f").select("f").collect()], float).reshape(-1, FEATURES)
-    lab = labels.where(F.col("quality").isNotNull())
-    m = lab.agg(F.count("*")).first()[0]
-    chosen = lab.where(common.hash_share("doc_id", sample / max(m, 1))).groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    known = _one_each(passed.join(F.broadcast(chosen), "doc_id"), F.min("quality").alias("quality")).select("f", "quality").collect()
     forest = Forest(grown)
-    cut = threshold(forest.score(np.array([r.f for r in known], float).reshape(-1, FEATURES)), np.array([r.quality == 1 for r in known], bool), max_false)
 
     def run(batches):
         for b in batches:
             x = np.array(b.column(b.num_columns - 1).to_pylist(), float).reshape(-1, FEATURES)
-            s = forest.score(x)
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(s), pa.array(s < cut)], names=[*b.schema.names[:-1], "anomaly", "normal"])
-
-    out = stats.mapInArrow(run, STATS.replace(", f array<float>", ", anomaly double, normal boolean"))
-    return out.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & F.col("normal")).drop("normal")
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(forest.score(x))], names=[*b.schema.names[:-1], "anomaly"])
+
+    base = [c for c in stats.columns if c != "f"]
+    scored = stats.select(*base, F.xxhash64("f").alias("h"), "f").mapInArrow(run, STATS.replace(", f array<float>", ", h long, anomaly double"))
+    scored = common.saved(scored, "scored", common.SCAN)
+    quality = labels.where(F.col("quality").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("quality"))
+    # an id counts with one row, that of the smallest hash
+    known = scored.where(~failed).groupBy("doc_id").agg(F.min(F.struct("h", "anomaly")).alias("row")).join(quality, "doc_id")
+    cut = threshold(common.saved(known.select("row.anomaly", (F.col("quality") == 1).alias("good")), "known"), max_false)
+    return scored.drop("h").withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & (F.col("anomaly") < cut))
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
