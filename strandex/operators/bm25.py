@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixedpoint as fx
@@ -42,6 +44,16 @@ def norms(index: Index) -> DataFrame:
 PAIRS = 1_000_000
 
 
+#: Asked terms up to which they are named in the filter on postings, so that pages without them are not read.
+NAMED = 100
+
+
+def of_terms(df: DataFrame, terms: DataFrame) -> DataFrame:
+    """Rows whose term is among the terms, if these are few; all rows otherwise, for a join to choose from."""
+    few = [r.term for r in terms.select("term").distinct().limit(NAMED + 1).collect()]
+    return df if len(few) > NAMED else df.where(reduce(Column.__or__, (F.col("term") == x for x in few), F.lit(False)))
+
+
 def contributions(index: Index, queries: DataFrame) -> DataFrame:
     """(qid, id, term, tf_*, df, idf_micros, contribution_micros) of every match.
 
@@ -49,9 +61,9 @@ def contributions(index: Index, queries: DataFrame) -> DataFrame:
     and a task has all pairs of its documents. Tasks grow in number with documents and queries.
     """
     terms = query_terms(queries)
-    weighed = idf(index.stats, index.df.join(small(terms.select("term").distinct()), "term"))
+    weighed = idf(index.stats, of_terms(index.df, terms).join(small(terms.select("term").distinct()), "term"))
     n = tasks(index.docs, index.docs.count() * queries.count(), PAIRS)
-    rows = index.postings.join(small(weighed), "term").repartition(n, "id").join(norms(index).repartition(n, "id"), "id")
+    rows = of_terms(index.postings, terms).join(small(weighed), "term").repartition(n, "id").join(norms(index).repartition(n, "id"), "id")
     tf = sum((F.col(f"tf_{n}") * w for n, w in zip(FIELDS, WEIGHTS, strict=True)), F.lit(0).cast("long"))
     below = tf * fx.SCALE + fx.mul_div_round(F.lit(K1).cast("long"), F.col("norm"), F.lit(fx.SCALE).cast("long"))
     rows = rows.select("id", "term", *(f"tf_{n}" for n in FIELDS), "df", "idf_micros", fx.mul_div_round(F.col("idf_micros"), tf * (K1 + fx.SCALE), below).alias("contribution_micros"))

@@ -1,7 +1,7 @@
 """Hashed sub-word vectors: character n-grams of a token in 1024 buckets, compared by cosine in fixed point.
 
-Each batch of terms is set against the few query vectors, held as a dense matrix. For documents, postings are dealt out by id once,
-and a task compares the terms it comes across, each as long as it is remembered.
+Each batch of terms is set against the few query vectors, held as a dense matrix. For documents, a task compares the distinct terms of
+some at a time.
 """
 
 from __future__ import annotations
@@ -10,6 +10,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -116,18 +117,86 @@ def term_cosines(vocabulary: DataFrame, tokens: list[str], least: int = 1, below
 
 #: Cosines from which pairs count as near.
 REACH = 150_000
-#: Postings that one task gets, those compared at a time, and cosines that it keeps of terms seen before.
-DEALT, COMPARED, REMEMBERED = 1_000_000, 1 << 15, 1 << 22
+#: Postings that one task gets, those compared at a time, and cosines that are held at a time.
+DEALT, COMPARED, REMEMBERED = 1_000_000, 1 << 19, 1 << 23
+#: Terms whose vectors are held at a time.
+HELD = 1024
+
+
+def arrow_buckets(terms: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
+    """token_buckets() of an Arrow array, without a Python string for any term or n-gram."""
+    n = len(terms)
+    ends = np.frombuffer(terms.buffers()[1], np.int32)[terms.offset : terms.offset + n + 1].astype(np.int64)
+    raw = np.frombuffer(terms.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]]
+    ends -= ends[0]
+    size = np.diff(ends)
+    start = ends[:-1] + 2 * np.arange(n)
+    buf = np.full(len(raw) + 2 * n, ord("<"), np.int32)
+    buf[np.arange(len(raw)) + np.repeat(2 * np.arange(n) + 1, size)] = raw
+    buf[start + size + 1] = ord(">")
+    at = np.flatnonzero((buf & 0xC0) != 0x80)  # the first bytes of characters
+    owner = np.searchsorted(start, at, "right") - 1
+    last = np.cumsum(np.bincount(owner, minlength=n))[owner]
+    upto = np.append(at, len(buf))
+    wide, widest = np.diff(upto), int(np.diff(upto).max(initial=0))
+    out, h = [], np.full(len(at), BASIS, np.int32)
+    k = np.arange(len(at))
+    for c in range(LONGEST):
+        live = k + c < last
+        k, last, h = k[live], last[live], h[live]
+        for p in range(widest):
+            if p == 0:
+                h = ((h ^ buf[at[k + c]]) * PRIME) & (BUCKETS - 1)
+            else:
+                more = np.flatnonzero(wide[k + c] > p)
+                h[more] = ((h[more] ^ buf[at[k[more] + c] + p]) * PRIME) & (BUCKETS - 1)
+        if c + 1 >= SHORTEST:
+            out.append((owner[k], h))
+    order = np.argsort(-size, kind="stable")
+    falling, first = size[order], ends[:-1][order]
+    whole = np.full(n, ((BASIS ^ ord("=")) * PRIME) & (BUCKETS - 1), np.int32)
+    for p in range(int(falling[0]) if n else 0):
+        m = int(np.searchsorted(-falling, -p))
+        whole[:m] = ((whole[:m] ^ raw[first[:m] + p]) * PRIME) & (BUCKETS - 1)
+    some = falling > 0
+    out.append((order[some], whole[some]))
+    return np.concatenate([x for x, _ in out]), np.concatenate([x for _, x in out])
+
+
+def arrow_cosines(terms: pa.StringArray, q: np.ndarray) -> np.ndarray:
+    """cosines() of an Arrow array."""
+    out, norm, across = np.zeros((len(terms), len(q)), np.int32), (q * q).sum(1), np.ascontiguousarray(q.T.astype(np.float64))
+    v = np.zeros((HELD, BUCKETS))
+    cells = v.reshape(-1)
+    for lo in range(0, len(terms), HELD):
+        part = terms.slice(lo, HELD)
+        place, bucket = arrow_buckets(part)
+        key, count = np.unique(place * BUCKETS + bucket, return_counts=True)
+        cells[key] = count
+        dot = v[: len(part)] @ across  # counts are small: products are exact
+        cells[key] = 0
+        own = np.bincount(key // BUCKETS, count * count, len(part)).astype(np.int64)
+        term, token = np.nonzero(dot)
+        d, a, b = dot[term, token].astype(np.int64), own[term], norm[token]
+        if (d < 3000).all():
+            c = np.minimum(np.floor(np.sqrt((d**2 * 10**12 // (a * b)).astype(np.float64))), SCALE)
+        else:
+            c = [cosine(int(x), int(y), int(z)) for x, y, z in zip(d, a, b, strict=True)]
+        out[lo + term, token] = c
+    return out
 
 
-def nearest(postings: DataFrame, tokens: list[str]) -> DataFrame:
+def nearest(postings: DataFrame, tokens: list[str], documents: DataFrame | None = None) -> DataFrame:
     """(id, token, best): the largest cosine of each token to any term of each document, above 0.
 
-    Postings are dealt out by id, once; a task compares its own terms with the tokens, each as it comes up, and keeps the largest
-    cosine of a document. So no pair of posting and token is ever written.
+    With documents (id, terms), these are read as they are. Otherwise postings are dealt out by id, once. A task compares its own terms
+    with the tokens, each once in a slice, and keeps the largest cosine of a document. So no pair of posting and token is ever written.
     """
-    held = postings.select("id", "term")
-    held = held.repartition(tasks(held, held.count(), DEALT), "id").sortWithinPartitions("id")
+    if documents is not None:
+        held = documents.select("id", "terms")
+    else:
+        held = postings.select("id", "term")
+        held = held.repartition(tasks(held, held.count(), DEALT), "id").sortWithinPartitions("id")
     out = None
     for i in range(0, len(tokens), BLOCK):
         block = tokens[i : i + BLOCK]
@@ -136,64 +205,73 @@ def nearest(postings: DataFrame, tokens: list[str]) -> DataFrame:
     return out
 
 
+def _slices(batches, room: int):
+    """Batches of (id, term) or (id, terms), sorted by id -> (ids, first, terms): slices of `room` terms, with where each id begins."""
+    ids, sizes, terms, held = [], [], [], 0
+
+    def slices():
+        size, names, flat = np.concatenate(sizes), pa.concat_arrays(ids), pa.concat_arrays(terms)
+        begin = np.cumsum(size) - size
+        for lo in range(0, len(flat), room):
+            a, z = int(np.searchsorted(begin, lo, "right")) - 1, int(np.searchsorted(begin, lo + room))
+            yield names.slice(a, z - a).to_pylist(), np.maximum(begin[a:z] - lo, 0), flat.slice(lo, room)
+
+    for b in batches:
+        if pa.types.is_list(b.schema.field(1).type):
+            size = pc.list_value_length(b.column(1)).to_numpy(zero_copy_only=False)
+            some = np.flatnonzero(size)
+            ids.append(b.column(0).take(pa.array(some)))
+            sizes.append(size[some].astype(np.int64))
+            terms.append(b.column(1).flatten())
+        elif b.num_rows:
+            code = b.column(0).dictionary_encode().indices.fill_null(-1).to_numpy()
+            first = np.flatnonzero(np.append(True, code[1:] != code[:-1]))
+            ids.append(b.column(0).take(pa.array(first)))
+            sizes.append(np.diff(np.append(first, len(code))))
+            terms.append(b.column(1))
+        held += len(terms[-1]) if terms else 0
+        if held >= room:
+            yield from slices()
+            ids, sizes, terms, held = [], [], [], 0
+    if held:
+        yield from slices()
+
+
 def _best(batches, block: list[str]):
-    """Batches of (id, term), sorted by id -> of (id, token, best)."""
-    q = vectors(block)
-    seen: dict[str, int] = {}  # term -> row of known
-    known = np.zeros((0, len(block)), np.int64)
-    room = max(COMPARED, REMEMBERED // len(block))
-
-    def rows(terms: list[str]) -> np.ndarray:
-        nonlocal known
-        if len(seen) > room:
-            seen.clear()
-            known = known[:0]
-        new = [x for x in dict.fromkeys(terms) if x not in seen]
-        if new:
-            seen.update(zip(new, range(len(known), len(known) + len(new)), strict=True))
-            known = np.concatenate([known, *(cosines(new[i : i + 2048], q) for i in range(0, len(new), 2048))])
-        return np.fromiter(map(seen.__getitem__, terms), np.int64, len(terms))
+    """Batches of (id, term) or (id, terms), sorted by id -> of (id, token, best)."""
+    q, names = vectors(block), pa.array(block, pa.string())
 
     def out(ids: list, best: np.ndarray):
         doc, token = np.nonzero(best)
-        return pa.RecordBatch.from_arrays([pa.array([ids[i] for i in doc], pa.string()), pa.array([block[k] for k in token], pa.string()), pa.array(best[doc, token])], names=["id", "token", "best"])
+        return pa.RecordBatch.from_arrays([pa.array(ids, pa.string()).take(pa.array(doc)), names.take(pa.array(token)), pa.array(best[doc, token].astype(np.int64))], names=["id", "token", "best"])
 
     last, best = None, None  # the document that may go on in the next slice
-    for b in batches:
-        for lo in range(0, b.num_rows, COMPARED):
-            ids, terms = (b.column(k).slice(lo, COMPARED).to_pylist() for k in (0, 1))
-            first = [0, *(i for i in range(1, len(ids)) if ids[i] != ids[i - 1])]
-            at = rows(terms)
-            # in steps, so that the matrix of postings and tokens stays small
-            step = max(1, REMEMBERED // len(block))
-            most, start = np.zeros((len(first), len(block)), np.int64), np.array(first)
-            for k in range(0, len(at), step):
-                a, z = np.searchsorted(start, k, "right") - 1, np.searchsorted(start, k + step)
-                most[a:z] = np.maximum(most[a:z], np.maximum.reduceat(known[at[k : k + step]], np.maximum(start[a:z] - k, 0)))
-            names = [ids[i] for i in first]
-            if last is not None:
-                if names[0] == last:
-                    most[0] = np.maximum(most[0], best)
-                else:
-                    yield out([last], best[None, :])
-            last, best = names[-1], most[-1].copy()
-            if len(names) > 1:
-                yield out(names[:-1], most[:-1])
+    for ids, first, terms in _slices(batches, min(COMPARED, max(1, REMEMBERED // len(block)))):
+        code = terms.dictionary_encode()
+        most = np.maximum.reduceat(arrow_cosines(code.dictionary, q)[code.indices.to_numpy()], first)
+        if last is not None:
+            if ids[0] == last:
+                most[0] = np.maximum(most[0], best)
+            else:
+                yield out([last], best[None, :])
+        last, best = ids[-1], most[-1].copy()
+        if len(ids) > 1:
+            yield out(ids[:-1], most[:-1])
     if last is not None:
         yield out([last], best[None, :])
 
 
-def similarities(postings: DataFrame, vocabulary: DataFrame, queries: DataFrame, hits: DataFrame | None = None, floor: int = 0) -> DataFrame:
+def similarities(postings: DataFrame, vocabulary: DataFrame, queries: DataFrame, hits: DataFrame | None = None, floor: int = 0, documents: DataFrame | None = None) -> DataFrame:
     """(qid, id, sim): the average, over a query's tokens with repeats, of the best cosine to any term of the document; above 0.
 
-    With hits (qid, id): only of these, and of what reaches `floor`.
+    With hits (qid, id): only of these, and of what reaches `floor`. documents (id, terms), if there are: the same as postings.
     """
     tokens = queries.select("qid", F.explode(tk.tokenize(F.col("text"))).alias("token")).groupBy("qid", "token").agg(F.count("*").alias("times"))
     distinct = sorted(r.token for r in tokens.select("token").distinct().collect())  # a query's own words
     if not distinct:
         return postings.select(F.lit(0).cast("long").alias("qid"), "id", F.lit(0).cast("long").alias("sim")).limit(0)
     asked = small(tokens.join(tokens.groupBy("qid").agg(F.sum("times").alias("n")), "qid"))
-    rows = nearest(postings, distinct).join(asked, "token")
+    rows = nearest(postings, distinct, documents).join(asked, "token")
     if hits is None:
         return _averages(rows.withColumn("least", F.lit(1)))
     sims = _averages(rows.withColumn("least", F.lit(1))).join(hits.select("qid", "id", F.lit(True).alias("hit")), ["qid", "id"], "left")

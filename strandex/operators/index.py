@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,14 +23,122 @@ META = ("id", "mtype", "title", "tags", "created", "links", "harness", "core", "
 COUNTED, SORTED = 8 << 20, 1_000_000
 
 
-def postings(memories: DataFrame) -> DataFrame:
-    """(id, term, tf_title, tf_tags, tf_body). One shuffle, of the documents by id: words, then terms, are summed where they are."""
+def by_document(memories: DataFrame) -> DataFrame:
+    """(id, terms, tf_title, tf_tags, tf_body, len_title, len_tags, len_body), a row for each document, in the order of ids within a task.
+
+    One shuffle, of the documents by id. A task splits each distinct word of some texts into terms once.
+    """
     size = memories.agg(F.sum(F.octet_length("body"))).first()[0] or 0
-    texts = F.array(*(F.struct(F.lit(i).alias("f"), t.alias("t")) for i, t in enumerate((F.col("title"), F.array_join("tags", " "), F.col("body")))))
-    rows = memories.select("id", "title", "tags", "body").repartition(tasks(memories, size, COUNTED), "id").select("id", F.explode(texts).alias("x")).select("id", "x.f", F.explode(F.split("x.t", tk.SPLIT)).alias("w")).where("w != ''")
-    words = rows.groupBy("id", "w").agg(*(F.sum((F.col("f") == i).cast("long")).alias(f"tf_{n}") for i, n in enumerate(FIELDS)))
-    terms = words.select("id", F.explode(tk.word_terms(F.col("w"))).alias("term"), *(f"tf_{n}" for n in FIELDS)).where(~tk.is_stopword(F.col("term")))
-    return terms.groupBy("id", "term").agg(*(F.sum(f"tf_{n}").alias(f"tf_{n}") for n in FIELDS))
+    texts = memories.select("id", "title", F.array_join("tags", " ").alias("tags"), "body")
+    known = tk.characters(memories.sparkSession)
+    kind = "id string, terms array<string>, " + ", ".join(f"tf_{n} array<int>" for n in FIELDS) + ", " + ", ".join(f"len_{n} long" for n in FIELDS)
+    return texts.repartition(tasks(memories, size, COUNTED), "id").sortWithinPartitions("id").mapInArrow(lambda batches: _counted(batches, tk.Rule(*known)), kind)
+
+
+#: Bytes of text whose words are counted at a time.
+READ = 4 << 20
+
+
+def _counted(batches, rule: tk.Rule):
+    """Batches of (id, title, tags, body), sorted by id -> of a row for each id."""
+    held, size, last = [], 0, None
+    for b in batches:
+        ids, lo = b.column(0).to_pylist(), 0
+        bytes_ = sum(pc.binary_length(b.column(k)).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64) for k in (1, 2, 3)).tolist()
+        for i, id_ in enumerate(ids):
+            if size >= READ and id_ != last:
+                held.append(b.slice(lo, i - lo))
+                yield _document_rows(held, rule)
+                held, size, lo = [], 0, i
+            size, last = size + bytes_[i], id_
+        held.append(b.slice(lo))
+    if sum(b.num_rows for b in held):
+        yield _document_rows(held, rule)
+
+
+def _document_rows(held: list, rule: tk.Rule) -> pa.RecordBatch:
+    """Of whole documents: words are cut and counted as arrays, and each distinct one is split into terms once."""
+    t, stop, fields = pa.Table.from_batches(held).combine_chunks(), frozenset(tk.STOPWORDS), len(FIELDS)
+    ids, texts = t.column(0).combine_chunks(), []
+    for k in range(1, 1 + fields):
+        # bytes that are no UTF-8 separate words, as they do in the JVM
+        texts += ["" if x is None else x.decode("utf-8", "replace") for x in t.column(k).cast(pa.binary()).to_pylist()]
+    id_code = ids.dictionary_encode().indices.fill_null(-1).to_numpy()
+    new = np.append(True, id_code[1:] != id_code[:-1])
+    doc = np.cumsum(new) - 1
+    words, text = rule.cut(texts)
+    code = words.dictionary_encode()
+    n_words = max(len(code.dictionary), 1)
+    key, n = np.unique((doc[text % len(doc)] * fields + text // len(doc)) * n_words + code.indices.to_numpy(), return_counts=True)
+    names: dict = {}
+    flat, size = [], []
+    for w in code.dictionary.to_pylist():
+        some = [names.setdefault(x, len(names)) for x in rule.terms(w) if x not in stop]
+        flat += some
+        size.append(len(some))
+    size, n_terms = np.array(size, np.int64), max(len(names), 1)
+    cell, word = np.divmod(key, n_words)
+    times = size[word]
+    at = np.repeat((np.cumsum(size) - size)[word] - (np.cumsum(times) - times), times) + np.arange(times.sum())
+    cell, n = np.repeat(cell, times), np.repeat(n, times)
+    key, place = np.unique(cell // fields * n_terms + np.array(flat, np.int64)[at], return_inverse=True)
+    of, term = np.divmod(key, n_terms)
+    tfs = [np.bincount(place[cell % fields == f], n[cell % fields == f], len(key)).astype(np.int32) for f in range(fields)]
+    ends = pa.array(np.searchsorted(of, np.arange(int(doc[-1]) + 2)).astype(np.int32))
+    lists = [pa.array(list(names), pa.string()).take(pa.array(term)), *map(pa.array, tfs)]
+    columns = [ids.filter(pa.array(new)), *(pa.ListArray.from_arrays(ends, x) for x in lists), *(pa.array(np.bincount(of, tf, int(doc[-1]) + 1).astype(np.int64)) for tf in tfs)]
+    return pa.RecordBatch.from_arrays(columns, names=["id", "terms", *(f"tf_{n}" for n in FIELDS), *(f"len_{n}" for n in FIELDS)])
+
+
+def postings(memories: DataFrame) -> DataFrame:
+    """(id, term, tf_title, tf_tags, tf_body) of all documents, a document's in one task."""
+    return flat(by_document(memories))
+
+
+def flat(documents: DataFrame) -> DataFrame:
+    """by_document() -> postings, sorted by term in runs of about SORTED, each of which a task puts in order where it lies."""
+    return documents.select("id", "terms", *(f"tf_{n}" for n in FIELDS)).mapInArrow(_sorted_runs, "id string, term string, " + ", ".join(f"tf_{n} long" for n in FIELDS))
+
+
+def _sorted_runs(batches):
+    held, n = [], 0
+
+    def run() -> pa.RecordBatch:
+        t = pa.Table.from_batches(held).combine_chunks()
+        lists = [t.column(k).combine_chunks() for k in range(1, 5)]
+        size = pc.list_value_length(lists[0]).to_numpy(zero_copy_only=False)
+        code = lists[0].flatten().dictionary_encode()
+        place = np.empty(len(code.dictionary), np.int32)
+        place[pc.sort_indices(code.dictionary.cast(pa.binary())).to_numpy()] = np.arange(len(place), dtype=np.int32)
+        order = np.argsort(place[code.indices.to_numpy()], kind="stable")
+        row = pa.array(np.repeat(np.arange(len(size)), size)[order])
+        columns = [t.column(0).combine_chunks().take(row), code.dictionary.take(code.indices.take(pa.array(order))), *(x.flatten().take(pa.array(order)).cast(pa.int64()) for x in lists[1:])]
+        return pa.RecordBatch.from_arrays(columns, names=["id", "term", *(f"tf_{n}" for n in FIELDS)])
+
+    for b in batches:
+        for lo, hi in _cuts(b.column(1)):
+            held.append(b.slice(lo, hi - lo))
+            n += pc.sum(pc.list_value_length(held[-1].column(1))).as_py() or 0
+            if n >= SORTED:
+                yield from _pieces(run())
+                held, n = [], 0
+    if n:
+        yield from _pieces(run())
+
+
+def _cuts(lists: pa.Array):
+    """(from, to) of rows with about SORTED items together."""
+    end = np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))
+    lo = 0
+    while lo < len(end):
+        hi = max(lo + 1, int(np.searchsorted(end, (end[lo - 1] if lo else 0) + SORTED, "right")))
+        yield lo, hi
+        lo = hi
+
+
+def _pieces(b: pa.RecordBatch):
+    for lo in range(0, b.num_rows, 1 << 16):
+        yield b.slice(lo, 1 << 16)
 
 
 def in_order(post: DataFrame) -> DataFrame:
@@ -93,20 +204,22 @@ class Index:
     path: str | None = None
     version: int = 1
     since: int = 1
+    #: by_document(), where the index was built in this session: whole documents are read from it without a shuffle.
+    documents: DataFrame | None = None
 
     @classmethod
     def build(cls, memories: DataFrame, path: str | None = None) -> Index:
-        """Computed once and kept as Parquet: as the first version below `path`, or in the shared folder. Postings are ordered by term, so that a query's terms prune row groups."""
+        """Computed once and kept as Parquet: as the first version below `path`, or in the shared folder. Postings are ordered by term, in runs, so that a query's terms prune pages."""
         at = f"{path}/v1"
         keep = (lambda df, name: _written(df, f"{at}/{name}")) if path else materialised
-        counted = materialised(postings(memories), "counted")
-        post = keep(in_order(counted), "postings")
-        lengths = field_lengths(memories, counted)
+        documents = materialised(by_document(memories), "documents")
+        post = keep(flat(documents), "postings")
         named = memories.columns
         text = hashed_text()
         meta = memories.select(*(c if c in named else F.lit(None).cast(_KINDS.get(c, "string")).alias(c) for c in META), fx.fnv1a64_hex(text).alias("content_hash"))
+        lengths = documents.select("id", *(f"len_{n}" for n in FIELDS))
         docs = keep(meta.join(lengths, "id"), "docs")
-        out = cls(docs, post, keep(document_frequencies(post), "df"), keep(corpus_stats(docs), "stats"))
+        out = cls(docs, post, keep(document_frequencies(post), "df"), keep(corpus_stats(docs), "stats"), documents=documents)
         if path:
             _signed(memories.sparkSession, at, 1)
         return out

@@ -91,7 +91,7 @@ def candidates(index: Index, queries: DataFrame, o: Options) -> DataFrame:
     if not o.rerank:
         return hits.withColumn("sim", zero)
     hits = materialised(hits, "hits")
-    sim = materialised(embed.similarities(index.postings, index.vocabulary(), queries, hits, SEMANTIC_FLOOR), "sims")
+    sim = materialised(embed.similarities(index.postings, index.vocabulary(), queries, hits, SEMANTIC_FLOOR, index.documents), "sims")
     boosted = hits.join(sim, ["qid", "id"], "left").withColumn("sim", F.coalesce("sim", zero)).withColumn("score_micros", F.col("score_micros") + fx.div("sim", 2))
     alone = above(sim.where(F.col("sim") >= SEMANTIC_FLOOR), "sim").join(hits, ["qid", "id"], "left_anti").join(docs, "id", "left_semi")
     return boosted.unionByName(alone.select("qid", "id", F.lit("semantic").alias("kind"), F.col("sim").alias("score_micros"), zero.alias("graph_micros"), none.alias("graph_via"), zero.alias("bm25_micros"), empty.alias("matched_terms"), "sim"))

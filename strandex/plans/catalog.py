@@ -171,7 +171,7 @@ def term_cosine(spark, sf_dir):
 @query(q.query("select * from sims", *q.SIM))
 def maxsim_rerank(spark, sf_dir):
     ix = t.index(spark, sf_dir)
-    return embed.similarities(ix.postings, ix.vocabulary(), t.questions(spark))
+    return embed.similarities(ix.postings, ix.vocabulary(), t.questions(spark), documents=ix.documents)
 
 
 @query(q.query("select qid, id, sim from hits where kind = 'semantic'", *q.FULL))
