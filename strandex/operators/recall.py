@@ -57,9 +57,14 @@ def passes(o: Options) -> Column:
     return out
 
 
-def terms_of(hits: DataFrame, postings: DataFrame) -> DataFrame:
-    """(id, terms) of the documents among hits: postings of others leave before any are gathered, in tasks of bounded size."""
+def terms_of(hits: DataFrame, postings: DataFrame, documents: DataFrame | None = None) -> DataFrame:
+    """(id, terms) of the documents among hits: postings of others leave before any are gathered, in tasks of bounded size.
+
+    documents (id, terms), if there are: the same as postings.
+    """
     ids = materialised(hits.select("id").distinct(), "ids")
+    if documents is not None:
+        return documents.select("id", "terms").join(bm25.small(ids), "id", "left_semi").where(F.size("terms") > 0)
     count = ids.count()
     few, n = count <= bm25.SMALL, tasks(postings, min(postings.count(), 512 * count), SORTED)
     held = postings.select("id", "term")
@@ -67,10 +72,11 @@ def terms_of(hits: DataFrame, postings: DataFrame) -> DataFrame:
     return held.groupBy("id").agg(F.collect_list("term").alias("terms"))
 
 
-def shared_subtokens(hits: DataFrame, queries: DataFrame, postings: DataFrame) -> DataFrame:
+def shared_subtokens(hits: DataFrame, queries: DataFrame, index: Index) -> DataFrame:
     """(qid, id, shared): the first three query terms of three bytes or more that hold, or are held by, a term of the document."""
     terms = F.filter(F.array_distinct(tk.tokenize(F.col("text"))), lambda t: F.octet_length(t) >= 3)
-    rows = hits.select("qid", "id").join(terms_of(hits, postings.where(F.octet_length("term") >= 3)), "id").join(bm25.small(queries.select("qid", terms.alias("asked"))), "qid")
+    held = terms_of(hits, index.postings.where(F.octet_length("term") >= 3), index.documents).withColumn("terms", F.filter("terms", lambda t: F.octet_length(t) >= 3))
+    rows = hits.select("qid", "id").join(held, "id").join(bm25.small(queries.select("qid", terms.alias("asked"))), "qid")
     held = F.filter("asked", lambda q: F.exists("terms", lambda d: F.contains(d, q) | F.contains(q, d)))
     return rows.select("qid", "id", F.slice(held, 1, 3).alias("shared"))
 
@@ -104,7 +110,7 @@ def card_cost() -> Column:
 
 def diverse(hits: DataFrame, index: Index, o: Options) -> DataFrame:
     """The first k hits by maximal marginal relevance; with a budget, so many that packing finds all it would among all hits."""
-    terms, k = materialised(terms_of(hits, index.postings), "terms"), o.k
+    terms, k = materialised(terms_of(hits, index.postings, index.documents), "terms"), o.k
     if o.budget is None:
         return rank.diversified(hits, terms, k)
     every = hits.groupBy("qid").agg(F.count("*").alias("n"), F.min(card_cost()).alias("least"))
@@ -131,7 +137,7 @@ def recall(index: Index, queries: DataFrame, options: Options | None = None) ->
     hits = hits.join(bm25.small(ignored), "qid", "left")
     rerank = F.lit(None)
     if o.rerank:
-        hits = hits.join(shared_subtokens(hits, queries, index.postings), ["qid", "id"], "left")
+        hits = hits.join(shared_subtokens(hits, queries, index), ["qid", "id"], "left")
         rerank = F.struct("bm25_micros", F.col("sim").alias("embed_sim_micros"), F.lit(fx.SCALE).cast("long").alias("alpha_micros"), F.lit(BETA).cast("long").alias("beta_micros"), F.coalesce("shared", F.array().cast("array<string>")).alias("shared_subtokens"))
     why = F.struct(F.when(F.col("kind") == "lexical", F.col("bm25_micros")).otherwise(F.lit(0).cast("long")).alias("score_micros"), "matched_terms", F.coalesce("ignored", F.array().cast("array<struct<term:string,reason:string>>")).alias("ignored_terms"), *([rerank.alias("rerank")] if o.rerank else []))
     return hits.withColumn("why", why).select(*HIT).orderBy("qid", "rank")
