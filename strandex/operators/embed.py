@@ -118,7 +118,7 @@ def term_cosines(vocabulary: DataFrame, tokens: list[str], least: int = 1, below
 #: Cosines from which pairs count as near.
 REACH = 150_000
 #: Postings that one task gets, those compared at a time, and cosines that are held at a time.
-DEALT, COMPARED, REMEMBERED = 1_000_000, 1 << 19, 1 << 23
+DEALT, COMPARED, REMEMBERED = 1_000_000, 1 << 18, 1 << 22
 #: Terms whose vectors are held at a time.
 HELD = 1024
 

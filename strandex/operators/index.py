@@ -35,8 +35,8 @@ def by_document(memories: DataFrame) -> DataFrame:
     return texts.repartition(tasks(memories, size, COUNTED), "id").sortWithinPartitions("id").mapInArrow(lambda batches: _counted(batches, tk.Rule(*known)), kind)
 
 
-#: Bytes of text whose words are counted at a time.
-READ = 4 << 20
+#: Bytes of text whose words are counted at a time, and postings that are put in order at a time.
+READ, RUN = 2 << 20, 1 << 18
 
 
 def _counted(batches, rule: tk.Rule):
@@ -96,7 +96,7 @@ def postings(memories: DataFrame) -> DataFrame:
 
 
 def flat(documents: DataFrame) -> DataFrame:
-    """by_document() -> postings, sorted by term in runs of about SORTED, each of which a task puts in order where it lies."""
+    """by_document() -> postings, sorted by term in runs of about RUN, each of which a task puts in order where it lies."""
     return documents.select("id", "terms", *(f"tf_{n}" for n in FIELDS)).mapInArrow(_sorted_runs, "id string, term string, " + ", ".join(f"tf_{n} long" for n in FIELDS))
 
 
@@ -119,7 +119,7 @@ def _sorted_runs(batches):
         for lo, hi in _cuts(b.column(1)):
             held.append(b.slice(lo, hi - lo))
             n += pc.sum(pc.list_value_length(held[-1].column(1))).as_py() or 0
-            if n >= SORTED:
+            if n >= RUN:
                 yield from _pieces(run())
                 held, n = [], 0
     if n:
@@ -127,11 +127,11 @@ def _sorted_runs(batches):
 
 
 def _cuts(lists: pa.Array):
-    """(from, to) of rows with about SORTED items together."""
+    """(from, to) of rows with about RUN items together."""
     end = np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))
     lo = 0
     while lo < len(end):
-        hi = max(lo + 1, int(np.searchsorted(end, (end[lo - 1] if lo else 0) + SORTED, "right")))
+        hi = max(lo + 1, int(np.searchsorted(end, (end[lo - 1] if lo else 0) + RUN, "right")))
         yield lo, hi
         lo = hi
 

@@ -44,7 +44,7 @@ def test_runs_are_in_order(spark, monkeypatch):
     docs = [(f"{i:03}", [f"t{(i * j) % 17:02}" for j in range(1, 9)]) for i in range(50)]
     n = [[1] * 8 for _ in docs]
     batch = pa.RecordBatch.from_arrays([pa.array([d for d, _ in docs]), pa.array([x for _, x in docs]), *(pa.array(n, pa.list_(pa.int32())) for _ in range(3))], names=["id", "terms", "tf_title", "tf_tags", "tf_body"])
-    monkeypatch.setattr(index, "SORTED", 100)
+    monkeypatch.setattr(index, "RUN", 100)
     runs = list(index._sorted_runs([batch.slice(0, 20), batch.slice(20)]))
     assert sorted((i, x) for b in runs for i, x in zip(b["id"].to_pylist(), b["term"].to_pylist())) == sorted((d, x) for d, xs in docs for x in xs)
     assert len(runs) > 2 and all(b["term"].to_pylist() == sorted(b["term"].to_pylist()) and b.num_rows < 200 for b in runs)
